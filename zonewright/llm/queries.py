@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, quality_rules, tokens
+from . import decontamination, line_dedup, packing, quality_rules, sharding, simhash, tokens
 from .common import table
 
 
@@ -14,14 +15,45 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.word_bpe_path())
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", "text", F.col("_zw_n_lines").alias("n_lines"), F.col("_zw_n_removed").alias("n_removed"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
+    "op6_line_dedup": op6_line_dedup,
+    "op9_sharding": op9_sharding,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 _OP5 = r"""
@@ -49,4 +81,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL: dict[str, str] = {"op5_quality_rules": _OP5}
+_OP4 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(ws[i : i + m - 1], ' ') AS g
+       FROM (SELECT item_id, ws, least(len(ws), 10) AS m, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, m, i, array_to_string(ws[i : i + m - 1], ' ') AS g
+       FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d CROSS JOIN (SELECT DISTINCT m FROM iw) WHERE len(ws) >= m)),
+h AS (SELECT doc_id, i, m, item_id FROM dw JOIN iw USING (m, g)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM (SELECT DISTINCT doc_id, i, m FROM h)) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_OP6 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i
+           FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i AS s, trim(x, ' ') AS a, lead(trim(x, ' ')) OVER o AS b, lead(trim(x, ' '), 2) OVER o AS c, lead(i, 2) OVER o + 1 AS e
+      FROM l WHERE trim(x, ' ') <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, s, e, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, s) AS n FROM w WHERE c IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, e)) AS i FROM k WHERE n > 1),
+r AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY i) FILTER (WHERE g.i IS NULL) AS t, count(*) AS n_lines, count(g.i) AS n_removed
+      FROM l LEFT JOIN g USING (doc_id, i) GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS text,
+       coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN r USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op4_decontamination": _OP4, "op5_quality_rules": _OP5, "op6_line_dedup": _OP6}
