@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonewright.llm import packing, quality_rules, tokens
+from zonewright.llm import decontamination, line_dedup, packing, quality_rules, simhash, tokens
 from zonewright.llm.common import shared_dir, table
 
 
@@ -16,6 +17,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of repeated lines go. A document of which nothing is left goes too; n_chars follows the text."""
+    got = line_dedup.dedup_lines(docs)
+    emptied = (F.col("_zw_n_removed") > 0) & (F.trim("text") == "")
+    got = got.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        got = got.withColumn("n_chars", F.when(F.col("_zw_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return got.drop("_zw_n_lines", "_zw_n_removed")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies one document stays."""
+    return simhash.keep_one_of_each(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window with a benchmark item go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept documents in sequences of 2048 tokens."""
     return packing.pack_documents(docs, tokens.word_bpe_path())
@@ -23,6 +44,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("simhash_near_dedup", near_copies),
+    ("decontamination", benchmark),
     ("best_fit_packing", pack),
 ]
 

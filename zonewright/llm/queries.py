@@ -7,14 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality_rules, sharding, simhash, tokens
+from . import (
+    decontamination,
+    language_id,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    token_counts,
+    tokens,
+)
 from .common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan.scan_licences(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "licence", F.round("dice", 9).alias("dice"), F.array_join("licences", ",").alias("licences"), F.size("blocks").cast("long").alias("n_blocks"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.word_bpe_path())
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select(
@@ -37,6 +58,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "text", F.col("_zw_n_lines").alias("n_lines"), F.col("_zw_n_removed").alias("n_removed"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_token_counts(table(spark, sf_dir, "documents"), tokens.word_bpe_path(), end_id=49407)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
@@ -48,10 +77,14 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": op4_decontamination,
     "op5_quality_rules": op5_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
