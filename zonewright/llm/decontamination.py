@@ -18,23 +18,27 @@ from pyspark.sql import functions as F
 
 from .common import cut, row_key
 
-#: Fixed by the contract: words after A-Z are lower-cased, and the window in words.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Fixed by the contract: what is between words before A-Z is lower-cased, and the window in words.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: k, w, fewest and most words of a window. k + w - 1 is the fewest.
 TIERS = ((5, 6, WINDOW, WINDOW), (3, 3, 5, WINDOW - 1), (1, 2, 2, 4), (1, 1, 1, 1))
 _POSITION = (1 << 30) - 1  # a text has fewer words than that
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def words_of(text: Column) -> Column:
+    """Words in order, case kept. Splitting leaves an empty text at most at either end."""
+    return F.array_remove(F.split(text.cast("string"), BETWEEN), "")
+
+
+def lower_ascii(word: Column) -> Column:
+    """A-Z in lower case. Words that lower-casing leaves alone, which are most, are not gone through by character."""
+    return F.when(F.lower(word) == word, word).otherwise(F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def with_word_hashes(df: DataFrame) -> DataFrame:
     """Adds _h, the hashes of text's words in order."""
-    words = F.regexp_extract_all(lower_ascii(F.col("text").cast("string")), F.lit(WORD), F.lit(0))
-    return df.withColumn("_h", F.transform(words, lambda x: F.xxhash64(x)))
+    return df.withColumn("_h", F.transform(words_of(F.col("text")), lambda x: F.xxhash64(lower_ascii(x))))
 
 
 def _at(array: str, i: Column) -> Column:
@@ -143,7 +147,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int =
     has no window; items that share an id count once, items without an id cause hits but are not listed. Empty tables
     give no rows or no hits.
     """
-    words = docs.select("doc_id", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"), row_key("text").alias("_k"))
+    words = docs.select("doc_id", F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_words"), row_key("text").alias("_k"))
     hits = contamination(docs, benchmark, broadcast_windows)
     got = words.join(hits, F.expr("doc_id <=> id AND _k <=> _rk"), "left")
     return got.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.expr("CAST(array() AS ARRAY<STRING>)")).alias("items"), F.coalesce("spans", F.expr("CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>)")).alias("spans"))
