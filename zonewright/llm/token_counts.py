@@ -23,6 +23,7 @@ from .common import cut, shared_dir
 from .tokens import encoder
 
 _RUN = 1024  # blocks per run of the prefix scan
+_PER_TASK = 4  # blocks that a task reads one after another
 
 
 def open_store(path: str) -> tuple[pafs.FileSystem, str]:
@@ -73,7 +74,8 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2,
     span = max(1, block_bytes // width)
     listed = spark.createDataFrame([(n, s // width) for n, s in files if s], "file string, size long")
     blocks = listed.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / span))).alias("block"))
-    blocks = blocks.repartition(max(1, sum(-(-s // (width * span)) for _, s in files)), "file", "block")
+    n_blocks = sum(-(-s // (width * span)) for _, s in files)
+    blocks = blocks.repartition(max(1, -(-n_blocks // _PER_TASK)), "file", "block")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = open_store(folder)
@@ -100,7 +102,7 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2,
     carried = inner.join(runs, ["file", "run"]).select("file", "block", (F.col("run_n") + F.col("in_n")).alias("base"), F.greatest("run_last", "in_last").alias("carry"))
     joined = found.where("n > 0").join(carried, ["file", "block"])
     start = lambda i: F.when(i == 0, F.col("carry")).otherwise(F.get(F.col("ends"), i - 1)) + 1
-    docs = F.transform("ends", lambda e, i: F.struct((F.col("base") + i).alias("ordinal"), start(i).alias("start"), (e - start(i)).alias("n_tokens"), ~(F.col("tail") & (i == F.size("ends") - 1)).alias("ended")))
+    docs = F.transform("ends", lambda e, i: F.struct((F.col("base") + i).alias("ordinal"), start(i).alias("start"), (e - start(i)).alias("n_tokens"), (~(F.col("tail") & (i == F.size("ends") - 1))).alias("ended")))
     return joined.select("file", F.inline(docs))
 
 
