@@ -18,7 +18,7 @@ SPAN = "STRUCT<s: INT, e: INT>"
 def _windows(docs: DataFrame, size: int) -> DataFrame:
     """One row per window: id, _rk, a and b (128 bits of its lines, trimmed), s and e (its lines, end exclusive)."""
     df = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    df = df.select("id", row_key("text").alias("_rk"), F.transform(F.split("text", "\n"), F.trim).alias("_l"))
+    df = df.select("id", row_key("text").alias("_rk"), F.transform(F.split("text", "\n"), lambda x: F.trim(x)).alias("_l"))
     full = F.filter(F.transform("_l", lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda x: x["x"] != "")
     df = df.select("id", "_rk", full.alias("_f")).where(F.size("_f") >= size)
     at = lambda i: F.get(F.col("_f"), i)
