@@ -91,11 +91,11 @@ def test_components_of_paths_stars_and_rings(spark):
 def test_stage_keeps_one_of_each(spark):
     texts = awkward()
     for k in range(30):
-        t = prose(500 + k, 400).split(" ")
+        t = prose(500 + k, 400).split()
         texts.append((200 + 3 * k, " ".join(t)))
         for c in (1, 2):  # near copies: 6 of 400 words changed, 5-word shingles about 0.86 alike
             u = list(t)
-            for x in random.Random(k * 9 + c).sample(range(400), 6):
+            for x in random.Random(k * 9 + c).sample(range(len(u)), 6):
                 u[x] = f"new{x}"
             texts.append((200 + 3 * k + c, " ".join(u)))
     got = sh.keep_one_of_each(frame(spark, texts), leaf_points=64, sample_rows=100)
