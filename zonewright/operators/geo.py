@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
+from ..functions.kernels import simplify
 
 
 def rings(edges: DataFrame) -> DataFrame:
@@ -53,3 +56,15 @@ def zone_distances(zones: DataFrame) -> DataFrame:
 
 def distance(lat1: str, lng1: str, lat2: str, lng2: str) -> Column:
     return haversine_km(F.col(lat1), F.col(lng1), F.col(lat2), F.col(lng2))
+
+
+def simplified(edges: DataFrame, tolerance: float) -> DataFrame:
+    """Corners of each ring that stay when no corner may be further than tolerance from the drawn line: zone_id, ring, seq, x, y. A ring is one group."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("seq")
+        keep = simplify(np.vstack([g[["x1", "y1"]].to_numpy(), g[["x2", "y2"]].to_numpy()[-1:]]), tolerance)[:-1]
+        return g[keep].rename(columns={"x1": "x", "y1": "y"})[["zone_id", "ring", "seq", "x", "y"]]
+
+    kind = edges.schema["zone_id"].dataType.simpleString()
+    return edges.groupBy("zone_id", "ring").applyInPandas(one, f"zone_id {kind}, ring int, seq int, x double, y double")

@@ -110,6 +110,13 @@ def trailing_365d_burden(spark: SparkSession, d: str) -> DataFrame:
     return rates.midrank(z, "burden_rate", "pct").withColumn("pct", micro("pct"))
 
 
+@query
+def latest_per_zone(spark: SparkSession, d: str) -> DataFrame:
+    """The last three incidents of each zone, newest first."""
+    i = src.incidents(spark, d).where("zone_id IS NOT NULL").select("zone_id", "incident_id", "incident_date")
+    return news.last_n(i, "zone_id", [F.desc("incident_date"), F.asc("incident_id")], 3)
+
+
 @query
 def zone_month_panel(spark: SparkSession, d: str) -> DataFrame:
     return panels.zone_months(src.weekly(spark, d))
@@ -242,6 +249,16 @@ def ring_area_centroid(spark: SparkSession, d: str) -> DataFrame:
     return geo.zone_centroids(src.zone_edges(spark, d)).select("zone_id", *(micro(c).alias(c) for c in ("area", "lat", "lng")))
 
 
+@query
+def ring_simplify(spark: SparkSession, d: str) -> DataFrame:
+    """The squares' corners with the middle of each edge put in between: simplifying takes the middles out again."""
+    e = src.zone_edges(spark, d)
+    mx, my = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    halves = F.array(F.struct((2 * F.col("seq")).alias("seq"), "x1", "y1", mx.alias("x2"), my.alias("y2")), F.struct((2 * F.col("seq") + 1).alias("seq"), mx.alias("x1"), my.alias("y1"), "x2", "y2"))
+    fine = e.select("zone_id", "ring", F.inline(halves))
+    return geo.simplified(fine, 0.01).select("zone_id", "ring", "seq", micro("x").alias("x"), micro("y").alias("y"))
+
+
 @query
 def equirect_project(spark: SparkSession, d: str) -> DataFrame:
     x, y = equirectangular(F.col("lat"), F.col("lng"), 33.5, 0.5, 100.0)
@@ -330,6 +347,12 @@ def alerts_feed(spark: SparkSession, d: str) -> DataFrame:
     return feed(spark, d).select("place", "id", "severity", "kind", "title", "confidence")
 
 
+@query
+def cluster_alerts(spark: SparkSession, d: str) -> DataFrame:
+    z = src.zones(spark, d)
+    return risk.cluster_alerts(scan.clusters(z, zone_cases(spark, d)), z).select("id", "severity", "title", "message", "confidence")
+
+
 @query
 def severity_histogram(spark: SparkSession, d: str) -> DataFrame:
     return risk.severity_counts(feed(spark, d))

@@ -155,6 +155,8 @@ SQL: dict[str, str] = {
     "scan_kulldorff_llr": sql(f"SELECT center, radius_km, {m6('CASE WHEN observed <= expected THEN 0 ELSE llr + CASE WHEN c > observed AND c > expected THEN (c - observed) * ln((c - observed) / (c - expected)) ELSE 0 END END', 'llr')} FROM scan", "scan"),
     "point_in_polygon": sql("SELECT p.point_id, min(h.zone_id) AS zone_id FROM points p LEFT JOIN (SELECT point_id, zone_id, ring FROM points JOIN edges ON (y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1) h USING (point_id) GROUP BY p.point_id", "points", "edges"),
     "ring_area_centroid": sql("SELECT zone_id, " + m6("abs(a) / 2", "area") + ", " + m6("sy / (3 * a)", "lat") + ", " + m6("sx / (3 * a)", "lng") + " FROM (SELECT zone_id, sum(x1 * y2 - x2 * y1) AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS sx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS sy FROM edges GROUP BY zone_id)", "edges"),
+    "ring_simplify": sql("SELECT zone_id, ring, 2 * seq AS seq, " + m6("x1", "x") + ", " + m6("y1", "y") + " FROM edges", "edges"),
+    "latest_per_zone": sql("SELECT zone_id, incident_id, incident_date FROM (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY incident_date DESC, incident_id) AS n FROM incidents WHERE zone_id IS NOT NULL) WHERE n <= 3", "incidents"),
     "equirect_project": sql(f"SELECT zone_id, {m6('(lng - 33.5) * 100', 'x')}, {m6('(0.5 - lat) * 100', 'y')} FROM zones", "zones"),
     "vehicle_best_window": sql("SELECT vehicle_key, n, start_us, array_to_string(zones, ',') AS zones, total, overlap, status, confidence FROM patterns", "patterns"),
     "vehicle_radius_variant": sql("""SELECT vehicle_key, n, start_us, overlap, CASE WHEN n < 4 THEN 'cleared' WHEN overlap >= 1 THEN 'flagged' ELSE 'monitoring' END AS status,
