@@ -36,14 +36,17 @@ def banded_pairs(a: DataFrame, b: DataFrame, column: str, band: int, extra: list
     return left.join(right, on).drop("_bucket")
 
 
-def scored_pairs(a: DataFrame, b: DataFrame, days: int, similarity: float, km: float | None = None) -> DataFrame:
+def scored_pairs(a: DataFrame, b: DataFrame, days: int, similarity: float, km: float | None = None, once: bool = False) -> DataFrame:
     """a_id, b_id, score of pairs that may be one entity. a, b: record_id, day_no, name, county and, if km is given, lat and lng.
 
     Dates within `days`; names, if both have one, at least `similarity` alike; places, if both have one, within km; a name or a
     place must be comparable. The score weighs name 0.5, place 0.3 (0.5 if not comparable) and date 0.2; the same county adds 0.05.
+    once: a and b are the same list, so each pair is met in one order only and no row with itself.
     """
     clean = lambda df: df.withColumn("_name", F.when(F.trim("name") != "", normalised("name")))
     pairs = banded_pairs(clean(a), clean(b), "day_no", days)
+    if once:
+        pairs = pairs.where("record_id_a < record_id_b")
     named = F.col("_name_a").isNotNull() & F.col("_name_b").isNotNull()
     pairs = pairs.withColumn("_named", named).withColumn("_jw", F.when(F.col("_named"), name_similarity("_name_a", "_name_b")))
     place, placed = F.lit(0.5), F.lit(False)
@@ -125,7 +128,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFra
 
 def capture_patterns(records: DataFrame, days: int = 2, similarity: float = 0.88, km: float | None = None) -> DataFrame:
     """pattern ("0", "0+1", ...), n: how many entities exactly these lists have. records: record_id (unique over lists), list_no, day_no, name, county."""
-    pairs = scored_pairs(records, records, days, similarity, km).where("a_id < b_id").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    pairs = scored_pairs(records, records, days, similarity, km, once=True).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     root = components(records.select(F.col("record_id").alias("node")), pairs)
     lists = root.join(records.select(F.col("record_id").alias("node"), "list_no"), "node").groupBy("root").agg(F.array_join(F.transform(F.array_sort(F.collect_set("list_no")), lambda x: x.cast("string")), "+").alias("pattern"))
     return lists.groupBy("pattern").agg(F.count("*").alias("n"))
