@@ -240,6 +240,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_
     smallest = linked.groupBy("root").agg(F.min("first").alias("smallest"))
     reached = linked.select("node", "root").join(smallest, "root").select("node", "smallest")
     label = points.join(reached, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", F.coalesce("smallest", "first").alias("component_id"))
+    label = cut(label)  # so that both sides of the last join are shuffled for it alone and Spark can split a fingerprint of many copies
     return prints.join(label, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
