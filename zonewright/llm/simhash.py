@@ -177,14 +177,16 @@ def fit_tree(codes: DataFrame, column: str, n: int, slack: int, leaf_points: int
     return VantageTree(np.sort(points), max(8, int(leaf_points * share)), slack)
 
 
-def near_edges(points: DataFrame, n: int, radius: int, tables: int = 1, bits: int = 64, confirm: int | None = None, leaf_points: int = 1024, sample_rows: int = 20_000) -> DataFrame:
+def near_edges(points: DataFrame, n: int, radius: int, tables: int = 1, bits: int = 64, confirm: int | None = None, leaf_points: int = 1024, sample_rows: int = 20_000, chain: bool = False) -> DataFrame:
     """Edges a, b between nodes whose codes differ in at most `radius` bits in one of the tables.
 
     points: node (long, unique) and f0.., n rows. One table compares f0; more compare successive runs of `bits` bits of
     the whole fingerprint, each in a tree of its own. confirm: links also need whole fingerprints that differ in at most so many bits.
+    An edge leads to the first point of a leaf's component or, with chain, to the one before. If points have a column
+    `label`, every pair that links and has different labels is an edge instead.
     """
-    fields = [f for f in points.columns if f != "node"]
-    slack, sc = -(-radius // 2), points.sparkSession.sparkContext
+    fields = [f for f in points.columns if f not in ("node", "label")]
+    slack, sc, labelled = -(-radius // 2), points.sparkSession.sparkContext, "label" in points.columns
 
     def code(f: np.ndarray, t: int) -> np.ndarray:
         """f: whole fingerprints as columns of 64 bits."""
@@ -217,7 +219,25 @@ def near_edges(points: DataFrame, n: int, radius: int, tables: int = 1, bits: in
         first = np.argsort(node, kind="stable")  # the result must not depend on the order of arrival
         f, node = f[first], node[first]
         accept = None if confirm is None else lambda i, j: np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= confirm
-        root = leaf_links(code(f, key[0].as_py() >> 32), radius, accept)
+        codes = code(f, key[0].as_py() >> 32)
+        if labelled:
+            label, pairs = group.column("label").to_numpy()[first], [np.zeros((0, 2), dtype=np.int64)]
+
+            def note(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                ok = label[i] != label[j]
+                if accept is not None:
+                    ok &= accept(i, j)
+                pairs.append(np.stack([i[ok], j[ok]], axis=1))
+                return np.zeros(len(i), dtype=bool)
+
+            leaf_links(codes, radius, note)
+            x = np.unique(np.concatenate(pairs), axis=0)
+            return pa.table({"a": node[x[:, 0]], "b": node[x[:, 1]]})
+        root = leaf_links(codes, radius, accept)
+        if chain:
+            order = np.argsort(root, kind="stable")
+            same = root[order[1:]] == root[order[:-1]]
+            return pa.table({"a": node[order[1:][same]], "b": node[order[:-1][same]]})
         linked = root != np.arange(len(root))
         return pa.table({"a": node[linked], "b": node[root[linked]]})
 
@@ -244,29 +264,85 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_
     return prints.join(label, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Stage parameters: shingles of five words; similarity of 0.8 as the share of shingles in common.
-SHINGLE, SIGNATURE_WORDS, TABLES, TABLE_BITS, TABLE_RADIUS, CONFIRM = 5, 4, 10, 24, 2, 44
+#: Stage parameters: shingles of five words; copies share 0.8 of their distinct shingles, as numerator and denominator.
+SHINGLE, JACCARD = 5, (4, 5)
+#: Pairs are looked for in twelve runs of 20 bits at two differing bits each and proposed at 56 of 256.
+SIGNATURE_WORDS, TABLES, TABLE_BITS, TABLE_RADIUS, CONFIRM = 4, 12, 20, 2, 56
+
+
+def shingle_points(docs: DataFrame) -> DataFrame:
+    """doc_id, _rk (of the text), node (64 bits of the set of shingles) and f0.., fingerprints of the set, for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            node, out = [], [[] for _ in range(SIGNATURE_WORDS)]
+            for t in b.column(2):
+                h = np.unique(shingle_hashes(t.as_py() or b"", SHINGLE))
+                node.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
+                for k in range(SIGNATURE_WORDS):
+                    out[k].append(majority(spread(h, k)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), *(pa.array(x, pa.int64()) for x in out)], ["doc_id", "_rk", "node", *(f"f{k}" for k in range(SIGNATURE_WORDS))])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, _rk long, node long, " + ", ".join(f"f{k} long" for k in range(SIGNATURE_WORDS)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("text").alias("_rk"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def confirmed(edges: DataFrame, points: DataFrame, docs: DataFrame) -> DataFrame:
+    """The edges between points whose sets of shingles have a Jaccard similarity of JACCARD or more. points: node, first (doc_id, _rk)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [np.unique(shingle_hashes(t.as_py() or b"", SHINGLE)).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(h, pa.binary())], ["node", "h"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
+                small, large = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if JACCARD[1] * small >= JACCARD[0] * large else 0
+                ok.append(both > 0 and JACCARD[1] * both >= JACCARD[0] * (small + large - both))
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = points.join(wanted, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first._rk").alias("_own"))
+    texts = _texts(docs).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_rk") == F.col("_own")))
+    h = cut(texts.select("node", "text").mapInArrow(sets, "node long, h binary").dropDuplicates(["node"]))
+    pairs = edges.join(h.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(h.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+    return cut(pairs.select("a", "b", "ha", "hb").mapInArrow(test, "a long, b long"))
 
 
 def keep_one_of_each(docs: DataFrame, confirm: int = CONFIRM, leaf_points: int = 4096, sample_rows: int = 20_000) -> DataFrame:
     """The rows of docs without near copies: of each group the document with the smallest doc_id stays, with all its columns.
 
-    Two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in about 37 of 256 fingerprint bits, with
-    a standard deviation of 5.6. Links are confirmed at 44. They are looked for in ten runs of 24 bits at two
-    differing bits each, of which such a pair has one in 96 % of cases. A null or empty text is one text like any
-    other. Rows that repeat doc_id and text are one document, of which one row stays.
+    Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints of
+    the sets propose pairs: at 0.8 two of them differ in about 37 of 256 bits, with a standard deviation of 5.6; pairs are
+    proposed up to 56 that differ in at most two bits of one of twelve runs of 20. Every pair is confirmed by its shingles.
+    First the chains of each leaf are; of groups in which that leaves parts unlinked, every proposed pair between
+    parts is. A null or empty text is one text like any other. Rows that repeat doc_id and text are one document, of which
+    one row stays. A null doc_id comes after all others; a doc_id with several texts has several documents.
     """
-    prints = cut(fingerprints(docs, SHINGLE, SIGNATURE_WORDS).withColumn("_id", F.coalesce("doc_id", "_rk")))
+    prints = cut(shingle_points(docs))
     fields = [f"f{k}" for k in range(SIGNATURE_WORDS)]
-    points = cut(prints.groupBy(*fields).agg(F.min("_id").alias("node")))
-    edges = near_edges(points.select("node", *fields), points.count(), TABLE_RADIUS, TABLES, TABLE_BITS, confirm, leaf_points, sample_rows)
-    joined = components(edges)
-    smallest = joined.groupBy("root").agg(F.min("node").alias("smallest"))
-    gone = joined.join(smallest, "root").where("node <> smallest").select("node")
-    stay = points.join(gone, "node", "left_anti").select(F.col("node").alias("_id"))
-    # the same id may have several texts: only the row with the point's own id and fingerprint stays
-    rows = prints.join(stay, "_id", "left_semi").join(points.select(*fields, F.col("node").alias("_own")), fields).where("_id = _own")
-    kept = rows.groupBy(F.col("_id").alias("_zw_id")).agg(F.min("_rk").alias("_zw_rk"))
-    keyed = docs.withColumn("_zw_k", row_key("text")).withColumn("_zw_i", F.coalesce(F.col("doc_id").cast("long"), F.col("_zw_k")))
-    out = keyed.join(kept, (F.col("_zw_i") == F.col("_zw_id")) & (F.col("_zw_k") == F.col("_zw_rk")), "left_semi")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rk"))
+    points = cut(prints.groupBy("node", *fields).agg(first.alias("first")))
+    find = lambda p, n: cut(near_edges(p, n, TABLE_RADIUS, TABLES, TABLE_BITS, confirm, leaf_points, sample_rows, chain=True).distinct())
+    near = find(points.select("node", *fields), points.count())
+    sure = confirmed(near, points, docs)
+    label = components(sure).select("node", F.col("root").alias("label"))
+    parts = cut(components(near).join(label, "node", "left").select("node", "root", F.coalesce("label", "node").alias("label")))
+    parted = parts.groupBy("root").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("root")
+    again = cut(parts.join(parted, "root", "left_semi").join(points, "node").select("node", "label", *fields))
+    if n := again.count():
+        sure = sure.unionAll(confirmed(find(again, n), points, docs))
+    grouped = points.select("node", "first").join(components(sure), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first"))
+    kept = cut(grouped.select(F.col("first.doc_id").alias("_zw_id"), F.col("first._rk").alias("_zw_rk")))
+    keyed = docs.withColumn("_zw_k", row_key("text")).withColumn("_zw_i", F.col("doc_id").cast("long"))
+    out = keyed.join(kept, F.col("_zw_i").eqNullSafe(F.col("_zw_id")) & (F.col("_zw_k") == F.col("_zw_rk")), "left_semi")
     return out.dropDuplicates(["_zw_i", "_zw_k"]).drop("_zw_i", "_zw_k")
