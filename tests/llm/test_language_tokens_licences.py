@@ -67,6 +67,20 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_rare_language_beside_a_large_one(spark, monkeypatch):
+    hot = [*range(97, 123), *range(128, 134)]  # 32 bytes: 1,048,576 grams and 32,768 contexts
+    byte = lambda s: f"element_at(array({', '.join(map(str, hot))}), int(shiftright(id, {s}) % 32) + 1)"
+    gram = " + ".join(f"{byte(s)} * {1 << k}L" for s, k in ((0, 0), (5, 8), (10, 16), (15, 24)))
+    large = spark.range(32**4).selectExpr("'aa' AS lang", f"{gram} AS gram", "9L AS n")
+    text = "ñandú vôle là-bas"
+    rare = spark.createDataFrame([("zz", int(g), 1) for g in set(li.grams(text).tolist())], "lang string, gram long, n long")
+    monkeypatch.setattr(li, "gram_counts", lambda docs: large.unionByName(rare))
+    trees = li.learn(frame(spark, ["x"]))
+    assert trees.languages == ["aa", "zz"]
+    bits = trees.code_lengths([text])[0]
+    assert bits[1] < bits[0] / 3
+
+
 def test_language_awkward(spark):
     got = li.identify(frame(spark, awkward())).collect()
     assert len(got) == len(awkward())

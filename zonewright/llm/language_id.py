@@ -73,8 +73,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 class Trees:
     """Frozen code lengths: `state` maps three bytes to a row, `bits[row, byte]` has one length per language."""
 
-    def __init__(self, rows: list[tuple[str, int, int]], max_contexts: int = 32_768):
-        """rows: (language, gram, count). Contexts of three bytes beyond the max_contexts most frequent are left to their shorter ones."""
+    def __init__(self, rows: list[tuple[str, int, int]]):
+        """rows: (language, gram, count), each of which counts."""
         self.languages = sorted({r[0] for r in rows})
         gram = np.array([r[1] for r in rows], dtype=np.int64)
         lang = np.array([self.languages.index(r[0]) for r in rows], dtype=np.int64)
@@ -91,12 +91,7 @@ class Trees:
         tables, self.state = [], np.zeros(a**ORDER, dtype=np.int32)
         for order in range(ORDER + 1):
             context = sum((x[:, ORDER - order + k] * a ** (order - 1 - k) for k in range(order)), np.zeros(len(n), dtype=np.int64))
-            names, total = np.unique(context, return_inverse=True)
-            if order == ORDER and len(names) > max_contexts:
-                names = np.sort(names[np.argsort(-np.bincount(total, weights=n), kind="stable")[:max_contexts]])
-            row = np.searchsorted(names, context)
-            row[row == len(names)] = 0
-            keep = names[row] == context
+            names, row = np.unique(context, return_inverse=True)
             if order:
                 base, lower = previous
                 shorter = names % a ** (order - 1)
@@ -105,7 +100,7 @@ class Trees:
                 start = rest[:, None, :]
             made = np.empty((levels, len(names), a))
             for k in range(levels):
-                pick = keep & (lang == k)
+                pick = lang == k
                 c = np.bincount(row[pick] * a + x[pick, ORDER], weights=n[pick], minlength=len(names) * a).reshape(len(names), a)
                 had = c > 0
                 q, total_n = had.sum(axis=1, keepdims=True), c.sum(axis=1, keepdims=True)
@@ -154,14 +149,14 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame, model_rows: int = 1_000_000, max_contexts: int = 32_768) -> Trees | None:
+def learn(docs: DataFrame) -> Trees | None:
     """Trees from all rows of docs (lang, text) where both are not null; None if there are none.
 
-    Counts cover every document. The model's size is bounded: the model_rows most frequent grams are kept.
+    Every gram of every language counts, however rare it is.
     """
-    counts = gram_counts(docs.where("lang IS NOT NULL AND text IS NOT NULL"))
-    rows = [tuple(r) for r in counts.orderBy(F.desc("n"), "gram", "lang").limit(model_rows).collect()]
-    return Trees(rows, max_contexts) if rows else None
+    counts = gram_counts(docs.where("lang IS NOT NULL AND text IS NOT NULL")).toArrow()
+    rows = list(zip(*(counts.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True))
+    return Trees(rows) if rows else None
 
 
 def predict_language(docs: DataFrame, trees: Trees | None) -> DataFrame:
