@@ -55,3 +55,11 @@ def test_columns_and_empty(spark):
     df = frame(spark, awkward())
     assert ld.dedup_lines(df).columns == [*df.columns, "_zw_n_lines", "_zw_n_removed"]
     assert ld.dedup_lines(empty(spark)).count() == 0
+
+
+def test_texts_of_one_id_are_apart(spark):
+    a = "l1\nl2\nl3"
+    texts = [(7, a + "\nx"), (7, "y\n" + a), (None, "m1\nm2\nm3\nz"), (None, "q\nm1\nm2\nm3"), (8, "u\nl1\nl2\nl3")]
+    got = run(spark, texts)
+    assert sorted(n for d, _, n in got if d == "7") == [0, 3] and sorted(n for d, _, n in got if d == "None") == [0, 3]
+    assert [n for d, _, n in got if d == "8"] == [3]

@@ -143,5 +143,12 @@ def test_frequent_shingle_makes_no_copy(spark):
     assert {r.doc_id for r in sh.keep_one_of_each(frame(spark, texts)).collect()} == {0, 1, 2, 3}
 
 
+def test_texts_of_one_id_are_apart(spark):
+    a, b = prose(801, 200), prose(802, 200, 900)
+    texts = [(1, b), (2, a), (2, b), (2, "quite another text of nine words in all here"), (None, prose(803, 90, 700)), (None, prose(804, 90, 800))]
+    got = sh.keep_one_of_each(frame(spark, texts)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == sorted((str(d), t) for d, t in texts if (d, t) != (2, b))
+
+
 def test_empty(spark):
     assert sh.simhash_components(empty(spark)).count() == 0 and sh.keep_one_of_each(empty(spark)).count() == 0

@@ -30,8 +30,8 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
 def removed_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     """Per distinct (doc_id, text) that loses lines: id, _rk and spans, the merged stretches of lines that go."""
     windows = _windows(docs, size)
-    repeated = windows.groupBy("a", "b").agg(F.count("*").alias("_n"), F.min("id").alias("_first")).where("_n > 1")
-    hit = windows.join(repeated, ["a", "b"]).select("id", "_rk", F.struct("a", "b", "s", "e", F.expr("id <=> _first").alias("first")).alias("w"))
+    repeated = windows.groupBy("a", "b").agg(F.count("*").alias("_n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_rk")).alias("_first")).where("_n > 1")
+    hit = windows.join(repeated, ["a", "b"]).select("id", "_rk", F.struct("a", "b", "s", "e", F.expr("id <=> _first.id AND _rk = _first._rk").alias("first")).alias("w"))
     per_doc = hit.groupBy("id", "_rk").agg(F.array_sort(F.collect_set("w")).alias("_w"))
     before = lambda i: F.get(F.col("_w"), i - 1)
     again = lambda x, i: (i > 0) & (before(i)["a"] == x["a"]) & (before(i)["b"] == x["b"])
@@ -52,7 +52,7 @@ def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     Lines are parted by newlines and compared without surrounding spaces; lines without text join no window and go
     only if they lie within a removed stretch. A text of fewer than three lines with text has no window and stays, as does a null.
     Rows that repeat doc_id and text count as one occurrence and get one result; a null doc_id comes after all
-    others. An empty table gives no rows. Other columns stay as they are, whatever their names.
+    others, and texts of one doc_id come in the order of their hashes. An empty table gives no rows. Other columns stay as they are, whatever their names.
     """
     spans = removed_lines(docs, size).select(F.col("id").alias("_zw_id"), F.col("_rk").alias("_zw_rk"), F.col("spans").alias("_zw_spans"))
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_zw_id")) & row_key("text").eqNullSafe(F.col("_zw_rk")), "left")
