@@ -143,3 +143,16 @@ def test_licence_scan(spark):
     assert got[65].licences == ["CC-BY-NC-4.0", "MIT"] and got[62].dice > 0.95
     assert all(got[i].licence is None for i in (1, 2, 3, 4, 5, 9, 13))
     assert ls.scan_licences(empty(spark)).count() == 0
+
+
+def test_licences_in_usual_layout(spark):
+    bsd = next(t for n, t in ls.TEMPLATES if n == "BSD-2-Clause")
+    mit = next(t for n, t in ls.TEMPLATES if n == "MIT" and len(t) > 100)
+    listed = bsd.replace(" 1. ", "\n1. ").replace(" 2. ", "\n2. ")
+    w = mit.split()
+    ragged = "\n".join(x for k in range(0, len(w), 10) for x in (" ".join(w[k : k + 9]), *w[k + 9 : k + 10]))
+    lines = "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9))
+    texts = [(1, prose(1, 60) + "\n" + listed + "\n" + prose(2, 60)), (2, prose(3, 60) + "\n" + ragged + "\n" + prose(4, 60)), (3, lines + "\n" + lines + "\n" + prose(5, 900))]
+    got = {r.doc_id: r for r in ls.scan_licences(frame(spark, texts)).collect()}
+    assert [got[k].licence for k in (1, 2, 3)] == ["BSD-2-Clause", "MIT", "MIT"]
+    assert [len(got[k].blocks) for k in (1, 2, 3)] == [1, 1, 2] and all(got[k].dice > 0.95 for k in (1, 2, 3))

@@ -1,9 +1,9 @@
 """Operator 1: licence scan by Dice coefficient over word bigrams.
 
 A text is normalised (A-Z in lower case, ASCII characters other than letters and digits become space) and cut into units
-at line ends and sentence ends. Compared with the templates are the whole text, every unit, and every run of
-successive units that each share half of their bigrams with the template or more, so that a licence is found inside other prose, on
-one line or over many. A block and a template of a and b bigrams can reach a Dice coefficient of t only if the
+at line ends and sentence ends. Compared with the templates are the whole text, every unit, and stretches of
+successive units within the size bound that begin and end with one that shares half of its bigrams with the template or more, so that
+a licence is found inside other prose, on one line or over many, beside another one or with list numbers on its lines. A block and a template of a and b bigrams can reach a Dice coefficient of t only if the
 smaller count is at least t / (2 - t) of the larger; only templates within that bound are compared.
 """
 
@@ -99,13 +99,30 @@ class Templates:
         """Blocks that match, as (first unit, end unit, coefficient, name), best first; blocks that overlap a better one are left out."""
         units = units_of(raw)
         found: list[tuple[int, int, float, str]] = []
-        runs: dict[int, list[int]] = {}
+        runs: dict[int, list[int]] = {}  # marked units
+        gap: dict[int, int] = {}
         every: set[int] = set()
 
         def close(k: int) -> None:
-            a, b = runs.pop(k)
-            if b - a > 1 and (hit := self.best([w for u in units[a:b] for w in u], {k})):
-                found.append((a, b, *hit))
+            at = runs.pop(k)
+            name, other, m = self.items[k]
+            for i, a in enumerate(at):
+                seen: Counter = Counter()
+                both, n, last, end, top = 0, -1, None, a, None
+                for b in at[i:]:
+                    for w in (w for u in units[end : b + 1] for w in u):
+                        n += 1
+                        if last is not None:
+                            seen[last, w] += 1
+                            both += seen[last, w] <= other.get((last, w), 0)
+                        last = w
+                    end = b + 1
+                    if n > m / self.bound:
+                        break
+                    if end - a > 1 and (d := 2 * both / (n + m)) >= self.threshold and (top is None or d >= top[2]):
+                        top = a, end, d, name
+                if top:
+                    found.append(top)
 
         for i, u in enumerate(units):
             share: Counter = Counter()
@@ -114,9 +131,12 @@ class Templates:
                     share.update(self.by_bigram.get(g, ()))
             marked = {k for k, n in share.items() if 2 * n >= len(u) - 1}
             for k in [k for k in runs if k not in marked]:
-                close(k)
+                gap[k] += max(0, len(u) - 1 - share[k])
+                if gap[k] > self.items[k][2] * (2 / self.threshold - 2):  # no match has more bigrams that the template lacks
+                    close(k)
             for k in marked:
-                runs.setdefault(k, [i, i])[1] = i + 1
+                runs.setdefault(k, []).append(i)
+                gap[k] = 0
             every |= share.keys()
             if share and (hit := self.best(u, set(share))):
                 found.append((i, i + 1, *hit))
