@@ -1,5 +1,6 @@
 """Registered queries take every row of their tables: brute force over the smallest tables."""
 
+import re
 from collections import Counter
 
 import pandas as pd
@@ -39,3 +40,14 @@ def test_grid_of_all_incidents(spark, sf):
     want = Counter(zip(i.c_nationkey[month < "1999-01"], month[month < "1999-01"], strict=True))
     got = {(r.zone_id, r.month): r.events for r in catalogue.grid_filled(spark, sf).where("month < '1999-01' AND events > 0").collect()}
     assert got == want
+
+
+def test_crossmatch_within_45_days(spark, sf):
+    p = pd.read_parquet(f"{sf}/part.parquet").sort_values("p_partkey")
+    r = [(k, k * 17 % 365, set(re.findall("[a-z']+", f"{n} {t}".lower()))) for k, n, t in zip(p.p_partkey, p.p_name, p.p_type, strict=True)]
+    want = {}
+    for c, day, w in (x for x in r if x[0] % 2):
+        near = [k for k, d, v in r if k % 2 == 0 and abs(d - day) <= 45 and 2 * len(w & v) >= len(w | v)]
+        if near:
+            want[c] = near[0]
+    assert {x.case_id: x.record_id for x in catalogue.record_crossmatch(spark, sf).collect()} == want

@@ -460,9 +460,9 @@ def case_status(spark: SparkSession, d: str) -> DataFrame:
 def record_crossmatch(spark: SparkSession, d: str) -> DataFrame:
     """Parts of odd id met with the first part of even id whose name has half of its words in common, within 45 days."""
     r = src.er_records(spark, d).select("record_id", "list", "day_no", "name")
-    cases = r.where("list = 'B'").select(F.col("record_id").alias("case_id"), "day_no", F.col("name").alias("person"), F.lit("").alias("titles"))
-    records = r.where("list = 'A'").select("record_id", F.col("record_id").alias("ord"), "day_no", F.col("name").alias("person"), F.lit("").alias("notes"))
-    return news.cross_match(cases, records, days=5)
+    cases = r.where("list = 'B'").select(F.col("record_id").alias("case_id"), "day_no", F.col("name").alias("person"), F.col("name").alias("titles"))
+    records = r.where("list = 'A'").select("record_id", F.col("record_id").alias("ord"), "day_no", F.col("name").alias("person"), F.col("name").alias("notes"))
+    return news.cross_match(cases, records)
 
 
 # ---- entities ----
