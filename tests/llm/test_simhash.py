@@ -54,29 +54,64 @@ def points_near(n, seed, flips=3):
     p = np.repeat(base, 4)
     for _ in range(flips):
         p = p ^ (np.uint64(1) << rng.integers(0, 64, len(p)).astype(np.uint64))
-    return np.unique(np.concatenate([p, base, base[:50] ^ np.uint64(1)]))
+    return np.unique(np.concatenate([p, base, base[:50] ^ np.uint64(1)])).reshape(-1, 1)
+
+
+def close(p, radius):
+    i, j = np.nonzero(np.bitwise_count(p[:, None, 0] ^ p[None, :, 0]) <= radius)
+    return [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if a < b]
 
 
 def test_leaves_lose_no_link():
     p = points_near(4000, 1)
     for radius in (1, 2, 3):
-        i, j = np.nonzero(np.bitwise_count(p[:, None] ^ p[None, :]) <= radius)
-        want = roots(len(p), [(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b])
-        assert sh.leaf_links(p, radius).tolist() == want
+        want = roots(len(p), close(p, radius))
+        assert sh.linked(p, radius).tolist() == want
         slack = -(-radius // 2)
         tree = sh.VantageTree(p[::7], 20, slack)
-        links = []
-        for _, at in tree.deal(p):
-            links += [(int(at[k]), int(at[r])) for k, r in enumerate(sh.leaf_links(p[at], radius)) if r != k]
-        assert tree.leaves > 8 and roots(len(p), links) == want
+        before = tree.leaves
+        for again in (False, True):
+            links = []
+            for _, at in tree.deal(p):
+                links += [(int(at[k]), int(at[r])) for k, r in enumerate(sh.linked(p[at], radius)) if r != k]
+            assert tree.leaves > 8 and roots(len(p), links) == want
+            if not again:
+                tree.refine({leaf: (p[at][::2], 10) for leaf, at in tree.deal(p) if len(at) > 60})
+        assert tree.leaves > before
+
+
+def test_overfull_leaves_are_parted_again(spark):
+    p = points_near(6000, 4)
+    df = spark.createDataFrame([(int(x),) for x in p[:, 0].view(np.int64)], "node long").selectExpr("node", "node AS f0")
+    few = sh.fitted_tree(df, len(p), 2, 64, 100, overfull=10**6).value
+    more = sh.fitted_tree(df, len(p), 2, 64, 100, overfull=1).value
+    assert more.leaves > 4 * few.leaves
+    got = components(sh.near_edges(df, len(p), 2, 64, 100)).collect()
+    want = roots(len(p), close(p, 2))
+    groups = {}
+    for r in got:
+        groups.setdefault(r.root, set()).add(r.node)
+    have = {}
+    for k, r in enumerate(want):
+        have.setdefault(r, set()).add(int(p[k, 0].view(np.int64)))
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in have.values() if len(g) > 1}
 
 
-def test_accept_confirms_links():
+def test_confirm_decides_links():
     p = points_near(800, 2)
-    accept = lambda i, j: (i + j) % 3 > 0
-    i, j = np.nonzero(np.bitwise_count(p[:, None] ^ p[None, :]) <= 2)
-    want = roots(len(p), [(a, b) for a, b in zip(i.tolist(), j.tolist()) if a < b and accept(a, b)])
-    assert sh.leaf_links(p, 2, accept).tolist() == want
+    ok = lambda i, j: (i + j) % 3 > 0
+    want = roots(len(p), [(a, b) for a, b in close(p, 2) if ok(a, b)])
+    assert sh.linked(p, 2, ok).tolist() == want
+
+
+def test_sets_are_exact():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40)).astype(np.uint64)) for _ in range(60)] + [np.zeros(0, dtype=np.uint64)]
+    known = sh.Sets(sets)
+    for i in range(len(sets)):
+        js = np.array([j for j in range(len(sets)) if j != i])
+        want = [5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) and len(sets[i]) and len(sets[j]) for j in js]
+        assert known.alike(i, js, at_once=50).tolist() == [bool(x) for x in want]
 
 
 def test_components_of_paths_stars_and_rings(spark):
@@ -98,7 +133,7 @@ def test_stage_keeps_one_of_each(spark):
             for x in random.Random(k * 9 + c).sample(range(len(u)), 6):
                 u[x] = f"new{x}"
             texts.append((200 + 3 * k + c, " ".join(u)))
-    got = sh.keep_one_of_each(frame(spark, texts), leaf_points=64, sample_rows=100)
+    got = sh.keep_one_of_each(frame(spark, texts))
     assert got.columns == frame(spark, texts).columns
     kept = [r.doc_id for r in got.collect()]
     assert len(kept) == len(set(kept)) and {5, 9, 14} <= set(kept) and 6 not in kept
@@ -129,11 +164,18 @@ def brute_kept(texts):
     return {texts[k][0] for k, r in enumerate(roots(len(s), links)) if r == k}
 
 
+def test_large_groups_are_compared_in_blocks(spark):
+    t = [f"w{k}" for k in range(300)]
+    texts = [(0, " ".join(t))] + [(k, " ".join([*t[:k], f"n{k}", *t[k + 1 :]])) for k in range(1, 200)] + [(1000 + k, prose(900 + k, 200, 2000)) for k in range(20)]
+    for most in (16, 64, 4096):
+        assert {r.doc_id for r in sh.keep_one_of_each(frame(spark, texts), most).collect()} == {0} | {1000 + k for k in range(20)}
+
+
 def test_stage_equals_jaccard_brute_force(spark):
-    for changes in ((9,), (10, 12), (9, 9, 3)):  # 0.80; below; copies that are alike to the first only
+    for most, changes in ((4096, (9,)), (4096, (10, 12)), (4096, (9, 9, 3)), (4, (9, 9, 3, 5, 8))):  # 0.80; below; copies that are alike to the first only
         texts = near_pairs(sum(changes), 150, changes)
         want = brute_kept(texts)
-        kept = {r.doc_id for r in sh.keep_one_of_each(frame(spark, texts)).collect()}
+        kept = {r.doc_id for r in sh.keep_one_of_each(frame(spark, texts), most).collect()}
         assert want <= kept  # precision: nothing goes that brute force keeps
         assert len(kept - want) <= 0.02 * (len(texts) - len(want))  # recall of 98 % and more
 

@@ -14,15 +14,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long, not null). One row per node that has an edge to another: node, root (one node of its component).
 
     Each round maps every node to the smallest of its neighbours and itself and contracts the edges, until none is
-    left. "Smallest" is by an order that is shuffled for each round, so that paths shrink by a share per round instead
-    of by one node. The rounds' maps are then composed. A node with many neighbours is only grouped with partial
-    aggregation and joined from the side that Spark can split.
+    left. "Smallest" is by number first, which is how simhash ties points to trees, then by an order that is shuffled for
+    each round, so that paths shrink by a share per round instead of by one node. The rounds' maps are then composed from the last to the first, so that a join's key is a node of a
+    round and how many rows share it depends on that round alone, never on the size of the whole component.
     """
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     maps: list[DataFrame] = []
     while not e.isEmpty():
         draw = random.Random(len(maps))
-        mask, turn = draw.getrandbits(63), draw.randrange(1, 64)
+        mask, turn = (draw.getrandbits(63), draw.randrange(1, 64)) if maps else (0, 0)
 
         def rank(c: Column, mask: int = mask, turn: int = turn) -> Column:
             x = c.bitwiseXOR(F.lit(mask))
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         e = cut(e)
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    out = maps[0].select("node", F.col("to").alias("root"))
-    for step in maps[1:]:
-        out = out.join(step.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = maps[-1].select("node", F.col("to").alias("root"))
+    for step in reversed(maps[:-1]):
+        onward = out.select(F.col("node").alias("to"), "root")
+        out = cut(step.join(onward, "to", "left").select("node", F.coalesce("root", "to").alias("root")))
     return out
