@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -45,21 +46,44 @@ def test_pieces_and_places(spark):
     assert n <= -(-total // 512) * 1.02 + 1
 
 
-def test_batches_of_the_plan_cover_every_piece():
-    counts = {s: (s * 7919) % 400 for s in range(1, 200)}
-    plan = packing.squares_plan(counts, 200, plan_items=500)
-    got = defaultdict(int)
-    for times, lengths in plan:
-        assert sum(lengths) <= 200
-        for s in lengths:
-            got[s] += times
-    assert dict(got) == {s: c for s, c in counts.items() if c}
-    assert sum(t for t, _ in plan) <= 1.03 * sum(s * c for s, c in counts.items()) / 200 + 5
+def piece_by_piece(counts, capacity):
+    """The squares rule one piece at a time: how many sequences it needs."""
+    n, done = [0] * (capacity + 1), 0
+    for s in sorted(counts, reverse=True):
+        for _ in range(counts[s]):
+            change = [(1 - 2 * n[s] if g == s else 2 * (n[g - s] - n[g]) + 2, g) for g in range(s, capacity) if n[g]]
+            if change:
+                g = min(change)[1]
+                n[g] -= 1
+                g -= s
+            else:
+                g = capacity - s
+            if g:
+                n[g] += 1
+            else:
+                done += 1
+    return done + sum(n)
+
+
+def test_plan_covers_every_piece_and_is_as_tight_as_piece_by_piece():
+    draw = random.Random(2)
+    for scale in (3, 40, 400, 100_000):
+        counts = {s: draw.randrange(scale) for s in range(1, 200)}
+        plan = packing.squares_plan(counts, 200)
+        got = defaultdict(int)
+        for times, lengths in plan:
+            assert sum(lengths) <= 200
+            for s in lengths:
+                got[s] += times
+        assert dict(got) == {s: c for s, c in counts.items() if c}
+        if scale <= 400:
+            n = piece_by_piece(counts, 200)
+            assert sum(t for t, _ in plan) <= 1.002 * n + 1
 
 
 def test_place_follows_the_squares():
     # 6 then 4 fill one sequence; the second 6 opens one, and 3 goes where the squared counts are least
-    assert sorted(map(sorted, packing._place({6: 2, 4: 1, 3: 1}, 10))) == [[3, 6], [4, 6]]
+    assert sorted(sorted(x) for _, x in packing.squares_plan({6: 2, 4: 1, 3: 1}, 10)) == [[3, 6], [4, 6]]
 
 
 def test_full_sequences_and_ids(spark):
