@@ -3,7 +3,7 @@
 Texts become word hashes, word hashes become k-gram hashes, and of every w successive k-grams the one with the
 smallest hash is kept (the last of equals). Any span of k + w - 1 words that a document shares with an item then
 has a kept k-gram at the same place in both, so joining kept k-grams finds every shared span of that length.
-A hit is extended to the item's whole window by comparing the word hashes around it.
+Around a k-gram that some item keeps, every window of the items' lengths that can have kept it is compared as a whole.
 
 Items of ten words and more are cut into ten-word windows (k = 5, w = 6). Shorter items are one window each and
 use smaller k and w, so the guarantee holds for them too; a tier of lengths runs only if the benchmark has such items.
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, unused
 
 #: Fixed by the contract: what is between words before A-Z is lower-cased, and the window in words.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -65,7 +65,7 @@ def _position(order: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, tier: tuple[int, int, int, int]) -> DataFrame:
-    """Distinct windows of the tier's items: v (kept k-gram), j (its place in the window), m, hs (word hashes), items."""
+    """The windows of the tier's items, one row per item and window: item_id, v (its kept k-gram) and hs (its word hashes)."""
     k, w, low, high = tier
     rows = with_word_hashes(benchmark.select("item_id", "text"))
     if low < WINDOW:
@@ -77,66 +77,79 @@ def item_windows(benchmark: DataFrame, tier: tuple[int, int, int, int]) -> DataF
         length = F.lit(WINDOW)
     rows = with_kept(rows, k, w).withColumn("_m", length)
     at = lambda i: _position(_at("_kept", i))
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(_at("_g", at(i)).alias("v"), (at(i) - i).alias("j"), F.col("_m").alias("m"), F.slice("_h", i + 1, F.col("_m")).alias("hs")))
-    return rows.select("item_id", F.inline(each)).groupBy("v", "j", "m", "hs").agg(F.collect_set("item_id").alias("items"))
-
-
-def _occurrences(kept: DataFrame, by_value: DataFrame, w: int) -> DataFrame:
-    """Spans of documents that equal an item's window. kept: id, _rk, p, from_, ctx, v; by_value: v, ws."""
-    joined = kept.join(by_value, "v")
-    start = lambda x: F.col("p") - x["j"]
-    same = lambda x: F.when(start(x) >= F.col("from_"), F.slice("ctx", start(x) - F.col("from_") + 1, x["m"]) == x["hs"]).otherwise(False)
-    found = joined.withColumn("_f", F.filter("ws", same)).where(F.size("_f") > 0)
-    return found.select("id", "_rk", F.transform("_f", lambda x: F.struct(start(x).alias("s"), (start(x) + x["m"]).alias("e"))).alias("spans"), F.flatten(F.transform("_f", lambda x: x["items"])).alias("items"))
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(_at("_g", at(i)).alias("v"), F.slice("_h", i + 1, F.col("_m")).alias("hs")))
+    return rows.select("item_id", F.inline(each)).distinct()
 
 
 def _kept_rows(docs: DataFrame, k: int, w: int, high: int, context: bool) -> DataFrame:
-    """Kept k-grams of documents, one row each, with the word hashes around it if context. docs: id, _rk, _h."""
+    """Kept k-grams of documents, one row each: id, _rk, p, v, and with context the word hashes around it (from_, ctx). docs: id, _rk, _h."""
     rows = with_kept(docs, k, w).withColumn("_p", F.transform(F.array_distinct("_kept"), _position))
     low = lambda p: F.greatest(p - (w - 1), F.lit(0))
     around = lambda p: (low(p).alias("from_"), F.slice("_h", low(p) + 1, F.lit(w - 1 + high)).alias("ctx"))
     return rows.select("id", "_rk", F.inline(F.transform("_p", lambda p: F.struct(p.alias("p"), _at("_g", p).alias("v"), *(around(p) if context else ())))))
 
 
+def _window_rows(kept: DataFrame, tier: tuple[int, int, int, int]) -> DataFrame:
+    """The windows around kept k-grams: id, _rk, s (first word), hs and their hash."""
+    _, w, low, high = tier
+    starts = F.sequence(F.col("from_"), F.col("p"))
+    lengths = F.array(*(F.lit(m) for m in range(low, high + 1)))
+    fits = lambda s, m: s - F.col("from_") + m <= F.size("ctx")
+    each = F.flatten(F.transform(starts, lambda s: F.transform(F.filter(lengths, lambda m: fits(s, m)), lambda m: F.struct(s.alias("s"), F.slice("ctx", s - F.col("from_") + 1, m).alias("hs")))))
+    return kept.select("id", "_rk", F.inline(each)).withColumn("wid", F.xxhash64("hs"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 100_000) -> DataFrame:
-    """Per distinct (doc_id, text) with a hit: id, _rk, spans (of words, merged, end exclusive), n_hit and items (sorted ids).
+    """Per distinct (doc_id, text) with a hit: id, _rk, spans (of words, merged, end exclusive), n_hit and items (sorted ids as strings).
 
-    The benchmark's windows are broadcast only if they number broadcast_windows at most (counted first). A larger
-    benchmark is joined by shuffle on kept k-grams alone; texts are then looked up for documents with a hit, whose
-    windows are compared in a second join.
+    What the benchmark has of kept k-grams, windows, and links of windows to items is counted; each is broadcast only if it has
+    broadcast_windows rows at most. With more k-grams texts are first met with these alone, by shuffle, and looked up again
+    for documents with a hit. No row holds all windows of a k-gram or all items of a window.
     """
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("_rk", row_key("text"))
-    parts = []
+    empty = rows.limit(0).select("id", "_rk", F.expr("CAST(NULL AS ARRAY<STRUCT<s: INT, e: INT>>)").alias("spans"), F.lit(0).cast("long").alias("n_hit"), F.expr("CAST(NULL AS ARRAY<STRING>)").alias("items"))
+    hashed = with_word_hashes(rows).drop("text")
+    found, linked = [], []
     for tier in TIERS:
         k, w, _, high = tier
         windows = cut(item_windows(benchmark, tier))
         n = windows.count()
         if not n:
             continue
-        by_value = windows.groupBy("v").agg(F.collect_list(F.struct("j", "m", "hs", "items")).alias("ws"))
-        hashed = with_word_hashes(rows).drop("text")
+        small = (lambda df: F.broadcast(df)) if n <= broadcast_windows else (lambda df: df)
+        grams = windows.select("v").distinct()
         if n <= broadcast_windows:
-            parts.append(_occurrences(_kept_rows(hashed, k, w, high, True), F.broadcast(by_value), w))
+            kept = _kept_rows(hashed, k, w, high, True)
         else:
-            hit = _kept_rows(hashed, k, w, high, False).join(windows.select("v").distinct(), "v", "left_semi").select("id", "_rk").distinct()
+            hit = _kept_rows(hashed, k, w, high, False).join(grams, "v", "left_semi").select("id", "_rk").distinct()
             again = rows.alias("a").join(hit.alias("b"), F.expr("a.id <=> b.id AND a._rk <=> b._rk"), "left_semi")
-            parts.append(_occurrences(_kept_rows(with_word_hashes(again).drop("text"), k, w, high, True), by_value, w))
-    if not parts:
-        return rows.limit(0).select("id", "_rk", F.expr("CAST(NULL AS ARRAY<STRUCT<s: INT, e: INT>>)").alias("spans"), F.lit(0).cast("long").alias("n_hit"), F.expr("CAST(NULL AS ARRAY<STRING>)").alias("items"))
-    all_parts = reduce(DataFrame.unionByName, parts)
-    per_doc = all_parts.groupBy("id", "_rk").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("_s"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("_i"))
-    merged = F.aggregate("_s", F.expr("CAST(array() AS ARRAY<STRUCT<s: INT, e: INT>>)"), _add_span)
-    per_doc = per_doc.withColumn("spans", merged)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + (x["e"] - x["s"]))
-    return per_doc.select("id", "_rk", "spans", n_hit.alias("n_hit"), F.array_sort(F.transform("_i", lambda x: x.cast("string"))).alias("items"))
-
-
-def _add_span(acc: Column, x: Column) -> Column:
-    last = F.element_at(acc, -1)
-    joins = (F.size(acc) > 0) & (x["s"] <= F.try_element_at(acc, F.lit(-1))["e"])
-    longer = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e")))
-    return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), longer)).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+            kept = _kept_rows(with_word_hashes(again).drop("text"), k, w, high, True)
+        near = _window_rows(kept.join(small(grams), "v", "left_semi"), tier)
+        known = windows.select(F.xxhash64("hs").alias("wid"), F.col("hs").alias("_hs")).distinct()
+        same = near.join(small(known), "wid").where(F.col("hs") == F.col("_hs"))
+        found.append(same.select("id", "_rk", "wid", "s", (F.col("s") + F.size("hs")).alias("e")))
+        linked.append(windows.where("item_id IS NOT NULL").select(F.xxhash64("hs").alias("wid"), F.col("item_id").cast("string").alias("item")).distinct())
+    if not found:
+        return empty
+    hits = cut(reduce(DataFrame.unionByName, found).distinct())
+    links = reduce(DataFrame.unionByName, linked)
+    links = F.broadcast(links) if links.count() <= broadcast_windows else links
+    per_doc = hits.groupBy("id", "_rk").agg(F.collect_set(F.struct("s", "e")).alias("_s"))
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform("_s", lambda x: F.sequence(x["s"], x["e"] - 1)))))
+    per_doc = per_doc.select("id", "_rk", words.alias("_p"))
+    listed = hits.select("id", "_rk", "wid").distinct().join(links, "wid").groupBy("id", "_rk").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    got = per_doc.alias("p").join(listed.alias("l"), F.expr("p.id <=> l.id AND p._rk = l._rk"), "left")
+    none = F.expr("CAST(array() AS ARRAY<STRING>)")
+    return got.select("p.id", "p._rk", _stretches("_p").alias("spans"), F.size("_p").cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def _stretches(words: str) -> Column:
+    """Sorted positions as stretches of successive ones."""
+    at = lambda i: F.get(F.col(words), i)
+    begins = F.filter(F.col(words), lambda x, i: (i == 0) | (x > at(i - 1) + 1))
+    ends = F.filter(F.col(words), lambda x, i: (i == F.size(words) - 1) | (at(i + 1) > x + 1))
+    return F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("s"), (y + 1).alias("e")))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 100_000) -> DataFrame:
@@ -154,6 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int =
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = 100_000) -> DataFrame:
-    """The rows of docs without any hit, with all their columns as they are."""
-    hits = contamination(docs, benchmark, broadcast_windows).select(F.col("id").alias("_zw_id"), F.col("_rk").alias("_zw_rk"))
-    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col("_zw_id")) & row_key("text").eqNullSafe(F.col("_zw_rk")), "left_anti")
+    """The rows of docs without any hit, with all their columns as they are, whatever their names."""
+    i, k = unused(docs, "_zw_id", "_zw_rk")
+    hits = contamination(docs, benchmark, broadcast_windows).select(F.col("id").alias(i), F.col("_rk").alias(k))
+    return docs.join(hits, docs["doc_id"].eqNullSafe(F.col(i)) & row_key("text").eqNullSafe(F.col(k)), "left_anti")

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, unused
 
-SPAN = "STRUCT<s: INT, e: INT>"
+#: Columns that dedup_lines adds; with more underscores if docs has such columns.
+COUNTS = ("_zw_n_lines", "_zw_n_removed")
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
@@ -36,32 +37,36 @@ def removed_lines(docs: DataFrame, size: int = 3) -> DataFrame:
     before = lambda i: F.get(F.col("_w"), i - 1)
     again = lambda x, i: (i > 0) & (before(i)["a"] == x["a"]) & (before(i)["b"] == x["b"])
     later = F.filter("_w", lambda x, i: ~x["first"] | F.coalesce(again(x, i), F.lit(False)))
-    spans = F.array_sort(F.transform(later, lambda x: F.struct(x["s"], x["e"])))
-    return per_doc.select("id", "_rk", F.aggregate(spans, F.expr(f"CAST(array() AS ARRAY<{SPAN}>)"), _merge).alias("spans")).where(F.size("spans") > 0)
+    per_doc = per_doc.select("id", "_rk", F.array_sort(F.transform(later, lambda x: F.struct(x["s"], x["e"]))).alias("_s")).where(F.size("_s") > 0)
+    return per_doc.select("id", "_rk", _merged("_s").alias("spans"))
 
 
-def _merge(acc: Column, x: Column) -> Column:
-    last = F.try_element_at(acc, F.lit(-1))
-    grown = F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e")))
-    return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+def _merged(spans: str) -> Column:
+    """Spans that overlap or touch as one. A text's windows begin and end in the same order, so a stretch begins where a window begins beyond the end of the one before."""
+    at = lambda i: F.get(F.col(spans), i)
+    begins = F.filter(F.col(spans), lambda x, i: (i == 0) | (x["s"] > at(i - 1)["e"]))
+    ends = F.filter(F.col(spans), lambda x, i: (i == F.size(spans) - 1) | (at(i + 1)["s"] > x["e"]))
+    return F.zip_with(begins, ends, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
 
 
 def dedup_lines(docs: DataFrame, size: int = 3) -> DataFrame:
-    """The rows of docs with their columns; text without later occurrences of repeated windows. Adds _zw_n_lines, _zw_n_removed.
+    """The rows of docs with their columns; text without later occurrences of repeated windows. Adds COUNTS: lines, and lines removed.
 
     Lines are parted by newlines and compared without surrounding spaces; lines without text join no window and go
     only if they lie within a removed stretch. A text of fewer than three lines with text has no window and stays, as does a null.
     Rows that repeat doc_id and text count as one occurrence and get one result; a null doc_id comes after all
-    others, and texts of one doc_id come in the order of their hashes. An empty table gives no rows. Other columns stay as they are, whatever their names.
+    others, and texts of one doc_id come in the order of their hashes. Ids may be of any type that has an order. An empty
+    table gives no rows. Other columns stay as they are, whatever their names.
     """
-    spans = removed_lines(docs, size).select(F.col("id").alias("_zw_id"), F.col("_rk").alias("_zw_rk"), F.col("spans").alias("_zw_spans"))
-    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col("_zw_id")) & row_key("text").eqNullSafe(F.col("_zw_rk")), "left")
+    i, k, sp, *counts = unused(docs, "_zw_id", "_zw_rk", "_zw_spans", *COUNTS)
+    spans = removed_lines(docs, size).select(F.col("id").alias(i), F.col("_rk").alias(k), F.col("spans").alias(sp))
+    joined = docs.join(spans, docs["doc_id"].eqNullSafe(F.col(i)) & row_key("text").eqNullSafe(F.col(k)), "left")
     lines = F.split(F.col("text").cast("string"), "\n")
     n = F.size(lines)
-    gap_start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("_zw_spans"), i - 1)["e"])
-    gap_end = lambda i: F.coalesce(F.get(F.col("_zw_spans"), i)["s"], n)
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_zw_spans")), lambda i: F.struct(gap_start(i).alias("s"), gap_end(i).alias("e")))
+    gap_start = lambda x: F.when(x == 0, F.lit(0)).otherwise(F.get(F.col(sp), x - 1)["e"])
+    gap_end = lambda x: F.coalesce(F.get(F.col(sp), x)["s"], n)
+    gaps = F.transform(F.sequence(F.lit(0), F.size(sp)), lambda x: F.struct(gap_start(x).alias("s"), gap_end(x).alias("e")))
     kept = F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["s"] + 1, g["e"] - g["s"])))
-    gone = F.aggregate("_zw_spans", F.lit(0), lambda a, x: a + x["e"] - x["s"])
-    text = F.when(F.col("_zw_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns), F.coalesce(n, F.lit(0)).cast("long").alias("_zw_n_lines"), F.coalesce(gone, F.lit(0)).cast("long").alias("_zw_n_removed"))
+    gone = F.aggregate(sp, F.lit(0), lambda a, x: a + x["e"] - x["s"])
+    text = F.when(F.col(sp).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*(text.alias(c) if c == "text" else docs[c] for c in docs.columns), F.coalesce(n, F.lit(0)).cast("long").alias(counts[0]), F.coalesce(gone, F.lit(0)).cast("long").alias(counts[1]))
