@@ -3,8 +3,8 @@
 Per language a tree of byte contexts of up to three bytes is counted over all learned documents. A context codes the
 bytes it has seen in proportion to their counts and leaves a share for escape: q of n + q, where q is the number of
 different bytes seen (method C). After an escape the next shorter context codes what the longer one has not seen.
-The statistics are then frozen, so the code length of a byte after a context is a constant; it is written into a table
-by context and byte, once for all languages. A text's language is the one with the shortest code.
+The statistics are then frozen, so the code length of a byte after a context is a constant. A text's language is the one
+with the shortest code.
 
 Bytes are those of the lower-cased text; runs of characters other than letters become one space.
 """
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, id_type
 
 ORDER = 3
 _SPACE = 32
@@ -71,80 +71,78 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """Frozen code lengths: `state` maps three bytes to a row, `bits[row, byte]` has one length per language."""
-
-    def __init__(self, rows: list[tuple[str, int, int]]):
-        """rows: (language, gram, count), each of which counts."""
-        self.languages = sorted({r[0] for r in rows})
-        gram = np.array([r[1] for r in rows], dtype=np.int64)
-        lang = np.array([self.languages.index(r[0]) for r in rows], dtype=np.int64)
-        n = np.array([r[2] for r in rows], dtype=np.float64)
-        parts = np.stack([gram >> s & 255 for s in (24, 16, 8, 0)], axis=1)
-        seen = np.unique(np.concatenate([parts.ravel(), [_SPACE]]))
-        self.index = np.full(256, len(seen), dtype=np.int64)  # a byte never learned is one more symbol
-        self.index[seen] = np.arange(len(seen))
-        a = self.size = len(seen) + 1
-        x = self.index[parts]
-        levels = len(self.languages)
-        rest = np.full((levels, a), 1.0 / a)  # below the empty context: all bytes alike
-        previous: tuple[np.ndarray, np.ndarray] | None = None
-        tables, self.state = [], np.zeros(a**ORDER, dtype=np.int32)
+    """Frozen code lengths of all languages: sorted arrays, as long as there are different grams and contexts.
+
+    A byte that a context has seen has a length of its own. Any other byte has the length that the next shorter context
+    gives it, plus a constant of the context: the escape, less the share that the seen bytes had there.
+    """
+
+    def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+        """lang (number in languages), gram and n (count), an entry per language and gram."""
+        self.languages = languages
+        seen = np.unique(np.append(np.concatenate([gram >> s & 255 for s in (24, 16, 8, 0)]), _SPACE))
+        self.bottom = np.log2(len(seen) + 1.0)  # below the empty context all bytes are alike; those never learned are one more
+        self.orders: list[tuple[np.ndarray, ...]] = []
+        p_lower, lower = None, None
         for order in range(ORDER + 1):
-            context = sum((x[:, ORDER - order + k] * a ** (order - 1 - k) for k in range(order)), np.zeros(len(n), dtype=np.int64))
-            names, row = np.unique(context, return_inverse=True)
+            key, where = np.unique(lang << 32 | gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            c = np.bincount(where, weights=n)
+            context, row = np.unique(key >> 8, return_inverse=True)
+            total, q = np.bincount(row, weights=c), np.bincount(row)
             if order:
-                base, lower = previous
-                shorter = names % a ** (order - 1)
-                start = lower[:, np.searchsorted(base, shorter)]  # every context's suffix has been seen as well
+                suffix = key >> 32 << 32 | key & ((1 << 8 * order) - 1)
+                start = p_lower[np.searchsorted(lower, suffix)]  # every gram's suffix has been seen as well
             else:
-                start = rest[:, None, :]
-            made = np.empty((levels, len(names), a))
-            for k in range(levels):
-                pick = lang == k
-                c = np.bincount(row[pick] * a + x[pick, ORDER], weights=n[pick], minlength=len(names) * a).reshape(len(names), a)
-                had = c > 0
-                q, total_n = had.sum(axis=1, keepdims=True), c.sum(axis=1, keepdims=True)
-                left = np.where(had, 0, start[k])
-                mass = left.sum(axis=1, keepdims=True)
-                share = np.where(mass > 0, q / np.maximum(total_n + q, 1), 0)
-                coded = c / np.maximum(total_n, 1) * (1 - share) + left / np.where(mass > 0, mass, 1) * share
-                made[k] = np.where(q > 0, coded, start[k])
-            first = sum(len(t[0]) for t in tables)
-            tables.append((names, made))
-            if order:
-                span = a ** (ORDER - order)
-                where = (names[None, :] + a**order * np.arange(span)[:, None]).ravel()
-                self.state[where] = np.tile(first + np.arange(len(names)), span)
-            previous = names, made
-        self.bits = np.ascontiguousarray(-np.log2(np.concatenate([m for _, m in tables], axis=1)).transpose(1, 2, 0).astype(np.float32))
+                start = np.full(len(key), 2.0**-self.bottom)
+            escape = q / (total + q)
+            rest = np.maximum(1 - np.bincount(row, weights=start), 1e-300)  # never 0: a byte never learned is in it
+            p = c / total[row] * (1 - escape[row])
+            self.orders.append((key, -np.log2(p), context, np.log2(rest) - np.log2(escape)))
+            p_lower, lower = p, key
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """Length of each gram's last byte after those before it: a row per gram, a column per language."""
+        out = np.empty((len(gram), len(self.languages)))
+        gram = gram.astype(np.int64)
+        for k in range(len(self.languages)):
+            open_, cost = np.arange(len(gram)), np.zeros(len(gram))
+            for order in range(ORDER, -1, -1):
+                key, length, context, onward = self.orders[order]
+                want = k << 32 | gram[open_] & ((1 << 8 * (order + 1)) - 1)
+                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
+                hit = key[at] == want
+                cost[open_[hit]] += length[at[hit]]
+                open_, want = open_[~hit], want[~hit] >> 8
+                at = np.minimum(np.searchsorted(context, want), len(context) - 1)
+                known = context[at] == want
+                cost[open_[known]] += onward[at[known]]
+            cost[open_] += self.bottom
+            out[:, k] = cost
+        return out
 
     def code_lengths(self, texts: list[str], at_once: int = 1 << 19) -> np.ndarray:
-        """Bits of each text in each language (rows: texts)."""
-        a, out = self.size, np.zeros((len(texts), len(self.languages)))
-        pad, held, owner, size = np.full(ORDER - 1, _SPACE, dtype=np.uint8), [], [], 0
+        """Bits of each text in each language (rows: texts). Each different gram of a run of texts is looked up once."""
+        out = np.zeros((len(texts), len(self.languages)))
+        held: list[tuple[int, np.ndarray]] = []
 
         def flush() -> None:
-            nonlocal held, owner, size
             if held:
-                x = self.index[np.concatenate([p for _, p in held])]
-                state = self.state[(x[:-3] * a + x[1:-2]) * a + x[2:-1]]
-                lengths = self.bits[state, x[3:]].astype(np.float64)
-                at = 0
-                for k, p in held:
-                    out[k] += lengths[at : at + len(p) - ORDER].sum(axis=0)
-                    at += len(p)
-            held, size = [], 0
-
+                each, where = np.unique(np.concatenate([g for _, g in held]), return_inverse=True)
+                bits, at = self.bits(each), 0
+                for k, g in held:
+                    out[k] += np.bincount(where[at : at + len(g)], minlength=len(each)) @ bits if len(g) > len(each) else bits[where[at : at + len(g)]].sum(axis=0)
+                    at += len(g)
+                held.clear()
+
+        size = 0
         for k, text in enumerate(texts):
-            x = symbols(text)
-            if not len(x):
-                continue
-            x = np.concatenate([pad, x])
-            for j in range(0, len(x) - ORDER, at_once):
-                held.append((k, x[j : j + at_once + ORDER]))
+            g = grams(text)
+            for j in range(0, len(g), at_once):
+                held.append((k, g[j : j + at_once]))
                 size += len(held[-1][1])
                 if size >= at_once:
                     flush()
+                    size = 0
         flush()
         return out
 
@@ -152,17 +150,22 @@ class Trees:
 def learn(docs: DataFrame) -> Trees | None:
     """Trees from all rows of docs (lang, text) where both are not null; None if there are none.
 
-    Every gram of every language counts, however rare it is.
+    Every gram of every language counts, however rare it is. What reaches the driver is a row per language and different gram: it
+    grows with the languages' vocabulary of four-byte runs, not with the documents.
     """
     counts = gram_counts(docs.where("lang IS NOT NULL AND text IS NOT NULL")).toArrow()
-    rows = list(zip(*(counts.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True))
-    return Trees(rows) if rows else None
+    if not counts.num_rows:
+        return None
+    names = counts.column("lang").combine_chunks().dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
+    number = np.array([languages.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
+    return Trees(languages, number[names.indices.to_numpy()], counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(float))
 
 
 def predict_language(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """Each row's doc_id, lang_pred and score, from text alone.
 
-    docs: doc_id and text; other columns are ignored. A null text or one without a letter is `und` with score 0, as is
+    docs: doc_id (of any type) and text; other columns are ignored. A null text or one without a letter is `und` with score 0, as is
     every text if nothing was learned. score is the language's probability given the code lengths, all languages being
     equally likely before. Equal lengths go to the first language in order of name. Rows come back one for one.
     """
@@ -184,7 +187,7 @@ def predict_language(docs: DataFrame, trees: Trees | None) -> DataFrame:
                         lang[j], score[j] = model.languages[best[j]], float(share[j])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type(docs)}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
