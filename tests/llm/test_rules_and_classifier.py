@@ -49,9 +49,41 @@ def test_order_does_not_change_verdicts():
 
 
 def test_order_is_by_rejections_per_cost():
-    ticks = iter([0.0, 1.0, 1.0, 3.0])  # one second for the first rule, two for the second
-    a, b = qr.Rule("a", lambda t: t.raw == b"x"), qr.Rule("b", lambda t: True)
-    assert [r.name for r in qr.cascade_order((a, b), [b"x", b"y", b"z"], lambda: next(ticks))] == ["b", "a"]
+    ticks = iter([0.0, 1.0, 1.0, 3.0, 3.0, 4.0])  # one second for the first rule, two for the second
+    a, b = qr.Rule("a", lambda t: t.raw == b"x"), qr.Rule("b", lambda t: t.raw != b"w")
+    assert [r.name for r in qr.cascade_order((a, b), [b"w", b"x", b"y", b"z"], clock=lambda: next(ticks))] == ["b", "a"]
+
+
+def test_order_counts_what_earlier_rules_leave():
+    # alone, c rejects more a second than b; after a it rejects nothing more
+    ticks = iter([float(k) for k in range(100)])
+    a, b, c = qr.Rule("a", lambda t: t.raw in (b"1", b"2", b"3")), qr.Rule("b", lambda t: t.raw == b"4"), qr.Rule("c", lambda t: t.raw in (b"1", b"2"))
+    sample = [b"1", b"2", b"3", b"4", b"5"]
+    assert [r.name for r in qr.cascade_order((a, b, c), sample, clock=lambda: next(ticks))] == ["a", "b", "c"]
+    ticks = iter([float(k) for k in range(100)])
+    assert qr.cascade_order((b, c), sample, (a,), lambda: next(ticks))[0] is b
+
+
+def plain_statistics(t):
+    """The twelve statistics from regular expressions."""
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, _, symbols, dup, repeat = len(w), *base_truth(t)[1:]
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    upper, lower, raw = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t)), len(t.encode())
+
+    def odds(part, of):
+        s = min(1.0, 2000 / of) if of else 1.0
+        return np.log(part * s + 0.5) - np.log(max(of - part, 0) * s + 0.5)
+
+    marks, digits, stops = len(re.findall("!", t)), len(re.findall("[0-9]", t)), len(re.findall("[.,;:?]", t))
+    bare = sum(not re.search(r"[A-Za-z]|[^\x00-\x7f]", x) for x in w)
+    return [np.log(n + 1), sum(map(len, w)) / n if n else 0, odds(symbols, n + symbols), odds(upper, upper + lower), odds(repeat, n), odds(dup, len(lines)), odds(bare, n), np.log((len(set(w)) + 1) / (n + 1)), odds(marks, n + marks), odds(digits, raw), odds(stops, n + stops), np.log(n / max(len(lines), 1) + 1)]
+
+
+def test_statistics_equal_brute_force():
+    for _, t in awkward():
+        assert np.allclose(qc.statistics(t.encode() if t is not None else None), plain_statistics(t), atol=1e-9), t
 
 
 def test_keep_good_keeps_columns(spark):

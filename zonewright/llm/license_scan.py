@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 #: Notices and short texts of public licences, each under its usual identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -159,7 +161,7 @@ def compiled(templates: tuple[tuple[str, str], ...], threshold: float) -> Templa
 def scan_licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Each row of docs with doc_id, licence and dice of its best match (null if none), licences (sorted, distinct) and blocks.
 
-    docs: doc_id and text; other columns are ignored. blocks: first unit, end unit (exclusive), coefficient and name of
+    docs: doc_id (of any type) and text; other columns are ignored. blocks: first unit, end unit (exclusive), coefficient and name of
     each match; matches do not overlap. Equal coefficients: the longer block, then the earlier, then the first name. A null
     or empty text has no match. Repeated rows and null ids come back one for one. Neither documents nor matches are moved
     between tasks; the templates are a parameter and travel with the code.
@@ -182,4 +184,4 @@ def scan_licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
             )
 
     text = F.col("text").cast("string").cast("binary").alias("text")
-    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, "doc_id long, licence string, dice double, licences array<string>, blocks array<struct<first: int, end: int, dice: double, licence: string>>")
+    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {id_type(docs)}, licence string, dice double, licences array<string>, blocks array<struct<first: int, end: int, dice: double, licence: string>>")

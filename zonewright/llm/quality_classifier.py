@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, cut
+from .common import crc_fold, cut, id_type
 from .quality_rules import Text
 
 #: The statistics in order. Shares are of words, letters, bytes or lines; all are put on scales where they are roughly normal.
@@ -57,7 +57,15 @@ def features(docs: DataFrame) -> DataFrame:
             x = [statistics(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, x array<double>")
+
+
+def _solved(low: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y with low @ y = b for a lower triangle, row by row."""
+    y = np.empty_like(b)
+    for k in range(len(low)):
+        y[k] = (b[k] - low[k, :k] @ y[:k]) / low[k, k]
+    return y
 
 
 class Discriminant:
@@ -80,16 +88,16 @@ class Discriminant:
             s = ((1 - weight) * cov[k] + weight * pooled) / np.outer(unit, unit)
             s = (1 - ridge) * s + ridge * (np.trace(s) / len(unit)) * np.eye(len(unit))
             low = np.linalg.cholesky(s + 1e-9 * np.eye(len(unit)))
-            self.parts.append((mean[k] / unit, np.linalg.inv(low), np.log(np.diag(low)).sum(), np.log(n[k] / (n[0] + n[1]))))
+            self.parts.append((mean[k] / unit, low, np.log(np.diag(low)).sum(), np.log(n[k] / (n[0] + n[1]))))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each row of x."""
         if self.parts is None:
             return np.full(len(x), self.share)
         z, logs = x / self.unit, []
-        for mean, inverse, log_det, log_share in self.parts:
-            d = (z - mean) @ inverse.T
-            logs.append(log_share - log_det - 0.5 * (d * d).sum(axis=1))
+        for mean, low, log_det, log_share in self.parts:
+            d = _solved(low, (z - mean).T)
+            logs.append(log_share - log_det - 0.5 * (d * d).sum(axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 
 
@@ -111,14 +119,14 @@ def learn(rows: DataFrame) -> Discriminant:
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.3) -> DataFrame:
     """Each row of docs with doc_id, held_out, score and predicted.
 
-    docs: doc_id, text; labels: doc_id, quality; other columns are ignored. Learned are labels 0 and 1 of documents whose
+    docs: doc_id (of any type), text; labels: doc_id, quality; other columns are ignored. Learned are labels 0 and 1 of documents whose
     crc32(doc_id as text) modulo folds is not 0; a label given several times counts each time. A null or empty text has the
     statistics of a text of no words and gets a score like any other. A null doc_id is neither learned from nor held
     out. Repeated rows get equal scores. An empty table gives no rows.
     """
     rows = cut(features(docs))
     fold = crc_fold(F.col("doc_id"), folds)
-    marks = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    marks = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast(id_type(docs)).alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     model = rows.sparkSession.sparkContext.broadcast(learn(rows.where(fold != 0).join(marks.where(fold != 0), "doc_id").select("x", "quality")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,5 +134,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold:
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.value.score(x))], ["doc_id", "score"])
 
-    got = rows.mapInArrow(run, "doc_id long, score double")
+    got = rows.mapInArrow(run, f"doc_id {id_type(docs)}, score double")
     return got.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

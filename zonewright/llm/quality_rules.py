@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
+
 SYMBOLS = b"#*$%&|<>"
 _LETTERED = re.compile(rb"[A-Za-z\x80-\xff]").search
 
@@ -92,10 +94,12 @@ class Rule:
     rejects: Callable[[Text], bool]
 
 
+EMPTY = Rule("empty", lambda t: t.n_words == 0)
+REPEATS = Rule("repeats", lambda t: 100 * t.n_repeat_words > 50 * t.n_words)
 #: The base of the contract: too short, or mostly repeated.
 BASE = (
     Rule("too_short", lambda t: t.n_words < 50),
-    Rule("repeats", lambda t: 100 * t.n_repeat_words > 50 * t.n_words),
+    REPEATS,
 )
 #: The method's own rules. All are ratios of whole numbers, so SQL states them alike.
 RULES = (
@@ -107,16 +111,29 @@ RULES = (
 )
 
 
-def cascade_order(rules: tuple[Rule, ...], sample: list[bytes | None], clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
-    """Rules by rejections per second on the sample, highest first; ties stay in the given order.
+def cascade_order(rules: tuple[Rule, ...], sample: list[bytes | None], base: tuple[Rule, ...] = (), clock: Callable[[], float] = time.perf_counter) -> list[Rule]:
+    """Rules by rejections per second on the sample, each given those before it; ties stay in the given order.
 
-    Every rule is timed on texts of its own, so that what it computes is charged to it.
+    A rule is measured on the texts that base and the rules chosen so far let pass, with what these have computed already
+    at hand, so it is charged for what it adds and credited with what it alone rejects.
     """
-    rate = {}
-    for rule in rules:
-        began, rejected = clock(), sum(bool(rule.rejects(Text(x))) for x in sample)
-        rate[rule.name] = rejected / max(clock() - began, 1e-9)
-    return sorted(rules, key=lambda r: -rate[r.name])
+    left, order = list(rules), []
+    passing = [x for x in sample if not any(r.rejects(Text(x)) for r in base)]
+    while left and passing:
+        rate, stays = [], []
+        for rule in left:
+            texts = [Text(x) for x in passing]
+            for t in texts:
+                for r in (*base, *order):
+                    r.rejects(t)
+            began = clock()
+            rejected = [bool(rule.rejects(t)) for t in texts]
+            rate.append(sum(rejected) / max(clock() - began, 1e-9))
+            stays.append([x for x, r in zip(passing, rejected, strict=True) if not r])
+        best = max(range(len(left)), key=lambda k: rate[k])
+        order.append(left.pop(best))
+        passing = stays[best]
+    return order + left
 
 
 def first_rejecting(rules: list[Rule], text: Text) -> str | None:
@@ -133,18 +150,19 @@ def sample_texts(docs: DataFrame, rows: int) -> list[bytes | None]:
 def quality_verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, sample_rows: int = 200, measures: bool = True) -> DataFrame:
     """Each row of docs with its verdict: the columns of docs' doc_id and text's measures, base_failed, failed_rule and kept.
 
-    docs: doc_id and text; other columns are ignored. Rows come back one for one, repeated rows and null ids too.
+    docs: doc_id (of any type) and text; other columns are ignored. failed_rule is the first in the measured order that rejects, so
+    of several that do, which one is named depends on the timings; base_failed and kept do not. Rows come back one for one, repeated rows and null ids too.
     A null or empty text has no words and fails the base. measures: False leaves out the base measures, so that
     base rules join the cascade and nothing is computed that no rule asked for. An empty table gives no rows.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
+    return docs.select("doc_id", F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(
         _judge(ordered_rules(docs, rules, base, sample_rows, measures), base if measures else (), measures),
-        "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, failed_rule string, kept boolean" if measures else "doc_id long, failed_rule string, kept boolean",
+        f"doc_id {id_type(docs)}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, failed_rule string, kept boolean" if measures else f"doc_id {id_type(docs)}, failed_rule string, kept boolean",
     )
 
 
 def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...], base: tuple[Rule, ...], sample_rows: int, measures: bool) -> list[Rule]:
-    return cascade_order(rules if measures else (*base, *rules), sample_texts(docs, sample_rows))
+    return cascade_order(rules, sample_texts(docs, sample_rows), base) if measures else cascade_order((*base, *rules), sample_texts(docs, sample_rows))
 
 
 def _judge(order: list[Rule], base: tuple[Rule, ...], measures: bool):

@@ -19,18 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, id_type, open_store, remove, shared_dir
 from .tokens import encoder
 
 _RUN = 1024  # blocks per run of the prefix scan
 _PER_TASK = 4  # blocks that a task reads one after another
 
 
-def open_store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The store and the path in it: a plain path is local, else its scheme says which."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-
-
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, width: int = 2) -> DataFrame:
     """Write docs as token files into a shared folder, one per task; returns doc_id, file and ordinal in the file.
 
@@ -57,7 +52,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             out.close()
             fs.move(held, f"{top}/{name}")
 
-    return cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, file string, ordinal long"))
+    return cut(docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type(docs)}, file string, ordinal long"))
 
 
 def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
@@ -106,14 +101,17 @@ def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2,
     return joined.select("file", F.inline(docs))
 
 
-def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def document_token_counts(docs: DataFrame, tokenizer: str, end_id: int, width: int = 2, block_bytes: int = 8 << 20, folder: str | None = None) -> DataFrame:
     """Each row of docs with doc_id, n_tokens, and the file, ordinal and start where its tokens are.
 
-    docs: doc_id and text; other columns are ignored. The token files stay in the session's shared folder. A null or
-    empty text has 0 tokens; repeated rows and null ids are counted each for itself. An empty table gives no rows.
+    docs: doc_id (of any type) and text; other columns are ignored. The token files are written to `folder` and stay there; without
+    one they go to the session's shared folder and are removed once counted. A null or empty text has 0 tokens; repeated
+    rows and null ids are counted each for itself. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    order = write_token_files(docs, folder, tokenizer, end_id, width)
-    counts = count_tokens(spark, folder, end_id, width, block_bytes)
+    there = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    order = write_token_files(docs, there, tokenizer, end_id, width)
+    counts = count_tokens(spark, there, end_id, width, block_bytes)
+    if folder is None:
+        remove(there)
     return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal", "start")
