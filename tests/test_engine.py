@@ -94,7 +94,7 @@ def test_backtest_bars(spark):
     grid = entity.checkpointed(panels.filled_grid(spark.createDataFrame(rows, "zone_id int, month string, events long")))
     p = entity.checkpointed(forecast.walk_forward(grid))
     m, auc = forecast.classification_metrics(p).first(), forecast.auc(p, "score", "label").first().auc
-    assert 0.6 <= auc <= 0.98 and m.brier < 0.25 and m.n > 100 and 14 <= m.lead_days <= 16
+    assert 0.6 <= auc <= 0.95 and m.brier < 0.25 and m.n > 100 and 14 <= m.lead_days <= 16
 
 
 def test_cases_are_terminal(spark):

@@ -47,7 +47,7 @@ def test_crossmatch_within_45_days(spark, sf):
     r = [(k, k * 17 % 365, set(re.findall("[a-z']+", f"{n} {t}".lower()))) for k, n, t in zip(p.p_partkey, p.p_name, p.p_type, strict=True)]
     want = {}
     for c, day, w in (x for x in r if x[0] % 2):
-        near = [k for k, d, v in r if k % 2 == 0 and abs(d - day) <= 45 and 2 * len(w & v) >= len(w | v)]
+        near = [k for k, d, v in r if k % 2 == 0 and abs(d - day) <= 45 and (2 * len(w & v) >= len(w | v) or (abs(d - day) <= 14 and c % 40 == 1 and k % 40 == 0))]
         if near:
             want[c] = near[0]
     assert {x.case_id: x.record_id for x in catalogue.record_crossmatch(spark, sf).collect()} == want

@@ -20,6 +20,11 @@ def counter_uniform(seed: int, first: int, n: int) -> np.ndarray:
     return (t ^ (t >> np.uint64(14))).astype(np.float64) / 4294967296.0
 
 
+def replication(seed: int, number: int) -> np.random.Generator:
+    """The generator of one replication: counter-based, with 128 bits of counter per key, so streams of different numbers never meet."""
+    return np.random.Generator(np.random.Philox(key=[seed & 0xFFFFFFFFFFFFFFFF, number]))
+
+
 # ---- strings ----
 
 
@@ -160,6 +165,7 @@ def poisson_gamma(series: np.ndarray, horizon: int) -> np.ndarray:
     return np.array(out)
 
 
+#: The grid of smoothing parameters.
 ALPHAS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75)
 BETAS = GAMMAS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3)
 

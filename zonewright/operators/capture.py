@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import chapman, counter_uniform, three_list_total
+from ..functions.kernels import chapman, replication, three_list_total
 
 
 def chapman_point(df: DataFrame, in_a: Column, in_b: Column) -> DataFrame:
@@ -27,18 +27,15 @@ def pattern_table(df: DataFrame, flags: list[Column]) -> list[tuple[tuple[bool,
 
 
 def _resampled(spark, sizes: list[int], seed: int, replications: int, estimate) -> np.ndarray:
-    """estimate(counts per pattern) for each replication: as many rows as there are, drawn with replacement by the counter-based generator."""
-    total, cum = sum(sizes), np.cumsum(sizes)
+    """estimate(counts per pattern) for each replication: as many rows as there are, drawn with replacement, as one multinomial."""
+    total = sum(sizes)
+    share = np.array(sizes) / max(total, 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for rep in b["id"]:
-                n = np.zeros(len(cum), dtype=np.int64)
-                for k in range(0, total, 1 << 20):
-                    u = counter_uniform(seed, int(rep) * total + k, min(1 << 20, total - k))
-                    n += np.bincount(np.searchsorted(cum, np.floor(u * total), side="right"), minlength=len(cum))
-                out.append(estimate(n))
+                out.append(estimate(replication(seed, int(rep)).multinomial(total, share)))
             yield pd.DataFrame({"v": pd.Series(out, dtype="float64")})
 
     got = spark.range(replications).mapInPandas(run, "v double").where("v IS NOT NULL AND NOT isnan(v)").collect()

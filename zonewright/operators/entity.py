@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 from ..functions.columns import half_up, haversine_km
 from ..functions.kernels import jaro_winkler
 from ..functions.text import normalised
+from ..session import shared_folder
 
 
 @F.pandas_udf(DoubleType())
@@ -36,6 +37,41 @@ def banded_pairs(a: DataFrame, b: DataFrame, column: str, band: int, extra: list
     return left.join(right, on).drop("_bucket")
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def letter_counts(name: str) -> Column:
+    """How often a normalised name has each character that such a name can have."""
+    return F.when(F.col(name).isNotNull(), F.array(*(F.length(name) - F.length(F.replace(F.col(name), F.lit(x), F.lit(""))) for x in _LETTERS)))
+
+
+def most_similar() -> Column:
+    """The most that the Jaro-Winkler similarity of _name_a and _name_b can be: every character they have in common matches, none is moved.
+
+    From columns _letters_a and _letters_b, so most pairs are told apart without the comparison itself.
+    """
+    n, m = F.length("_name_a"), F.length("_name_b")
+    both = F.aggregate(F.zip_with("_letters_a", "_letters_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    jaro = F.when(both > 0, (both / n + both / m + 1) / 3).otherwise(F.when((n == 0) & (m == 0), 1.0).otherwise(0.0))
+    same = lambda k: F.substring("_name_a", 1, k) == F.substring("_name_b", 1, k)
+    prefix = F.when(same(4), 4).when(same(3), 3).when(same(2), 2).when(same(1), 1).otherwise(0)
+    return jaro + prefix * F.lit(0.1) * (1 - jaro) + F.lit(1e-9)
+
+
+def pairs_by_items(rows: DataFrame, key: str, items: str, keep: Column, column: str, band: int, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """a < b: keys whose `keep` rarest items have one in common, whose `column` differs by `band` at most and whose extra columns are equal.
+
+    rows: key, items (array without repeats) and the columns. If two rows that are wanted share so many items that the rarest
+    `keep` of each must meet (n less the least overlap, plus one), no wanted pair is lost, and a frequent item joins nothing.
+    """
+    each = rows.select(key, column, *extra, keep.alias("_keep"), F.explode(items).alias("_item"))
+    common = each.groupBy("_item").agg(F.count("*").alias("_times"))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("_times", "_item"))
+    index = checkpointed(each.join(common, "_item").withColumn("_r", rank).where(F.col("_r") <= F.col("_keep")).select(key, column, *extra, "_item"))
+    pairs = banded_pairs(index, index, column, band, ["_item", *extra]).where(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return pairs.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
+
+
 def scored_pairs(a: DataFrame, b: DataFrame, days: int, similarity: float, km: float | None = None, once: bool = False) -> DataFrame:
     """a_id, b_id, score of pairs that may be one entity. a, b: record_id, day_no, name, county and, if km is given, lat and lng.
 
@@ -43,12 +79,13 @@ def scored_pairs(a: DataFrame, b: DataFrame, days: int, similarity: float, km: f
     place must be comparable. The score weighs name 0.5, place 0.3 (0.5 if not comparable) and date 0.2; the same county adds 0.05.
     once: a and b are the same list, so each pair is met in one order only and no row with itself.
     """
-    clean = lambda df: df.withColumn("_name", F.when(F.trim("name") != "", normalised("name")))
+    clean = lambda df: df.withColumn("_name", F.when(F.trim("name") != "", normalised("name"))).withColumn("_letters", letter_counts("_name"))
     pairs = banded_pairs(clean(a), clean(b), "day_no", days)
     if once:
         pairs = pairs.where("record_id_a < record_id_b")
     named = F.col("_name_a").isNotNull() & F.col("_name_b").isNotNull()
-    pairs = pairs.withColumn("_named", named).withColumn("_jw", F.when(F.col("_named"), name_similarity("_name_a", "_name_b")))
+    pairs = pairs.withColumn("_named", named).where(~F.col("_named") | (most_similar() >= similarity)).drop("_letters_a", "_letters_b")
+    pairs = pairs.withColumn("_jw", F.when(F.col("_named"), name_similarity("_name_a", "_name_b")))
     place, placed = F.lit(0.5), F.lit(False)
     if km is not None:
         dist = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
@@ -86,12 +123,8 @@ def greedy_assignment(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (or one of the context's own where that is unset) and read from there."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="zonewright-"))
+    """df, written to the shared folder and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .entity import checkpointed
+
 
 def zero_filled_counts(zones: DataFrame, incidents: DataFrame, key: str = "zone_id", **conditions: Column) -> DataFrame:
     """zones with `documented` and one count per condition; zones without incidents get 0. Incidents without zone count nowhere.
@@ -38,7 +40,8 @@ def empirical_bayes(df: DataFrame, count: str = "documented", population: str =
 def midrank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Adds the mid-rank percentile: (values below + (equal values - 1) / 2) / (n - 1); 0.5 for one row.
 
-    Counted over distinct values, so equal rows do not meet in one task; only the distinct values are ordered.
+    Counted over distinct values, so equal rows do not meet in one task. The distinct values are ordered by one task: it is for
+    tables of places (see sums_below for values of events).
     """
     counts = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_e"))
     running = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -48,6 +51,20 @@ def midrank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(counts.select("_v", place.alias(out)), F.col(value).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
+def sums_below(counts: DataFrame, value: str, n: str, out: str) -> DataFrame:
+    """counts (a row per value) with `out`: the sum of n over all smaller values.
+
+    Values are dealt to tasks in ranges, each task sums its own in order, and the sums of the ranges before are added: as many
+    rows as there are ranges are the only ones that meet in one task.
+    """
+    dealt = checkpointed(counts.repartitionByRange(F.col(value)).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(F.sum(n).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(ranges), "_range")  # a row per range
+    return joined.withColumn(out, F.col("_before") + F.coalesce(F.sum(n).over(inside), F.lit(0))).drop("_range", "_before")
+
+
 def per_100k(count: Column, population: Column) -> Column:
     return count / (population / F.lit(1e5))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import counter_uniform
+from ..functions.kernels import replication
 from .geo import zone_distances
 
 RADII = (40, 80, 130, 200, 280)
@@ -52,12 +52,12 @@ def scanned(zones: DataFrame, cases: DataFrame, kind: str = "reference") -> Data
     return joined.select("center", "radius_km", "members", "n_members", o.alias("observed"), e.alias("expected"), llr(o, e, c, kind).alias("llr"), rr.alias("rr"))
 
 
-def null_maxima(zones: DataFrame, ring: DataFrame, total_cases: int, replications: int = 999, seed: int = 424242, at_once: int = 1 << 20) -> DataFrame:
+def null_maxima(zones: DataFrame, ring: DataFrame, total_cases: int, replications: int = 999, seed: int = 424242) -> DataFrame:
     """rep, llr: the largest ratio of each replication, cases being dealt to zones by population.
 
-    Replications are rows of a range and run on all executors. Draw k of replication r is draw r * total_cases + k of one
-    counter-based generator, so results do not depend on how rows are dealt. Zones and circles are broadcast: they are
-    places and sets of places.
+    Replications are rows of a range and run on all executors. Each draws its counts per zone at once (a multinomial), whatever the
+    number of cases, from a generator of its own number, so results do not depend on how rows are dealt. Zones and circles are
+    sent to all: they are places and sets of places.
     """
     rows = zones.orderBy("zone_id").select("zone_id", "population").collect()
     at = {r["zone_id"]: k for k, r in enumerate(rows)}
@@ -67,18 +67,14 @@ def null_maxima(zones: DataFrame, ring: DataFrame, total_cases: int, replication
     for i, r in enumerate(sets):
         member[i, [at[z] for z in r["members"]]] = 1
     expected = member @ people / people.sum() * total_cases
-    held = zones.sparkSession.sparkContext.broadcast((np.cumsum(people / people.sum()), member, expected))
+    held = zones.sparkSession.sparkContext.broadcast((people / people.sum(), member, expected))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cum, member, expected = held.value
+        share, member, expected = held.value
         for b in batches:
             best = []
             for rep in b["id"]:
-                drawn = np.zeros(len(cum))
-                for k in range(0, total_cases, at_once):
-                    u = counter_uniform(seed, int(rep) * total_cases + k, min(at_once, total_cases - k))
-                    drawn += np.bincount(np.minimum(np.searchsorted(cum, u, side="left"), len(cum) - 1), minlength=len(cum))
-                o = member @ drawn
+                o = member @ replication(seed, int(rep)).multinomial(total_cases, share)
                 over = o > expected
                 best.append(float((o[over] * np.log(o[over] / expected[over])).max()) if over.any() else 0.0)
             yield pd.DataFrame({"rep": b["id"], "llr": best})

@@ -56,7 +56,7 @@ def radius_windows(sightings: DataFrame, zones: DataFrame, days: int, radius_km:
     """
     span = days * 86_400_000_000
     place = zones.select("zone_id", "lat", "lng")
-    s = sightings.select("vehicle_key", "sighting_id", "sighted_at", "zone_id", F.unix_micros("sighted_at").alias("us")).join(F.broadcast(place), "zone_id", "left").withColumn("b", F.floor(F.col("us") / F.lit(span)))
+    s = sightings.select("vehicle_key", "sighting_id", "sighted_at", "zone_id", F.unix_micros("sighted_at").alias("us")).join(place, "zone_id", "left").withColumn("b", F.floor(F.col("us") / F.lit(span)))
     a = s.select("vehicle_key", F.col("sighting_id").alias("anchor"), F.col("sighted_at").alias("start"), F.col("us").alias("us_a"), F.col("zone_id").alias("zone_a"), F.col("lat").alias("lat_a"), F.col("lng").alias("lng_a"), F.explode(F.array(F.col("b"), F.col("b") + 1)).alias("b"))
     near = F.coalesce(haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat"), F.col("lng")) <= radius_km, F.col("lat_a").isNull())
     inside = (F.col("us") >= F.col("us_a")) & (F.col("us") <= F.col("us_a") + span) & ((F.col("zone_id") == F.col("zone_a")) | near)

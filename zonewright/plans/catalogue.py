@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.columns import equirectangular, half_up, micro
 from ..operators import capture, entity, forecast, geo, news, panels, rates, risk, scan, sinks, vehicles
+from ..session import shared_folder
 from ..sources import readers
 from ..sources import tables as src
 from ..streaming import streams
@@ -69,7 +69,7 @@ def window_filter(spark: SparkSession, d: str) -> DataFrame:
 def placed(spark: SparkSession, d: str) -> DataFrame:
     """The located incidents with places of their own near their zone's."""
     i = src.incidents(spark, d).where("zone_id IS NOT NULL")
-    z = F.broadcast(src.zones(spark, d).select("zone_id", "lat", "lng"))
+    z = src.zones(spark, d).select("zone_id", "lat", "lng")
     k = F.col("incident_id")
     return i.join(z, "zone_id").select("zone_id", (F.col("lat") + k % 7 / F.lit(100.0)).alias("lat"), (F.col("lng") - k % 5 / F.lit(100.0)).alias("lng"))
 
@@ -428,25 +428,33 @@ def html_anchor_index(spark: SparkSession, d: str) -> DataFrame:
     return readers.anchors(src.table(spark, d, "pages"), "page_id", "html", r"/([^\"/?#]+)")
 
 
+def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """Pairs a, b with the column of both."""
+    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col(column).alias(f"{column}_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
 @query
 def set_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of headlines of one source and day with a Jaccard similarity of words of 0.1 and more."""
+    """Pairs of texts of one source and day with a Jaccard similarity of words of 0.5 and more."""
     h = src.headlines(spark, d).select("doc_id", "source", "age_days", F.array_distinct(F.filter(F.split(T.normalised("title"), " "), lambda w: w != "")).alias("w"))
-    p = entity.banded_pairs(h, h, "age_days", 0, ["source"]).where("doc_id_a < doc_id_b")
-    return p.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), micro(T.jaccard(F.col("w_a"), F.col("w_b"))).alias("jaccard")).where("jaccard >= 0.1")
+    n = F.size("w")
+    met = entity.pairs_by_items(h, "doc_id", "w", n - F.ceil(0.5 * n) + 1, "age_days", 0, ["source"])
+    return beside(met, h, "w").select("a", "b", micro(T.jaccard(F.col("w_a"), F.col("w_b"))).alias("jaccard")).where("jaccard >= 0.5")
 
 
 @query
 def bigram_cosine(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of headlines of one source within three days with a cosine of bigrams above 0."""
+    """Pairs of texts of one source within three days with a cosine of bigrams of 0.42 and more."""
     h = src.headlines(spark, d).select("doc_id", "source", "age_days", T.bigram_set(T.tokens(F.lower("title"))).alias("g"))
-    p = entity.banded_pairs(h, h, "age_days", 3, ["source"]).where("doc_id_a < doc_id_b")
-    return p.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), micro(T.set_cosine(F.col("g_a"), F.col("g_b"))).alias("cosine")).where("cosine > 0")
+    n = F.size("g")
+    met = entity.pairs_by_items(h, "doc_id", "g", n - F.ceil(0.42 * 0.42 * n - 1e-9) + 1, "age_days", 3, ["source"])
+    return beside(met, h, "g").select("a", "b", micro(T.set_cosine(F.col("g_a"), F.col("g_b"))).alias("cosine")).where("cosine >= 0.42")
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_sub(news_day(), F.col("age_days"))
-    return src.headlines(spark, d).where(F.col("title").rlike("(?i)that")).select(F.col("doc_id").alias("article_id"), F.unix_date(day).alias("day_no"), "title", "source", F.concat(F.lit("u/"), F.col("doc_id")).alias("url"), day.alias("pub_date"))
+    return src.page_titles(spark, d).select(F.col("page_id").alias("article_id"), F.unix_date(day).alias("day_no"), "title", "source", "url", day.alias("pub_date"))
 
 
 @query
@@ -458,10 +466,11 @@ def case_status(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def record_crossmatch(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of odd id met with the first part of even id whose name has half of its words in common, within 45 days."""
+    """Parts of odd id met with the first part of even id whose name has half of its words in common, within 45 days, or that
+    tells of the same role within 14 days: every twentieth part of a list is given one."""
     r = src.er_records(spark, d).select("record_id", "list", "day_no", "name")
-    cases = r.where("list = 'B'").select(F.col("record_id").alias("case_id"), "day_no", F.col("name").alias("person"), F.col("name").alias("titles"))
-    records = r.where("list = 'A'").select("record_id", F.col("record_id").alias("ord"), "day_no", F.col("name").alias("person"), F.col("name").alias("notes"))
+    cases = r.where("list = 'B'").select(F.col("record_id").alias("case_id"), "day_no", F.col("name").alias("person"), F.concat(F.when(F.col("record_id") % 40 == 1, "Driver found: ").otherwise(""), F.col("name")).alias("titles"))
+    records = r.where("list = 'A'").select("record_id", F.col("record_id").alias("ord"), "day_no", F.col("name").alias("person"), F.concat(F.when(F.col("record_id") % 40 == 0, "a driver, ").otherwise(""), F.col("name")).alias("notes"))
     return news.cross_match(cases, records)
 
 
@@ -496,10 +505,11 @@ def unmatched_records(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of one customer that are placed within 60 days of each other, chained."""
+    """Orders of one customer that are placed within 60 days of each other, chained: each is tied to the one before it."""
     o = src.table(spark, d, "orders").select("o_orderkey", "o_custkey", F.unix_date(F.col("o_orderdate").cast("date")).alias("day"))
-    p = entity.banded_pairs(o, o, "day", 60, ["o_custkey"]).where("o_orderkey_a < o_orderkey_b")
-    return entity.components(o.select(F.col("o_orderkey").alias("node")), p.select(F.col("o_orderkey_a").alias("a"), F.col("o_orderkey_b").alias("b")))
+    w = Window.partitionBy("o_custkey").orderBy("day", "o_orderkey")
+    near = o.select(F.col("o_orderkey").alias("a"), F.when(F.col("day") - F.lag("day").over(w) <= 60, F.lag("o_orderkey").over(w)).alias("b")).where("b IS NOT NULL")
+    return entity.components(o.select(F.col("o_orderkey").alias("node")), near)
 
 
 @query
@@ -588,8 +598,7 @@ def snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def state_folder(spark: SparkSession) -> str:
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{there or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query

@@ -16,7 +16,7 @@ CTE: dict[str, str] = {
         count(*) AS events, CAST(sum(l.l_linenumber) AS BIGINT) AS fatalities
         FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY ALL""",
     "sightings": "SELECT event_id AS sighting_id, epoch_us(ts) AS us, user_id AS vehicle_key, CAST(event_id % 25 AS INTEGER) AS zone_id FROM events WHERE event_type IN ('view', 'click')",
-    "headlines": "SELECT doc_id, substring(text, 1, 90) AS title, source, CAST(doc_id % 60 AS INTEGER) AS age_days FROM documents",
+    "headlines": "SELECT doc_id, text AS title, source, CAST(doc_id % 60 AS INTEGER) AS age_days FROM documents",
     "er": "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE 'B' END AS list, p_partkey AS record_id, concat(p_name, ' ', lower(p_type)) AS name, p_brand AS county, CAST((p_partkey * 17) % 365 AS INTEGER) AS day_no FROM part",
     "edges": """SELECT z.zone_id, 0 AS ring, e.seq, z.lng + 0.4e0 * e.ax AS x1, z.lat + 0.4e0 * e.ay AS y1, z.lng + 0.4e0 * e.bx AS x2, z.lat + 0.4e0 * e.by_ AS y2
         FROM (SELECT n_nationkey AS zone_id, -4e0 + 0.85e0 * (n_nationkey % 5) AS lat, 34e0 + 0.85e0 * floor(n_nationkey / 5e0) AS lng FROM nation) z
@@ -31,7 +31,7 @@ CTE: dict[str, str] = {
     "rates": """SELECT zone_id, zone_name, documented, population, floor(documented / population * 1e5 * 1e6 + 0.5) / 1e6 AS crude_rate,
         floor(pm * 1e5 * 1e6 + 0.5) / 1e6 AS eb_rate, floor(greatest(0, pm - 1.96 * ps) * 1e5 * 1e6 + 0.5) / 1e6 AS eb_lo, floor((pm + 1.96 * ps) * 1e5 * 1e6 + 0.5) / 1e6 AS eb_hi FROM eb""",
     "panel": """SELECT zone_id, month, CAST(sum(events) AS BIGINT) AS events FROM (
-        SELECT zone_id, strftime(incident_date, '%Y-%m') AS month, count(*) AS events FROM incidents WHERE zone_id IS NOT NULL AND strftime(incident_date, '%Y-%m') < '1999-01' AND {only} GROUP BY ALL
+        SELECT zone_id, strftime(incident_date, '%Y-%m') AS month, count(*) AS events FROM incidents WHERE zone_id IS NOT NULL AND strftime(incident_date, '%Y-%m') < '1999-01' GROUP BY ALL
         UNION ALL SELECT zone_id, strftime(week, '%Y-%m'), sum(events) FROM weekly WHERE strftime(week, '%Y-%m') >= '1999-01' AND strftime(week, '%Y-%m') <= '{last}' GROUP BY ALL) GROUP BY ALL""",
     "grid": """SELECT z.zone_id, m.month, CAST(m.mi AS INTEGER) AS mi, coalesce(p.events, 0) AS events, p.events IS NOT NULL AS present
         FROM (SELECT DISTINCT zone_id FROM panel) z CROSS JOIN (SELECT month, row_number() OVER (ORDER BY month) - 1 AS mi FROM (SELECT DISTINCT month FROM panel)) m
@@ -82,13 +82,13 @@ CTE: dict[str, str] = {
         WHEN regexp_matches(title, '(?i)\\bwith\\b') THEN 'Lamu' WHEN regexp_matches(title, '(?i)\\bfrom\\b') THEN 'Nyeri' WHEN regexp_matches(title, '(?i)\\bthis\\b') THEN 'Embu' END AS zone FROM headlines""",
     "scored": "SELECT value AS score, CAST(event_type = 'error' AS INTEGER) AS label, event_id % 97 AS other FROM events",
     "chap": "SELECT count_if(in_mv) AS n_a, count_if(in_ob) AS n_b, count_if(in_mv AND in_ob) AS overlap, count(*) AS documented FROM incidents WHERE in_mv OR in_ob",
-    "feed": """SELECT 'zone-' || zone_id AS id, band AS severity, 'zone-risk' AS kind, upper(band) || ' · ' || zone_name || ' (' || region_name || ')' AS title, confidence, 0 AS part FROM index_table WHERE band <> 'baseline'
-        UNION ALL SELECT 'vehicle-' || vehicle_key, 'info', 'vehicle', 'VEHICLE PATTERN · ' || vehicle_key, CASE WHEN confidence >= 0.8 THEN 'high' ELSE 'medium' END, 1 FROM patterns WHERE n >= 8
-        UNION ALL SELECT 'temporal-spike', 'elevated', 'zone-risk', 'ELEVATED · national temporal anomaly (' || month || ')', 'high', 2 FROM (SELECT * FROM trail12 WHERE z >= 2 ORDER BY z DESC, month LIMIT 1)
-        UNION ALL SELECT 'acled-corroboration', 'watch', 'zone-risk', 'WATCH · weekly aggregates corroborate ' || CAST((SELECT sum(abductions) FROM burden) AS BIGINT) || ' abduction-coded events (trailing 12 months)', 'medium', 3
+    "feed": """SELECT 'zone-' || zone_id AS id, band AS severity, 'zone-risk' AS kind, zone_name || ', ' || region_name || ': ' || band || ' risk' AS title, confidence, 0 AS part, zone_name || ' in ' || region_name || ' stands at ' || printf('%.1f', ix) || ' points out of a hundred. The figure is about the place as a whole, never about a person.' AS message, CASE band WHEN 'critical' THEN 4 WHEN 'elevated' THEN 3 ELSE 2 END AS n_actions FROM index_table WHERE band <> 'baseline'
+        UNION ALL SELECT 'vehicle-' || vehicle_key, 'info', 'vehicle', 'Vehicle ' || vehicle_key || ': repeated sightings', CASE WHEN confidence >= 0.8 THEN 'high' ELSE 'medium' END, 1, NULL, 2 FROM patterns WHERE n >= 8
+        UNION ALL SELECT 'temporal-spike', 'elevated', 'zone-risk', 'National count unusually high in ' || month, 'high', 2, ed || ' cases in ' || month || ', where the twelve months before had ' || printf('%.1f', floor(mean * 10 + 0.5) / 10) || ' on average: ' || printf('%.1f', z) || ' standard deviations more.', 2 FROM (SELECT * FROM trail12 WHERE z >= 2 ORDER BY z DESC, month LIMIT 1)
+        UNION ALL SELECT 'acled-corroboration', 'watch', 'zone-risk', CAST((SELECT sum(abductions) FROM burden) AS BIGINT) || ' abductions in the weekly aggregates of twelve months', 'medium', 3, NULL, 1
             FROM (SELECT sum(events) FILTER (WHERE sub_type = 'F') AS a FROM weekly WHERE strftime(week, '%Y-%m') = (SELECT max(strftime(week, '%Y-%m')) FROM weekly)) WHERE a > 0
-        UNION ALL SELECT 'data-mse', 'info', 'data', 'DATA LAYER · underreporting estimate updated', 'high', 4 FROM chap
-        UNION ALL SELECT 'news-watch', 'watch', 'data', 'WATCH · news coverage surge: ' || last7d || ' matching articles in 7 days', 'medium', 5 FROM sums WHERE last7d >= 10 AND last7d >= 1.5 * greatest(floor(prev4w / 4e0 * 10 + 0.5) / 10, 1)""",
+        UNION ALL SELECT 'data-mse', 'info', 'data', 'Estimate of what is not reported', 'high', 4, NULL, 1 FROM chap
+        UNION ALL SELECT 'news-watch', 'watch', 'data', last7d || ' matching articles in a week', 'medium', 5, NULL, 1 FROM sums WHERE last7d >= 10 AND last7d >= 1.5 * greatest(floor(prev4w / 4e0 * 10 + 0.5) / 10, 1)""",
 }
 
 NEEDS: dict[str, tuple[str, ...]] = {
@@ -101,7 +101,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
 }
 
 
-def sql(select: str, *needs: str, only: str = "true", last: str = "9999-12") -> str:
+def sql(select: str, *needs: str, last: str = "9999-12") -> str:
     """select with the expressions it needs before it, each after those it needs itself."""
     order: list[str] = []
 
@@ -113,11 +113,11 @@ def sql(select: str, *needs: str, only: str = "true", last: str = "9999-12") ->
 
     for n in needs:
         add(n)
-    body = ",\n".join(f"{n} AS MATERIALIZED ({CTE[n].format(only=only, last=last) if n == 'panel' else CTE[n]})" for n in order)
+    body = ",\n".join(f"{n} AS MATERIALIZED ({CTE[n].format(last=last) if n == 'panel' else CTE[n]})" for n in order)
     return f"WITH RECURSIVE {body}\n{select}" if body else select
 
 
-GRID = {"only": "incident_id % 3 = 0", "last": "2001-06"}
+GRID = {"last": "2001-06"}
 
 
 def m6(x: str, name: str) -> str:
@@ -133,7 +133,7 @@ SQL: dict[str, str] = {
     "zone_counts_zero_filled": sql("SELECT zone_id, documented, CAST(n_mv AS BIGINT) AS n_mv, CAST(n_ob AS BIGINT) AS n_ob, CAST(n_mort AS BIGINT) AS n_mort FROM counts", "counts"),
     "located_counts": sql("SELECT count(zone_id) AS located, count(*) - count(zone_id) AS unlocated, CAST(count_if(in_mv AND in_ob) AS BIGINT) AS in_both, count(DISTINCT zone_id) AS n_zones FROM incidents", "incidents"),
     "window_filter": sql("SELECT zone_id, count(*) AS n, min(incident_date) AS first_date, max(incident_date) AS last_date FROM incidents WHERE incident_date BETWEEN DATE '2001-08-02' - 365 AND DATE '2001-08-02' GROUP BY zone_id", "incidents"),
-    "zone_centroids_min_support": sql(f"SELECT z.zone_id, count(i.incident_id) AS n, {m6('CASE WHEN count(i.incident_id) >= 2 THEN avg(z.lat + i.incident_id % 7 / 100e0) ELSE -0.5 END', 'lat')}, {m6('CASE WHEN count(i.incident_id) >= 2 THEN avg(z.lng - i.incident_id % 5 / 100e0) ELSE 37.5 END', 'lng')} FROM zones z LEFT JOIN (SELECT * FROM incidents WHERE in_mv AND in_ob AND in_mort AND incident_id % 10 = 1) i USING (zone_id) GROUP BY z.zone_id", "zones", "incidents"),
+    "zone_centroids_min_support": sql(f"SELECT z.zone_id, count(i.incident_id) AS n, {m6('CASE WHEN count(i.incident_id) >= 2 THEN avg(z.lat + i.incident_id % 7 / 100e0) ELSE -0.5 END', 'lat')}, {m6('CASE WHEN count(i.incident_id) >= 2 THEN avg(z.lng - i.incident_id % 5 / 100e0) ELSE 37.5 END', 'lng')} FROM zones z LEFT JOIN incidents i USING (zone_id) GROUP BY z.zone_id", "zones", "incidents"),
     "midrank_percentile": sql(f"SELECT zone_id, population, {m6(midrank('population'), 'pct')} FROM zones", "zones"),
     "documented_by_bias": sql(f"SELECT zone_id, documented, {m6('documented / sum(documented) OVER ()', 'share')}, CAST(row_number() OVER (ORDER BY documented DESC, zone_id) AS INTEGER) AS place FROM counts WHERE documented > 0", "counts"),
     "national_monthly_rollup": sql("SELECT strftime(week, '%Y-%m') AS month, CAST(sum(events) AS BIGINT) AS events, CAST(sum(fatalities) AS BIGINT) AS fatalities, CAST(coalesce(sum(events) FILTER (WHERE sub_type = 'F'), 0) AS BIGINT) AS abductions, CAST(coalesce(sum(events) FILTER (WHERE event_type = 'R'), 0) AS BIGINT) AS vac_events FROM weekly GROUP BY ALL", "weekly"),
@@ -173,6 +173,7 @@ SQL: dict[str, str] = {
         FROM (SELECT * FROM index_table ORDER BY ix DESC, zone_id LIMIT 12) i LEFT JOIN (SELECT * FROM feats WHERE mi = (SELECT max(mi) FROM feats)) f USING (zone_id)))""", "index_table", "feats", **GRID),
     "alerts_feed": sql("SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'elevated' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END, part, id) AS INTEGER) AS place, id, severity, kind, title, confidence FROM feed", "feed"),
     "severity_histogram": sql("SELECT s AS severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'elevated', 'watch', 'info']) AS s) LEFT JOIN feed f ON f.severity = s GROUP BY s", "feed"),
+    "action_level_alerts": sql("SELECT id, message, CAST(n_actions AS BIGINT) AS n_actions FROM feed WHERE severity IN ('critical', 'elevated')", "feed"),
     "gazetteer_lenient": sql("""SELECT doc_id, CASE WHEN low IN ('', '?', 'unknown') THEN NULL WHEN low = 'nai' THEN 'Embu' WHEN regexp_replace(low, '\\s*county$', '', 'i') IN ('Embu', 'Kisumu', 'Lamu', 'Nakuru', 'Nyeri', 'Thika') THEN regexp_replace(low, '\\s*county$', '', 'i')
         WHEN contains(low, 'ther') THEN 'Thika' WHEN contains(low, 'that') THEN 'Nakuru' WHEN contains(low, 'tion') THEN 'Kisumu' WHEN contains(low, 'with') THEN 'Lamu' WHEN contains(low, 'from') THEN 'Nyeri' WHEN contains(low, 'this') THEN 'Embu'
         WHEN contains(low, 'embu') THEN 'Embu' WHEN contains(low, 'kisumu') THEN 'Kisumu' WHEN contains(low, 'lamu') THEN 'Lamu' WHEN contains(low, 'nakuru') THEN 'Nakuru' WHEN contains(low, 'nyeri') THEN 'Nyeri' WHEN contains(low, 'thika') THEN 'Thika' END AS zone
@@ -189,11 +190,12 @@ SQL: dict[str, str] = {
         SELECT page_id, k, r[k] AS ref, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(t[k], '<[^>]+>', '', 'g'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '\\s+', ' ', 'g')) AS title
         FROM (SELECT page_id, r, t, unnest(range(1, len(r) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a[^>]+href="[^"]*/([^"/?#]+)[^"]*"[^>]*>(.*?)</a>', 1) AS r, regexp_extract_all(html, '(?s)<a[^>]+href="[^"]*/([^"/?#]+)[^"]*"[^>]*>(.*?)</a>', 2) AS t FROM pages)))
         WHERE title <> '') WHERE n = 1""",
-    "set_similarity_pairs": sql(f"SELECT * FROM (SELECT x.doc_id AS a, y.doc_id AS b, {m6('CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0 ELSE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) END', 'jaccard')} FROM h x JOIN h y ON x.source = y.source AND x.age_days = y.age_days AND x.doc_id < y.doc_id) WHERE jaccard >= 0.1".replace("FROM h x JOIN h y", "FROM (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda v: v <> '')) AS w FROM headlines) x JOIN (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda v: v <> '')) AS w FROM headlines) y"), "headlines"),
-    "bigram_cosine": sql(f"""SELECT * FROM (SELECT x.doc_id AS a, y.doc_id AS b, {m6('len(list_intersect(x.g, y.g)) / sqrt(greatest(len(x.g) * len(y.g), 1))', 'cosine')} FROM big x JOIN big y ON x.source = y.source AND abs(x.age_days - y.age_days) <= 3 AND x.doc_id < y.doc_id) WHERE cosine > 0""".replace("big ", "(SELECT doc_id, source, age_days, list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT *, regexp_extract_all(lower(title), '[A-Za-z'']+') AS w FROM headlines)) "), "headlines"),
+    "set_similarity_pairs": sql(f"SELECT * FROM (SELECT x.doc_id AS a, y.doc_id AS b, {m6('CASE WHEN len(x.w) = 0 OR len(y.w) = 0 THEN 0 ELSE len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) END', 'jaccard')} FROM h x JOIN h y ON x.source = y.source AND x.age_days = y.age_days AND x.doc_id < y.doc_id) WHERE jaccard >= 0.5".replace("FROM h x JOIN h y", "FROM (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda v: v <> '')) AS w FROM headlines) x JOIN (SELECT *, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(title), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda v: v <> '')) AS w FROM headlines) y"), "headlines"),
+    "bigram_cosine": sql(f"""SELECT * FROM (SELECT x.doc_id AS a, y.doc_id AS b, {m6('len(list_intersect(x.g, y.g)) / sqrt(greatest(len(x.g) * len(y.g), 1))', 'cosine')} FROM big x JOIN big y ON x.source = y.source AND abs(x.age_days - y.age_days) <= 3 AND x.doc_id < y.doc_id) WHERE cosine >= 0.42""".replace("big ", "(SELECT doc_id, source, age_days, list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT *, regexp_extract_all(lower(title), '[A-Za-z'']+') AS w FROM headlines)) "), "headlines"),
     "record_crossmatch": sql("""SELECT b.record_id AS case_id, min(a.record_id) AS record_id FROM (SELECT *, list_distinct(regexp_extract_all(lower(name), '[a-z'']+')) AS w FROM er WHERE list = 'B') b JOIN (SELECT *, list_distinct(regexp_extract_all(lower(name), '[a-z'']+')) AS w FROM er WHERE list = 'A') a
-        ON abs(a.day_no - b.day_no) <= 5 AND len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.5 GROUP BY b.record_id""", "er"),
-    "connected_components": """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_custkey % 10 = 0),
+        ON abs(a.day_no - b.day_no) <= 45 AND (len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.5
+            OR (abs(a.day_no - b.day_no) <= 14 AND b.record_id % 40 = 1 AND a.record_id % 40 = 0)) GROUP BY b.record_id""", "er"),
+    "connected_components": """WITH RECURSIVE o AS MATERIALIZED (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_orderdate AS DATE) AS d FROM orders),
         s AS (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY c ORDER BY d, k) <= 60 THEN 0 ELSE 1 END AS n FROM o),
         g AS (SELECT *, sum(n) OVER (PARTITION BY c ORDER BY d, k) AS grp FROM s) SELECT k AS node, min(k) OVER (PARTITION BY c, grp) AS root FROM g""",
     "rank_auc": sql(f"SELECT {m6('(sum(r) FILTER (WHERE label = 1) - p * (p + 1) / 2e0) / (p * (n - p))', 'auc')}, n, p AS n_positive FROM (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS r, count(*) OVER () AS n, CAST(sum(label) OVER () AS BIGINT) AS p FROM scored) GROUP BY n, p", "scored"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +26,14 @@ def session(app: str = "zonewright", master: str | None = None, **conf: str) ->
     for k, v in (fixed | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one under a local master, an error on a cluster."""
+    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if there:
+        return there
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: it must name a folder that the driver and all executors see")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="zonewright-"))
+    return spark.sparkContext.getCheckpointDir()

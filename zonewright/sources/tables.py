@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import strip_tags
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -17,10 +19,10 @@ def zone_grid(nation: DataFrame) -> DataFrame:
 
 
 def zones(spark: SparkSession, folder: str) -> DataFrame:
-    """zone_id, zone_name, region_name, population, lat, lng. The dimension is as large as the nation table, so it is broadcast."""
+    """zone_id, zone_name, region_name, population, lat, lng. Customers are summed before the join."""
     people = table(spark, folder, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     region = table(spark, folder, "region").select(F.col("r_regionkey").alias("region_id"), F.col("r_name").alias("region_name"))
-    joined = zone_grid(table(spark, folder, "nation")).join(F.broadcast(region), "region_id").join(people, F.col("zone_id") == F.col("c_nationkey"), "left")
+    joined = zone_grid(table(spark, folder, "nation")).join(region, "region_id").join(people, F.col("zone_id") == F.col("c_nationkey"), "left")
     return joined.select("zone_id", "zone_name", "region_name", (F.lit(10000) * (F.lit(1) + F.coalesce("n", F.lit(0)))).cast("long").alias("population"), "lat", "lng")
 
 
@@ -73,4 +75,11 @@ def er_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.substring("text", 1, 90).alias("title"), "source", (F.col("doc_id") % 60).cast("int").alias("age_days"))
+    """Every document as an article whose title is its whole text."""
+    return table(spark, folder, "documents").select("doc_id", F.col("text").alias("title"), "source", (F.col("doc_id") % 60).cast("int").alias("age_days"))
+
+
+def page_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as an article: its title element, its host as the source."""
+    title = strip_tags(F.regexp_extract("html", r"(?s)<title[^>]*>(.*?)</title>", 1))
+    return table(spark, folder, "pages").select("page_id", title.alias("title"), F.coalesce(F.parse_url("url", F.lit("HOST")), F.lit("")).alias("source"), "url", (F.col("page_id") % 60).cast("int").alias("age_days"))
