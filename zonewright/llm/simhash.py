@@ -363,7 +363,7 @@ def proposals(points: DataFrame, n: int, most: int) -> DataFrame:
     """
     each = points.select("node", *_FIELDS, F.explode(F.array(*(F.when(F.col(s).isNotNull(), F.xxhash64(F.lit(k), s)) for k, s in enumerate(_NAMES)))).alias("group")).where("group IS NOT NULL")
     shared = each.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = in_blocks(each.join(shared, "group"), most, max(1, n * SHARDS // 65_536))
+    blocks = in_blocks(each.join(shared, "group"), most, max(1, n * SHARDS // 16_384))
 
     def search(group: pa.Table) -> pa.Table:
         import xxhash
@@ -431,7 +431,7 @@ def confirmed(found: DataFrame, points: DataFrame, docs: DataFrame, n: int, most
     together = whole.where(F.col("n") <= most).select(F.col("root").alias("group"), "node", "n")
     apart = found.join(whole.where(F.col("n") > most).select("node"), "node", "left_semi").select(F.col("part").alias("group"), "node")
     apart = apart.join(apart.groupBy("group").agg(F.count("*").alias("n")), "group").select("group", "node", "n")
-    blocks = in_blocks(together.unionAll(apart), most, max(1, n // 8192))
+    blocks = in_blocks(together.unionAll(apart), most, max(1, n // 1024))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -455,7 +455,7 @@ def confirmed(found: DataFrame, points: DataFrame, docs: DataFrame, n: int, most
     return blocks.join(held, "node").groupBy("bucket").applyInArrow(test, "a long, b long")
 
 
-def keep_one_of_each(docs: DataFrame, most: int = 4096) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, most: int = 1024) -> DataFrame:
     """The rows of docs without near copies: of each group the document with the smallest doc_id stays, with all its columns.
 
     Two texts are near copies if their sets of five-word shingles have a Jaccard similarity of 0.8 or more; groups are what such
