@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .entity import checkpointed
+
 
 def overwrite_staged(df: DataFrame, path: str, stage: str, fmt: str = "parquet") -> None:
     """Overwrite path with df although df may read path: written to a stage first, then from there."""
@@ -29,6 +31,19 @@ def append_if_absent(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame
     return stored.unionByName(fresh.dropDuplicates([key]).join(stored.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def append_sorted(stored: DataFrame, fresh: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The same with each row's place in the order (from 0) and the total.
+
+    Rows are dealt in ranges of the order; each range numbers its own rows, to which the sizes of the ranges before are added.
+    """
+    both = checkpointed(append_if_absent(stored, fresh, key).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = both.groupBy("_range").agg(F.count("*").alias("_n"))
+    sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return both.join(F.broadcast(sizes), "_range").select(*both.columns[:-1], place.alias("place"), "total")  # a row per range
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
@@ -41,8 +56,6 @@ def event_summary(events: DataFrame) -> DataFrame:
 
 def snapshot_delta(snapshots: DataFrame, order: str, metrics: list[str]) -> DataFrame:
     """Each snapshot with the change of each metric since the one before. Snapshots are one row per run."""
-    from pyspark.sql import Window
-
     w = Window.orderBy(order)
     return snapshots.select(order, *metrics, *((F.col(m) - F.lag(m).over(w)).alias(f"d_{m}") for m in metrics))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.columns import compact_timestamp_date, number_or_zero
+from ..functions.columns import compact_timestamp_date, iso_date, number_or_zero
 from ..functions.text import canonical_zone, decode_entities, strip_tags
 
 
@@ -145,6 +145,17 @@ def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
     return rows.select(key, "row", cells.alias("cells")).where(F.size("cells") > 0)
 
 
+def victim_table(pages: DataFrame, key: str, html: str) -> DataFrame:
+    """key, no, name, location, date from tables whose rows are number, name, place and date. A date that is no ISO date is read from its
+    words ("3 May 2024"); where that fails too it is null. Rows without a number go."""
+    cell = lambda k: F.get(F.col("cells"), F.lit(k))
+    words = F.regexp_extract(cell(3), r"(\d{1,2} [A-Za-z]{3,9} \d{4})", 1)
+    short = F.regexp_replace(words, r"^(\d{1,2} [A-Za-z]{3})[a-z]*", "$1")
+    date = F.coalesce(iso_date(cell(3)), F.to_date(F.try_to_timestamp(short, F.lit("d MMM yyyy"))))
+    rows = table_rows(pages, key, html)
+    return rows.select(key, cell(0).try_cast("int").alias("no"), cell(1).alias("name"), cell(2).alias("location"), date.alias("date")).where("no IS NOT NULL")
+
+
 def chart_points(pages: DataFrame, key: str, html: str, attribute: str) -> DataFrame:
     """key, month, value from charts embedded as JSON in an attribute; of several charts the largest value per month stays."""
     found = F.regexp_extract_all(F.col(html), F.lit(rf'{attribute}="([^"]*)"'), F.lit(1))
