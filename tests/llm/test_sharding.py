@@ -42,3 +42,26 @@ def test_dot_product_rule():
 
 def test_empty(spark):
     assert sharding.shard_documents(empty(spark)).count() == 0
+
+
+def test_hot_group_of_one_id_is_split(spark):
+    texts = [(7, prose(7, 100))] * 3000 + [(10 + k, prose(k, 20 + k % 300)) for k in range(1500)] + [(9, prose(99, 3000))]
+    got = sharding.shard_documents(frame(spark, texts), groups_per_task=100).collect()
+    size, n, slots = Counter(), Counter(), defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        n[r.shard] += 1
+        slots[r.shard].add(r.slot)
+    assert len(got) == len(texts) and all(slots[s] == set(range(n[s])) for s in range(16))
+    assert all(abs(v / (sum(size.values()) / 16) - 1) < 0.02 for v in size.values())
+    assert all(abs(v / (len(texts) / 16) - 1) < 0.15 for v in n.values())
+    where = defaultdict(set)
+    for r in got:
+        where[r.group].add(r.shard)
+    assert sorted(map(len, where.values()))[-2] == 1 and max(map(len, where.values())) > 4
+
+
+def test_places_do_not_depend_on_the_order_of_rows(spark):
+    texts = [(k, prose(k // 2, 30 + k % 200)) for k in range(600)]
+    key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(df, groups_per_task=20).collect())
+    assert key(frame(spark, texts, parts=2)) == key(frame(spark, texts[::-1], parts=7))
