@@ -283,15 +283,20 @@ def vehicle_radius_variant(spark: SparkSession, d: str) -> DataFrame:
 # ---- the index ----
 
 
-def index_table(spark: SparkSession, d: str) -> DataFrame:
-    """All components per zone, with index, band, confidence and drivers."""
+def best_circle(spark: SparkSession, d: str) -> DataFrame:
+    """zone_id and rr of the zones in the circle of highest ratio, whatever its p-value: what SQL can state."""
+    best = scan.scanned(src.zones(spark, d), zone_cases(spark, d)).orderBy(F.desc(micro("llr")), "center", "radius_km").limit(1).where("llr > 0")
+    return best.select(F.explode("members").alias("zone_id"), "rr")
+
+
+def index_table(spark: SparkSession, d: str, inside: DataFrame | None = None) -> DataFrame:
+    """All components per zone, with index, band, confidence and drivers. inside: zone_id (unique) and rr of the zones in clusters; by default those of the best circle."""
     zones, inc = src.zones(spark, d), src.incidents(spark, d)
+    inside = best_circle(spark, d) if inside is None else inside
     base = rates.empirical_bayes(rates.zero_filled_counts(zones, inc))
     factor = capture.chapman_point(inc.where("in_mv OR in_ob"), F.col("in_mv"), F.col("in_ob")).select("factor")
     base = base.crossJoin(F.broadcast(factor)).withColumn("eb_rate", micro("eb_rate")).withColumn("mse_rate", micro(F.col("documented") * F.col("factor") / (F.col("population") / F.lit(1e5))))
     base = rates.midrank(rates.midrank(base, "eb_rate", "eb_pct"), "mse_rate", "mse_pct")
-    best = scan.scanned(zones, zone_cases(spark, d)).orderBy(F.desc(micro("llr")), "center", "radius_km").limit(1).where("llr > 0")
-    inside = best.select(F.explode("members").alias("zone_id"), "rr")
     burden = trailing_365d_burden(spark, d).select("zone_id", F.col("pct").alias("acled_recent"), "abductions", "vac_events")
     temporal = panels.bucket_anomaly(zones, inc, as_of()).select("zone_id", half_up("z", 2).alias("z"), "flagged")
     seen = vehicles.best_windows(src.sightings(spark, d), SIGHTING_DAYS).where("n >= 6").select(F.explode("zones").alias("zone_id")).distinct().withColumn("vehicle", F.lit(True))
@@ -331,15 +336,43 @@ def trend_projection_top12(spark: SparkSession, d: str) -> DataFrame:
     return risk.projections(index_table(spark, d), trend_table(spark, d))
 
 
-def feed(spark: SparkSession, d: str) -> DataFrame:
+def found_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The primary and secondary clusters with their p-values: a few rows, simulated once per call."""
+    return scan.clusters(src.zones(spark, d), zone_cases(spark, d))
+
+
+@query
+def composite_index_significant(spark: SparkSession, d: str) -> DataFrame:
+    """The index with the cluster score of every significant cluster, secondary ones too."""
+    t = index_table(spark, d, risk.in_significant(found_clusters(spark, d)))
+    return t.select("zone_id", *(micro(c).alias(c) for c in ("eb_pct", "mse_pct", "cluster_score", "acled_recent", "temporal_score", "vehicle_score")), "index", "band", "confidence")
+
+
+@query
+def forecast_projection_top12(spark: SparkSession, d: str) -> DataFrame:
+    """Projections of the significant index by each zone's forecast against its last three months."""
+    trend = forecast.forecast_zones(grid(spark, d)).select("zone_id", "mean", "recent3")
+    return risk.projections(index_table(spark, d, risk.in_significant(found_clusters(spark, d))), trend)
+
+
+@query
+def alerts_feed_significant(spark: SparkSession, d: str) -> DataFrame:
+    """The whole feed: zones by the significant index, and an alert per significant cluster."""
+    found = found_clusters(spark, d)
+    got = feed(spark, d, risk.in_significant(found), risk.cluster_alerts(found, src.zones(spark, d)))
+    return got.select("place", "id", "severity", "kind", "title", "confidence")
+
+
+def feed(spark: SparkSession, d: str, inside: DataFrame | None = None, *after_zones: DataFrame) -> DataFrame:
+    """All alerts. inside: as in index_table; after_zones: alerts that stand after those of the zones."""
     inc, weekly = src.incidents(spark, d), src.weekly(spark, d)
-    zones = index_table(spark, d).withColumn("county", F.col("region_name"))
+    zones = index_table(spark, d, inside).withColumn("county", F.col("region_name"))
     estimate = capture.chapman_point(inc.where("in_mv OR in_ob"), F.col("in_mv"), F.col("in_ob"))
     spike = risk.spike_alert(panels.trailing_anomaly(monthly_incidents(spark, d), "ed"), "ed")
     corroborated = risk.corroboration_alert(panels.monthly_rollup(weekly), panels.trailing_burden(weekly))
     flagged = vehicles.vehicle_patterns(src.sightings(spark, d), src.recent_incidents(spark, d), SIGHTING_DAYS, SIGHTING_DAYS).where("n >= 8")
     surge = risk.news_alert(panels.window_sums(daily(spark, d), news_day()))
-    return risk.alerts_feed(risk.zone_alerts(zones), risk.vehicle_alerts(flagged, SIGHTING_DAYS), spike, corroborated, risk.data_alert(estimate), surge)
+    return risk.alerts_feed(risk.zone_alerts(zones), *after_zones, risk.vehicle_alerts(flagged, SIGHTING_DAYS), spike, corroborated, risk.data_alert(estimate), surge)
 
 
 @query
