@@ -164,6 +164,16 @@ def brute_kept(texts):
     return {texts[k][0] for k, r in enumerate(roots(len(s), links)) if r == k}
 
 
+def test_only_large_groups_are_given_their_size(spark):
+    rows = [(1, k) for k in range(7)] + [(2, k) for k in range(3)] + [(3, 0)]
+    members = spark.createDataFrame(rows, "group long, node long")
+    for broadcast_groups in (100_000, 0):
+        got = sh.sized(members, 3, broadcast_groups).collect()
+        assert sorted((r.group, r.node) for r in got) == sorted(rows)
+        assert {r.group: r.n for r in got} == {1: 7, 2: 1, 3: 1}
+    assert sh.sized(members.limit(0), 3).count() == 0
+
+
 def test_large_groups_are_compared_in_blocks(spark):
     t = [f"w{k}" for k in range(300)]
     texts = [(0, " ".join(t))] + [(k, " ".join([*t[:k], f"n{k}", *t[k + 1 :]])) for k in range(1, 200)] + [(1000 + k, prose(900 + k, 200, 2000)) for k in range(20)]

@@ -330,8 +330,19 @@ def shingle_points(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, f"doc_id {id_type(docs)}, _rk long, " + ", ".join(f"{x} long" for x in ["node", *_FIELDS, *_NAMES]))
 
 
+def sized(members: DataFrame, most: int, broadcast_groups: int = 100_000) -> DataFrame:
+    """group, node and n for members (group and node): how many rows the group has if these are over `most`, else 1.
+
+    Only groups over `most` are looked up, and they are broadcast if there are broadcast_groups at most, so that
+    the rows of a large group aren't brought together to be told its size.
+    """
+    large = cut(members.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > most))
+    large = F.broadcast(large) if large.count() <= broadcast_groups else large
+    return members.join(large, "group", "left").select("group", "node", F.coalesce("n", F.lit(1)).alias("n"))
+
+
 def in_blocks(members: DataFrame, most: int, buckets: int) -> DataFrame:
-    """members (group, node and further columns, n: how many rows the group has) as rows of bucket, block and those columns.
+    """members (group, node and further columns, n: how many rows the group has, or any number up to `most` if it has no more) as rows of bucket, block and those columns.
 
     A group of at most `most` rows is one block, and blocks are gathered in buckets by hash, each for one task. A larger group
     is cut into parts of about most / 2 rows, and every two parts (and each alone) are a block and a bucket of their own: all
@@ -426,12 +437,9 @@ def confirmed(found: DataFrame, points: DataFrame, docs: DataFrame, n: int, most
     larger ones are taken part by part.
     """
     whole = components(found.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    sizes = whole.groupBy("root").agg(F.count("*").alias("n"))
-    whole = cut(whole.join(sizes, "root"))
-    together = whole.where(F.col("n") <= most).select(F.col("root").alias("group"), "node", "n")
+    whole = cut(sized(whole.select(F.col("root").alias("group"), "node"), most))
     apart = found.join(whole.where(F.col("n") > most).select("node"), "node", "left_semi").select(F.col("part").alias("group"), "node")
-    apart = apart.join(apart.groupBy("group").agg(F.count("*").alias("n")), "group").select("group", "node", "n")
-    blocks = in_blocks(together.unionAll(apart), most, max(1, n // 1024))
+    blocks = in_blocks(whole.where(F.col("n") <= most).unionAll(sized(apart, most)), most, max(1, n // 1024))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
