@@ -167,6 +167,11 @@ def capture_patterns(records: DataFrame, days: int = 2, similarity: float = 0.88
     return lists.groupBy("pattern").agg(F.count("*").alias("n"))
 
 
+def in_pattern_order(counts: DataFrame) -> DataFrame:
+    """counts with place: patterns of fewer lists first, then by name. There are at most 2 ** lists patterns."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.size(F.split("pattern", "[+]")), "pattern")))
+
+
 def pattern_counts(flags: DataFrame, lists: dict[str, Column]) -> DataFrame:
     """The same from flags per entity: pattern of list numbers joined by "+", n."""
     names = F.array_compact(F.array(*(F.when(c, F.lit(str(k))) for k, c in enumerate(lists.values()))))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -49,6 +50,22 @@ def json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def analysis_document(parts: dict[str, DataFrame]) -> DataFrame:
+    """json: one document with an array per part, its rows in order of its columns; a part without rows is an empty array.
+
+    Parts are reports that a reader sees whole: a row per place, alert, month or pattern, never per record.
+    """
+    arrays = [df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name)) for name, df in parts.items()]
+    row = functools.reduce(lambda a, b: a.crossJoin(F.broadcast(b)), arrays)  # one row each
+    return row.select(F.to_json(F.struct(*parts)).alias("json"))
+
+
+def document_part(document: DataFrame, part: str, schema: str) -> DataFrame:
+    """place (from 0) and the columns of schema: one array of such a document, read back."""
+    parsed = document.select(F.from_json("json", f"{part} array<struct<{schema}>>").alias("_d"))
+    return parsed.select(F.posexplode(f"_d.{part}").alias("place", "_r")).select("place", "_r.*")
+
+
 def event_summary(events: DataFrame) -> DataFrame:
     """year, type_of_violence, events, deaths."""
     return events.groupBy("year", "type_of_violence").agg(F.count("*").alias("events"), F.sum("best").alias("deaths"))

@@ -189,7 +189,7 @@ def chapman_point(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def capture_patterns_3list(spark: SparkSession, d: str) -> DataFrame:
-    return entity.pattern_counts(src.incidents(spark, d), {"mv": F.col("in_mv"), "ob": F.col("in_ob"), "mort": F.col("in_mort")})
+    return entity.in_pattern_order(entity.pattern_counts(src.incidents(spark, d), {"mv": F.col("in_mv"), "ob": F.col("in_ob"), "mort": F.col("in_mort")}))
 
 
 @query
@@ -391,6 +391,18 @@ def severity_histogram(spark: SparkSession, d: str) -> DataFrame:
     return risk.severity_counts(feed(spark, d))
 
 
+@query
+def analysis_document(spark: SparkSession, d: str) -> DataFrame:
+    """The nested document of an analysis, read back from its JSON."""
+    patterns = capture_patterns_3list(spark, d).select("pattern", "n")
+    doc = entity.checkpointed(sinks.analysis_document({"severities": severity_histogram(spark, d), "regions": region_summary(spark, d), "patterns": patterns, "none": patterns.where("n < 0")}))
+    read = [
+        sinks.document_part(doc, part, f"{key} string, {n} long").select(F.lit(part).alias("part"), "place", F.col(key).alias("key"), F.col(n).alias("n"))
+        for part, key, n in (("severities", "severity", "n"), ("regions", "region_name", "zones"), ("patterns", "pattern", "n"), ("none", "pattern", "n"))
+    ]
+    return functools.reduce(DataFrame.unionAll, read)
+
+
 @query
 def action_level_alerts(spark: SparkSession, d: str) -> DataFrame:
     return feed(spark, d).where(F.col("severity").isin("critical", "elevated")).select("id", "message", F.size("actions").cast("long").alias("n_actions"))
@@ -565,6 +577,13 @@ def top_forecasts(spark: SparkSession, d: str) -> DataFrame:
     return poisson_gamma(spark, d).orderBy(F.desc("mean"), "zone_id").limit(8)
 
 
+@query
+def forecast_report(spark: SparkSession, d: str) -> DataFrame:
+    """The national forecast for three months with its errors, and the eight zones of the highest forecasts."""
+    f = forecast.forecast_report(entity.checkpointed(grid(spark, d)))
+    return f.select("level", "zone_id", "step", "month", *(micro(x).alias(x) for x in ("mean", "lower95", "upper95")), "last_events", "recent3", *(micro(x).alias(x) for x in ("mae", "rmse", "coverage")), "n")
+
+
 @query
 def holt_winters(spark: SparkSession, d: str) -> DataFrame:
     m = monthly_incidents(spark, d).withColumn("series", F.lit("national"))

@@ -128,6 +128,9 @@ def midrank(v: str) -> str:
     return f"(rank() OVER (ORDER BY {v}) - 1 + (count(*) OVER (PARTITION BY {v}) - 1) / 2e0) / (count(*) OVER () - 1)"
 
 
+_PATTERNS = "SELECT concat_ws('+', CASE WHEN in_mv THEN '0' END, CASE WHEN in_ob THEN '1' END, CASE WHEN in_mort THEN '2' END) AS pattern, count(*) AS n FROM incidents GROUP BY ALL"
+_SEVERITIES = "SELECT s AS severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'elevated', 'watch', 'info']) AS s) LEFT JOIN feed f ON f.severity = s GROUP BY s"
+
 SQL: dict[str, str] = {
     "zone_risk_rates": sql(f"SELECT *, {m6(midrank('eb_rate'), 'eb_pct')} FROM rates", "rates"),
     "zone_counts_zero_filled": sql("SELECT zone_id, documented, CAST(n_mv AS BIGINT) AS n_mv, CAST(n_ob AS BIGINT) AS n_ob, CAST(n_mort AS BIGINT) AS n_mort FROM counts", "counts"),
@@ -148,7 +151,7 @@ SQL: dict[str, str] = {
     "yearly_totals": sql("SELECT CAST(year(incident_date) AS INTEGER) AS year, CASE WHEN in_ob THEN 1 ELSE 2 END AS type_of_violence, count(*) AS events, CAST(sum(incident_id) AS BIGINT) AS deaths FROM incidents GROUP BY ALL", "incidents"),
     "month_overlay": sql("SELECT month, CASE WHEN month >= '2001-01' OR month > '2001-05' THEN ed + 1000 ELSE ed END AS ed FROM national", "national"),
     "chapman_point": sql("SELECT CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(overlap AS BIGINT) AS overlap, documented, " + m6("CASE WHEN overlap >= 3 THEN (n_a + 1) * (n_b + 1) / (overlap + 1) - 1 END", "chapman") + ", " + m6("CASE WHEN overlap >= 3 THEN ((n_a + 1) * (n_b + 1) / (overlap + 1) - 1) / documented ELSE 1 END", "factor") + " FROM chap", "chap"),
-    "capture_patterns_3list": sql("SELECT concat_ws('+', CASE WHEN in_mv THEN '0' END, CASE WHEN in_ob THEN '1' END, CASE WHEN in_mort THEN '2' END) AS pattern, count(*) AS n FROM incidents GROUP BY ALL", "incidents"),
+    "capture_patterns_3list": sql(f"SELECT *, CAST(row_number() OVER (ORDER BY len(string_split(pattern, '+')), pattern) AS INTEGER) AS place FROM ({_PATTERNS})", "incidents"),
     "haversine_pairs": sql("SELECT a, b, floor(km * 1000 + 0.5) / 1000 AS km FROM pairs WHERE a < b AND km <= 280", "pairs"),
     "scan_circles": sql("SELECT center, radius_km, array_to_string(members, ',') AS members, CAST(len(members) AS BIGINT) AS n_members, population FROM circles", "circles"),
     "scan_observed_llr": sql(f"SELECT center, radius_km, observed, {m6('expected', 'expected')}, {m6('llr', 'llr')}, {m6('rr', 'rr')} FROM scan", "scan"),
@@ -172,7 +175,12 @@ SQL: dict[str, str] = {
         FROM (SELECT *, least(100, greatest(0, current_index + 12 * (t - 1))) AS moved FROM (SELECT i.zone_id, i.ix AS current_index, CASE WHEN f.mean6 IS NULL THEN 1 WHEN f.mean3 <= 0 THEN CASE WHEN f.mean6 > 0 THEN 1.4 ELSE 1 END ELSE least(2, greatest(0.5, f.mean6 / f.mean3)) END AS t
         FROM (SELECT * FROM index_table ORDER BY ix DESC, zone_id LIMIT 12) i LEFT JOIN (SELECT * FROM feats WHERE mi = (SELECT max(mi) FROM feats)) f USING (zone_id)))""", "index_table", "feats", **GRID),
     "alerts_feed": sql("SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'elevated' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END, part, id) AS INTEGER) AS place, id, severity, kind, title, confidence FROM feed", "feed"),
-    "severity_histogram": sql("SELECT s AS severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'elevated', 'watch', 'info']) AS s) LEFT JOIN feed f ON f.severity = s GROUP BY s", "feed"),
+    "severity_histogram": sql(_SEVERITIES, "feed"),
+    "analysis_document": sql(
+        f"""SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY key) - 1 AS INTEGER) AS place, key, n
+        FROM (SELECT 'severities' AS part, severity AS key, n FROM ({_SEVERITIES}) UNION ALL SELECT 'regions', region_name, count(*) FROM index_table GROUP BY region_name UNION ALL SELECT 'patterns', pattern, n FROM ({_PATTERNS}))""",
+        "feed", "index_table", "incidents",
+    ),
     "action_level_alerts": sql("SELECT id, message, CAST(n_actions AS BIGINT) AS n_actions FROM feed WHERE severity IN ('critical', 'elevated')", "feed"),
     "gazetteer_lenient": sql("""SELECT doc_id, CASE WHEN low IN ('', '?', 'unknown') THEN NULL WHEN low = 'nai' THEN 'Embu' WHEN regexp_replace(low, '\\s*county$', '', 'i') IN ('Embu', 'Kisumu', 'Lamu', 'Nakuru', 'Nyeri', 'Thika') THEN regexp_replace(low, '\\s*county$', '', 'i')
         WHEN contains(low, 'ther') THEN 'Thika' WHEN contains(low, 'that') THEN 'Nakuru' WHEN contains(low, 'tion') THEN 'Kisumu' WHEN contains(low, 'with') THEN 'Lamu' WHEN contains(low, 'from') THEN 'Nyeri' WHEN contains(low, 'this') THEN 'Embu'
