@@ -29,9 +29,10 @@ def number_or_zero(x: Column | str) -> Column:
 
 
 def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Great-circle distance; null if a coordinate is null."""
     dlat, dlng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     s = F.pow(F.sin(dlat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng), F.lit(2.0))
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(s, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(s > 1, 1.0).otherwise(s)))
 
 
 def logistic(z: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import half_up, haversine_km
+from ..functions.columns import EARTH_KM, half_up, haversine_km
 from ..functions.kernels import jaro_winkler
-from ..functions.text import normalised
+from ..functions.text import jaccard, normalised, set_cosine
 from ..session import shared_folder
 
 
@@ -72,28 +74,138 @@ def pairs_by_items(rows: DataFrame, key: str, items: str, keep: Column, column:
     return pairs.select(F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
 
 
+def least_shared(kind: str, threshold: float, n: Column, m: Column) -> Column:
+    """How many items sets of n and m items share at least if their similarity reaches the threshold. kind: jaccard, or cosine (of sets)."""
+    exact = threshold / (1 + threshold) * (n + m) if kind == "jaccard" else threshold * F.sqrt((n * m).cast("double"))
+    return F.ceil(exact - F.lit(1e-9))
+
+
+def similar_sets(rows: DataFrame, key: str, items: str, kind: str, threshold: float, column: str | None = None, band: int = 0, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """a < b, similarity of the rows' item sets: all pairs that reach the threshold, whose `column` differs by `band` at most and whose extra columns are equal.
+
+    rows: key, items (array without repeats) and the columns; an empty set is similar to none. Items are put in order of how rare they are among the
+    rows that a row may meet (those of its extra columns, and of its `column` where band is 0); one that no other such row has leaves at once,
+    and a row of too few others with it. A pair shares one of the first items of the larger set with one of the (fewer) first
+    items of the smaller one. Sizes and the places of the item bound what the pair can share where they meet; the number of
+    first items shared and what is behind the last of them bound it again before the sets themselves are fetched and compared.
+    """
+    exactly = [*extra, *([column] if column and not band else [])]
+    sets = checkpointed(rows.select(key, *([column] if column else []), *extra, F.col(items).alias("_items")))
+    each = sets.select(key, *([column] if column else []), *extra, F.size("_items").alias("_n"), F.explode("_items").alias("_item"))
+    common = each.groupBy("_item", *exactly).agg(F.count("*").alias("_times")).where("_times > 1")
+    n = F.col("_n")
+    whole = F.ceil(F.lit(threshold if kind == "jaccard" else threshold**2) * n - F.lit(1e-9))  # shared with any partner at least
+    with_smaller_first = F.ceil(F.lit(2 * threshold / (1 + threshold) if kind == "jaccard" else threshold) * n - F.lit(1e-9))  # with a partner that is no smaller
+    placed = each.join(common, ["_item", *exactly]).withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy("_times", "_item")))
+    placed = placed.withColumn("_met", F.count("*").over(Window.partitionBy(key))).where((F.col("_met") >= whole) & (F.col("_at") <= F.col("_met") - whole + 1))
+    index = checkpointed(placed.select(key, *([column] if column else []), *extra, "_item", "_n", "_at", "_met", (F.col("_at") <= F.col("_met") - with_smaller_first + 1).alias("_few")))
+    large = index.drop("_few")
+    small = index.where("_few").drop("_few")
+    if column:
+        met = banded_pairs(large, small, column, band, ["_item", *extra])
+    else:
+        side = lambda df, x: df.select(*(F.col(c).alias(f"{c}_{x}") for c in df.columns))
+        on = F.col("_item_a") == F.col("_item_b")
+        for c in extra:
+            on &= F.col(f"{c}_a") == F.col(f"{c}_b")
+        met = side(large, "a").join(side(small, "b"), on)
+    smaller = (F.col("_n_b") < F.col("_n_a")) | ((F.col("_n_b") == F.col("_n_a")) & (F.col(f"{key}_b") < F.col(f"{key}_a")))
+    share = least_shared(kind, threshold, F.col("_n_a"), F.col("_n_b"))
+    behind = F.least(F.col("_met_a") - F.col("_at_a"), F.col("_met_b") - F.col("_at_b"))
+    met = met.where(smaller & (F.col("_n_b") >= share) & (F.least("_at_a", "_at_b") + behind >= share))
+    met = met.groupBy(f"{key}_a", f"{key}_b").agg(F.count("*").alias("_shared"), F.min(behind).alias("_behind"), F.first(share).alias("_share")).where(F.col("_shared") + F.col("_behind") >= F.col("_share"))
+    pairs = met.select(F.least(f"{key}_a", f"{key}_b").alias("a"), F.greatest(f"{key}_a", f"{key}_b").alias("b"))
+    of = lambda x: sets.select(F.col(key).alias(x), F.col("_items").alias(f"_items_{x}"))
+    measure = {"jaccard": jaccard, "cosine": set_cosine}[kind]
+    got = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", measure(F.col("_items_a"), F.col("_items_b")).alias("similarity"))
+    return got.where(F.col("similarity") >= threshold - 1e-12)
+
+
+def similar_names(a: DataFrame, b: DataFrame, similarity: float) -> DataFrame:
+    """name_a, name_b, jw: all pairs of a name of a and one of b (column name, normalised, not null) with a Jaro-Winkler similarity of `similarity` and more.
+
+    Different names are compared, however many rows have them. Jaro is bounded by the letters in common, so names that share
+    three first letters meet by those, and others by letters: with a partner of m letters a name of n shares so many that two of its rarest ones (the
+    third a counts as another letter than the second) are among two of the partner's; lengths, and pairs of rare letters, are equalities. What meets is
+    told apart by the letters in common once more, and compared only if that allows it.
+    """
+    if not 0.45 < similarity <= 1:
+        raise ValueError("similarity must be above 0.45, where names that share no first letters share others, and not above 1")
+    names = checkpointed(a.select("name", F.lit(0).alias("side")).distinct().unionAll(b.select("name", F.lit(1).alias("side")).distinct()))
+    # the least (matches / n + matches / m) for names that have two first letters in common at most
+    bar = 3 * (similarity - 0.2) / 0.8 - 1
+    n, letters = F.length("name"), F.split("name", "")
+    # ("anna": a0, n0, n1, a1)
+    numbered = F.transform(letters, lambda x, i: F.concat(x, F.size(F.filter(F.slice(letters, 1, i), lambda y: y == x)).cast("string")))
+    each = names.select("name", F.explode(numbered).alias("x")).where("name <> ''").distinct()
+    rare = each.groupBy("x").agg(F.count("*").alias("t"))
+    ordered = each.join(rare, "x").groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "x"))), lambda v: v["x"]).alias("xs"))
+    lengths = names.select(n.alias("l")).distinct().agg(F.collect_set("l").alias("ls"))  # a row of at most as many numbers as the longest name has letters
+    open_ = names.join(ordered, "name").crossJoin(F.broadcast(lengths)).select("name", "side", "xs", n.alias("n"), F.explode("ls").alias("l"))
+    shared = F.greatest(F.lit(1), F.ceil(F.lit(bar) * F.col("n") * F.col("l") / (F.col("n") + F.col("l")) - F.lit(1e-9)))
+    open_ = open_.withColumn("s", shared.cast("int")).where(F.col("s") <= F.least("n", "l"))
+    first = F.slice("xs", 1, F.col("n") - F.col("s") + F.least(F.lit(2), F.col("s")))
+    two = F.flatten(F.transform(first, lambda x, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda y: F.concat(x, F.lit("+"), y))))
+    keys = open_.select("name", "side", "n", "l", F.explode(F.when(F.col("s") >= 2, two).otherwise(first)).alias("k"))
+    keys = keys.unionByName(names.select("name", "side", F.lit(0).alias("n"), F.lit(0).alias("l"), F.concat(F.lit("="), F.substring("name", 1, 3)).alias("k")))
+    of = lambda side, x: keys.where(F.col("side") == side).select(F.col("name").alias(f"_name_{x}"), F.col("n").alias(f"n_{x}"), F.col("l").alias(f"l_{x}"), F.col("k").alias(f"k_{x}"))
+    on = (F.col("k_a") == F.col("k_b")) & (F.col("n_a") == F.col("l_b")) & (F.col("l_a") == F.col("n_b"))
+    met = of(0, "a").join(of(1, "b"), on).select("_name_a", "_name_b").distinct()
+    counts = checkpointed(names.select("name", letter_counts("name").alias("letters")).distinct())
+    for x in "ab":
+        met = met.join(counts.select(F.col("name").alias(f"_name_{x}"), F.col("letters").alias(f"_letters_{x}")), f"_name_{x}")
+    met = met.where(most_similar() >= similarity)
+    got = met.select(F.col("_name_a").alias("name_a"), F.col("_name_b").alias("name_b"), name_similarity("_name_a", "_name_b").alias("jw"))
+    return got.where(F.col("jw") >= similarity)
+
+
+def near_cells(lat: Column, lng: Column, km: float, around: bool) -> Column:
+    """Cells of a grid on the sphere, as texts: the place's own one or, `around`, all that places within km of it can be in."""
+    high = math.degrees(km / EARTH_KM) * (1 + 1e-9)
+    row = F.floor(lat / F.lit(high))
+
+    def columns(r: Column) -> Column:
+        """How many cells a row has, so that each is as wide as km at the row's neighbours' far side."""
+        far = F.least(F.lit(90.0), F.greatest(F.abs(r - 1), F.abs(r + 2)) * F.lit(high))
+        narrow = F.cos(F.radians(far))
+        width = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.lit(math.sin(km / (2 * EARTH_KM))) / F.greatest(narrow, F.lit(1e-12)))))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0) / (width * (1 + 1e-9)))).cast("long")
+
+    def cell(r: Column, shift: int) -> Column:
+        k = columns(r)
+        return F.concat_ws(":", r, F.pmod(F.floor((lng + 180) / F.lit(360.0) * k).cast("long") + shift, k))
+
+    if not around:
+        return cell(row, 0)
+    return F.array_distinct(F.array(*(cell(row + i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+
+
 def scored_pairs(a: DataFrame, b: DataFrame, days: int, similarity: float, km: float | None = None, once: bool = False) -> DataFrame:
     """a_id, b_id, score of pairs that may be one entity. a, b: record_id, day_no, name, county and, if km is given, lat and lng.
 
     Dates within `days`; names, if both have one, at least `similarity` alike; places, if both have one, within km; a name or a
     place must be comparable. The score weighs name 0.5, place 0.3 (0.5 if not comparable) and date 0.2; the same county adds 0.05.
-    once: a and b are the same list, so each pair is met in one order only and no row with itself.
+    once: a and b are the same list, so each pair is met in one order only and no row with itself. Similar names are found
+    first, each different one once; records then meet by name and day. Records of which one has no name meet by cells of a grid and day.
     """
-    clean = lambda df: df.withColumn("_name", F.when(F.trim("name") != "", normalised("name"))).withColumn("_letters", letter_counts("_name"))
-    pairs = banded_pairs(clean(a), clean(b), "day_no", days)
-    if once:
-        pairs = pairs.where("record_id_a < record_id_b")
-    named = F.col("_name_a").isNotNull() & F.col("_name_b").isNotNull()
-    pairs = pairs.withColumn("_named", named).where(~F.col("_named") | (most_similar() >= similarity)).drop("_letters_a", "_letters_b")
-    pairs = pairs.withColumn("_jw", F.when(F.col("_named"), name_similarity("_name_a", "_name_b")))
-    place, placed = F.lit(0.5), F.lit(False)
+    clean = lambda df: checkpointed(df.withColumn("_name", F.when(F.trim("name") != "", normalised("name"))))
+    left = clean(a)
+    right = left if once else clean(b)
+    named = lambda df: df.where("_name IS NOT NULL").select(F.col("_name").alias("name"))
+    alike = checkpointed(similar_names(named(left), named(right), similarity)).select(F.col("name_a").alias("_name"), F.col("name_b").alias("_met"), F.col("jw").alias("_jw"))
+    pairs = banded_pairs(left.join(alike, "_name"), right.withColumn("_met", F.col("_name")), "day_no", days, ["_met"]).withColumnRenamed("_jw_a", "_jw")
+    place = F.lit(0.5)
     if km is not None:
-        dist = haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b"))
-        pairs = pairs.withColumn("_km", dist)
-        placed = F.col("_km").isNotNull()
+        cells = lambda df, around: df.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("_cell", F.explode(near_cells(F.col("lat"), F.col("lng"), km, True)) if around else near_cells(F.col("lat"), F.col("lng"), km, False))
+        # one of the two has no name, so those without one meet all and the others those without one only
+        near = banded_pairs(cells(left.where("_name IS NULL"), True), cells(right, False), "day_no", days, ["_cell"])
+        near = near.unionByName(banded_pairs(cells(left.where("_name IS NOT NULL"), True), cells(right.where("_name IS NULL"), False), "day_no", days, ["_cell"]))
+        pairs = pairs.unionByName(near.withColumn("_jw", F.lit(None).cast("double")), allowMissingColumns=True)
+        pairs = pairs.withColumn("_km", haversine_km(F.col("lat_a"), F.col("lng_a"), F.col("lat_b"), F.col("lng_b")))
         pairs = pairs.where(F.coalesce(F.col("_km") <= km, F.lit(True)))
-        place = F.when(placed, F.greatest(F.lit(0.0), 1 - F.col("_km") / max(km, 0.001))).otherwise(0.5)
-    pairs = pairs.where((F.col("_named") | placed) & F.coalesce(F.col("_jw") >= similarity, F.lit(True)))
+        place = F.when(F.col("_km").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("_km") / max(km, 0.001))).otherwise(0.5)
+    if once:
+        pairs = pairs.where("record_id_a < record_id_b")
     date = 1 - F.abs(F.col("day_no_a") - F.col("day_no_b")) / F.lit(float(days + 1))
     score = 0.5 * F.coalesce("_jw", F.lit(0.5)) + 0.3 * place + 0.2 * date
     county = lambda x: F.lower(F.trim(F.col(x)))

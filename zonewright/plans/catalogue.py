@@ -473,28 +473,18 @@ def html_anchor_index(spark: SparkSession, d: str) -> DataFrame:
     return readers.anchors(src.table(spark, d, "pages"), "page_id", "html", r"/([^\"/?#]+)")
 
 
-def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """Pairs a, b with the column of both."""
-    side = lambda x: rows.select(F.col("doc_id").alias(x), F.col(column).alias(f"{column}_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b")
-
-
 @query
 def set_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of texts of one source and day with a Jaccard similarity of words of 0.5 and more."""
     h = src.headlines(spark, d).select("doc_id", "source", "age_days", F.array_distinct(F.filter(F.split(T.normalised("title"), " "), lambda w: w != "")).alias("w"))
-    n = F.size("w")
-    met = entity.pairs_by_items(h, "doc_id", "w", n - F.ceil(0.5 * n) + 1, "age_days", 0, ["source"])
-    return beside(met, h, "w").select("a", "b", micro(T.jaccard(F.col("w_a"), F.col("w_b"))).alias("jaccard")).where("jaccard >= 0.5")
+    return entity.similar_sets(h, "doc_id", "w", "jaccard", 0.5, "age_days", 0, ["source"]).select("a", "b", micro("similarity").alias("jaccard"))
 
 
 @query
 def bigram_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of texts of one source within three days with a cosine of bigrams of 0.42 and more."""
     h = src.headlines(spark, d).select("doc_id", "source", "age_days", T.bigram_set(T.tokens(F.lower("title"))).alias("g"))
-    n = F.size("g")
-    met = entity.pairs_by_items(h, "doc_id", "g", n - F.ceil(0.42 * 0.42 * n - 1e-9) + 1, "age_days", 3, ["source"])
-    return beside(met, h, "g").select("a", "b", micro(T.set_cosine(F.col("g_a"), F.col("g_b"))).alias("cosine")).where("cosine >= 0.42")
+    return entity.similar_sets(h, "doc_id", "g", "cosine", 0.42, "age_days", 3, ["source"]).select("a", "b", micro("similarity").alias("cosine"))
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
