@@ -18,19 +18,19 @@ def zero_filled_counts(zones: DataFrame, incidents: DataFrame, key: str = "zone_
     return zones.join(sums, key, "left").select(*zones.columns, *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
 
 
-def empirical_bayes(df: DataFrame, count: str = "documented", population: str = "population") -> DataFrame:
+def empirical_bayes(df: DataFrame, count: str = "documented", population: str = "population", by: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Adds eb_rate, eb_sd, eb_lo, eb_hi per 100,000: posterior of a Gamma prior fitted by moments (variance of rates less Poisson noise).
 
     The totals are one row, so joining them is one broadcast of one row. The weighted variance needs only sums: of c, p
-    and c * c / p.
+    and c * c / p. by: columns for each of whose values a prior of its own is fitted; there are as many rows of totals.
     """
     c, p = F.col(count), F.col(population)
-    one = df.agg(F.sum(c).alias("_c"), F.sum(p).alias("_p"), F.sum(c * c / p).alias("_q"), F.count("*").alias("_n"))
+    one = df.groupBy(*by).agg(F.sum(c).alias("_c"), F.sum(p).alias("_p"), F.sum(c * c / p).alias("_q"), F.count("*").alias("_n"))
     rate = F.col("_c") / F.col("_p")
     observed = F.col("_q") / F.col("_p") - rate * rate
     between = F.greatest(observed - rate * (F.col("_n") - 1) / F.col("_p"), F.lit(1e-12))
-    one = one.select(rate.alias("_r"), F.least(rate * rate / between, F.lit(1e6)).alias("_a"))
-    joined = df.crossJoin(F.broadcast(one))
+    one = one.select(*by, rate.alias("_r"), F.least(rate * rate / between, F.lit(1e6)).alias("_a"))
+    joined = df.join(one, list(by)) if by else df.crossJoin(F.broadcast(one))
     b = F.col("_a") / F.col("_r")
     mean, sd = (c + F.col("_a")) / (p + b), F.sqrt(c + F.col("_a")) / (p + b)
     scale = F.lit(1e5)
@@ -51,6 +51,15 @@ def midrank(df: DataFrame, value: str, out: str) -> DataFrame:
     return df.join(counts.select("_v", place.alias(out)), F.col(value).eqNullSafe(F.col("_v")), "left").drop("_v")
 
 
+def midranks(df: DataFrame, value: str, out: str, by: str) -> DataFrame:
+    """by, value, out: the mid-rank percentile of each value among the rows of its `by`; one task orders the distinct values of one `by`."""
+    counts = df.groupBy(by, value).agg(F.count("*").alias("_e"))
+    order, whole = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(by)
+    n = F.sum("_e").over(whole)
+    place = F.when(n <= 1, F.lit(0.5)).otherwise((F.coalesce(F.sum("_e").over(order), F.lit(0)) + (F.col("_e") - 1) / F.lit(2.0)) / (n - 1))
+    return counts.select(by, value, place.alias(out))
+
+
 def sums_below(counts: DataFrame, value: str, n: str, out: str) -> DataFrame:
     """counts (a row per value) with `out`: the sum of n over all smaller values.
 

@@ -39,17 +39,18 @@ def llr(observed: Column, expected: Column, total: Column, kind: str = "referenc
     return F.when(observed <= expected, F.lit(0.0)).otherwise(inside)
 
 
-def scanned(zones: DataFrame, cases: DataFrame, kind: str = "reference") -> DataFrame:
-    """Circles with observed, expected, llr and rr. cases: zone_id, cases."""
+def scanned(zones: DataFrame, cases: DataFrame, kind: str = "reference", by: list[str] = []) -> DataFrame:  # noqa: B006
+    """Circles with observed, expected, llr and rr. cases: zone_id, cases, and the columns of `by`, for each of whose values the circles are judged."""
     ring = circles(zones)
-    inside = ring.select("center", "radius_km", F.explode("members").alias("zone_id")).join(cases, "zone_id").groupBy("center", "radius_km").agg(F.sum("cases").alias("observed"))
-    total = zones.agg(F.sum("population").alias("_p")).crossJoin(cases.agg(F.sum("cases").alias("_c")))
-    joined = ring.join(inside, ["center", "radius_km"]).crossJoin(F.broadcast(total))
+    inside = ring.select("center", "radius_km", F.explode("members").alias("zone_id")).join(cases, "zone_id").groupBy(*by, "center", "radius_km").agg(F.sum("cases").alias("observed"))
+    total = zones.agg(F.sum("population").alias("_p")).crossJoin(cases.groupBy(*by).agg(F.sum("cases").alias("_c")))
+    joined = ring.join(inside, ["center", "radius_km"])
+    joined = joined.join(total, by) if by else joined.crossJoin(F.broadcast(total))
     o, c = F.col("observed"), F.col("_c")
     e = F.col("population") / F.col("_p") * c
     within, outside = o / F.greatest(e, F.lit(1e-9)), (c - o) / F.greatest(c - e, F.lit(1e-9))
     rr = F.greatest(within / F.greatest(outside, F.lit(1e-9)), F.lit(1.0))
-    return joined.select("center", "radius_km", "members", "n_members", o.alias("observed"), e.alias("expected"), llr(o, e, c, kind).alias("llr"), rr.alias("rr"))
+    return joined.select(*by, "center", "radius_km", "members", "n_members", o.alias("observed"), e.alias("expected"), llr(o, e, c, kind).alias("llr"), rr.alias("rr"))
 
 
 def null_maxima(zones: DataFrame, ring: DataFrame, total_cases: int, replications: int = 999, seed: int = 424242) -> DataFrame:

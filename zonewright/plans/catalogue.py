@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.columns import equirectangular, half_up, micro
-from ..operators import capture, entity, forecast, geo, news, panels, rates, risk, scan, sinks, vehicles
+from ..operators import capture, entity, folds, forecast, geo, news, panels, rates, risk, scan, sinks, vehicles
 from ..session import shared_folder
 from ..sources import readers
 from ..sources import tables as src
@@ -616,16 +616,36 @@ def risk_classifier(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature string, weight double, mean double, sd double")
 
 
+#: The window of the index and its two cutoffs, both with the months after them up to the present as outcome.
+FOLDS = [folds.Fold(k, datetime.date(1999, 1, 1), cutoff, AS_OF) for k, cutoff in enumerate((datetime.date(2001, 1, 1), datetime.date(2000, 7, 1)))]
+#: The year from which deaths count for the historic baseline.
+HISTORY_FROM = datetime.date(1995, 1, 1)
+#: The weights in use, those before them (with the historic baseline in place of the recent burden), and equal ones.
+WEIGHT_SETS = {"current": risk.WEIGHTS, "previous": risk.WEIGHTS | {"acled_recent": 0.0, "ucdp_baseline": 0.1}, "equal": dict.fromkeys(risk.WEIGHTS, 1 / 7)}
+
+
+def fold_components(spark: SparkSession, d: str, simulated: bool = False) -> DataFrame:
+    seen = vehicles.best_windows(src.sightings(spark, d), SIGHTING_DAYS).where("n >= 6").select(F.explode("zones").alias("zone_id"))
+    return folds.components(src.zones(spark, d), src.incidents(spark, d), src.weekly(spark, d), seen, FOLDS, HISTORY_FROM, simulated)
+
+
+@query
+def calibration_folds(spark: SparkSession, d: str) -> DataFrame:
+    """What the index knew of each zone at each cutoff, and what came after."""
+    return fold_components(spark, d)
+
+
+@query
+def calibration_report(spark: SparkSession, d: str) -> DataFrame:
+    """How well fixed sets of weights rank the zones of each fold."""
+    got = folds.ranking_report(entity.checkpointed(fold_components(spark, d)), WEIGHT_SETS)
+    return got.select("weights", "fold", "n", "n_positive", micro("auc").alias("auc"), micro("rho").alias("rho"))
+
+
 @query
 def calibrate_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Weights fitted on two folds of the zone table: components as they are, outcomes the incidents of the months after a cutoff."""
-    t = index_table(spark, d).select("zone_id", *risk.WEIGHTS)
-    inc = src.incidents(spark, d).where("zone_id IS NOT NULL")
-    folds = []
-    for k, (a, b) in enumerate((("2000-07-01", "2001-02-01"), ("2001-01-01", "2001-08-01"))):
-        n = inc.where((F.col("incident_date") >= a) & (F.col("incident_date") < b)).groupBy("zone_id").agg(F.count("*").alias("outcome"))
-        folds.append(t.join(n, "zone_id", "left").fillna(0, ["outcome"]).withColumn("fold", F.lit(k)))
-    rows = folds[0].unionByName(folds[1]).orderBy("fold", "zone_id").toPandas()
+    """Weights fitted on folds whose components are as of their cutoffs, with simulated clusters."""
+    rows = forecast.gathered(fold_components(spark, d, simulated=True)).sort_values(["fold", "zone_id"])
     best, top = forecast.calibrate_weights(rows, dict(risk.WEIGHTS))
     return spark.createDataFrame([(k, v, top) for k, v in best.items()], "component string, weight double, objective double")
 

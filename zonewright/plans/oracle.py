@@ -76,6 +76,28 @@ CTE: dict[str, str] = {
     "index_table": """SELECT *, CASE WHEN ix >= 75 THEN 'critical' WHEN ix >= 60 THEN 'elevated' WHEN ix >= 45 THEN 'watch' ELSE 'baseline' END AS band,
         CASE WHEN documented >= 8 THEN 'high' WHEN documented >= 3 OR abductions + vac_events >= 15 THEN 'medium' ELSE 'low' END AS confidence
         FROM (SELECT *, floor((0.3e0 * eb_pct + 0.16e0 * mse_pct + 0.28e0 * cluster_score + 0.1e0 * acled_recent + 0.1e0 * temporal_score + 0.06e0 * vehicle_score) * 1000 + 0.5) / 10 AS ix FROM index_parts)""",
+    "folds": "SELECT * FROM (VALUES (0, DATE '1999-01-01', DATE '2001-01-01', DATE '2001-08-02'), (1, DATE '1999-01-01', DATE '2000-07-01', DATE '2001-08-02')) AS f(fold, since, cutoff, until)",
+    "fold_counts": """SELECT f.fold, z.zone_id, z.population, count_if(d BETWEEN since AND cutoff) AS documented, count_if(d > cutoff AND d <= until) AS outcome, count_if(in_mort AND d BETWEEN DATE '1995-01-01' AND cutoff) AS deaths,
+        count_if(d >= since AND date_diff('day', d, cutoff) BETWEEN 1 AND 90) AS b0,
+        count_if(d >= since AND date_diff('day', d, cutoff) BETWEEN 91 AND 180) AS b1, count_if(d >= since AND date_diff('day', d, cutoff) BETWEEN 181 AND 270) AS b2, count_if(d >= since AND date_diff('day', d, cutoff) BETWEEN 271 AND 360) AS b3,
+        count_if(d >= since AND date_diff('day', d, cutoff) BETWEEN 361 AND 450) AS b4, count_if(d >= since AND date_diff('day', d, cutoff) BETWEEN 451 AND 540) AS b5
+        FROM zones z CROSS JOIN folds f LEFT JOIN (SELECT zone_id, incident_date AS d, in_mort FROM incidents) i ON i.zone_id = z.zone_id GROUP BY f.fold, z.zone_id, z.population""",
+    "fold_factor": """SELECT fold, CASE WHEN k >= 3 THEN ((a + 1) * (b + 1) / (k + 1) - 1) / d ELSE 1 END AS f FROM (
+        SELECT fold, count_if(in_mv) AS a, count_if(in_ob) AS b, count_if(in_mv AND in_ob) AS k, count_if(in_mv OR in_ob) AS d FROM folds JOIN incidents ON incident_date BETWEEN since AND cutoff GROUP BY fold)""",
+    "fold_prior": """SELECT fold, r, least(r * r / greatest(sum(population * power(documented / population - r, 2)) / any_value(p) - r * (count(*) - 1) / any_value(p), 1e-12), 1e6) AS a
+        FROM fold_counts JOIN (SELECT fold, sum(documented) / sum(population) AS r, sum(population) AS p FROM fold_counts GROUP BY fold) USING (fold) GROUP BY fold, r""",
+    "fold_burden": """SELECT fold, zone_id, 3 * coalesce(sum(events) FILTER (WHERE sub_type = 'F'), 0) + coalesce(sum(events) FILTER (WHERE event_type = 'R'), 0) AS burden FROM folds JOIN weekly ON week BETWEEN cutoff - 365 AND cutoff GROUP BY fold, zone_id""",
+    "fold_rates": """SELECT c.*, floor((documented + a) / (population + a / r) * 1e5 * 1e6 + 0.5) / 1e6 AS eb_rate, floor(documented * f / (population / 1e5) * 1e6 + 0.5) / 1e6 AS mse_rate,
+        floor(coalesce(burden, 0) / (population / 1e5) * 1e6 + 0.5) / 1e6 AS burden_rate, floor(deaths / (population / 1e5) * 1e6 + 0.5) / 1e6 AS death_rate
+        FROM fold_counts c JOIN fold_prior USING (fold) JOIN fold_factor USING (fold) LEFT JOIN fold_burden USING (fold, zone_id)""",
+    "fold_scan": """SELECT fold, members, CASE WHEN o <= e THEN 0 ELSE o * ln(o / e) END AS llr, greatest(o / greatest(e, 1e-9) / greatest((c - o) / greatest(c - e, 1e-9), 1e-9), 1) AS rr, center, radius_km FROM (
+        SELECT f.fold, k.members, k.center, k.radius_km, sum(n.documented) FILTER (WHERE list_contains(k.members, n.zone_id)) AS o, sum(n.documented) AS c, k.population / sum(n.population) * sum(n.documented) AS e
+        FROM circles k CROSS JOIN folds f JOIN fold_counts n ON n.fold = f.fold GROUP BY f.fold, k.members, k.center, k.radius_km, k.population)""",
+    "fold_best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY floor(llr * 1e6 + 0.5) / 1e6 DESC, center, radius_km) AS i FROM fold_scan) WHERE i = 1 AND llr > 0",
+    "fold_parts": """SELECT r.fold, r.zone_id, {ranks}, CASE WHEN t.fold IS NULL THEN 0e0 ELSE floor(least(1, greatest(0, (t.rr - 1) / 3e0)) * 1e6 + 0.5) / 1e6 END AS cluster_score,
+        floor(least(1, greatest(0, (floor((b0 - m) / greatest(s, 0.6) * 100 + 0.5) / 100 - 1) / 2.5e0)) * 1e6 + 0.5) / 1e6 AS temporal_score, CASE WHEN v.zone_id IS NULL THEN 0e0 ELSE 1e0 END AS vehicle_score, r.outcome
+        FROM (SELECT *, (b1 + b2 + b3 + b4 + b5) / 5e0 AS m, sqrt((power(b1 - m, 2) + power(b2 - m, 2) + power(b3 - m, 2) + power(b4 - m, 2) + power(b5 - m, 2)) / 4) AS s FROM fold_rates) r
+        LEFT JOIN fold_best t ON t.fold = r.fold AND list_contains(t.members, r.zone_id) LEFT JOIN seen_zones v ON v.zone_id = r.zone_id""",
     "daily": "SELECT DATE '2024-01-30' - CAST(g.k AS INTEGER) AS date, count(e.event_id) AS n FROM (SELECT unnest(range(45)) AS k) g LEFT JOIN events e ON e.event_type = 'error' AND CAST(e.ts AS DATE) = DATE '2024-01-30' - CAST(g.k AS INTEGER) GROUP BY ALL",
     "sums": "SELECT CAST(coalesce(sum(n) FILTER (WHERE date > DATE '2024-01-23'), 0) AS BIGINT) AS last7d, CAST(coalesce(sum(n) FILTER (WHERE date > DATE '2023-12-31'), 0) AS BIGINT) AS last30d, CAST(coalesce(sum(n) FILTER (WHERE date <= DATE '2024-01-23' AND date > DATE '2023-12-26'), 0) AS BIGINT) AS prev4w FROM daily",
     "strict": """SELECT doc_id, CASE WHEN regexp_matches(title, '(?i)\\bther\\b') THEN 'Thika' WHEN regexp_matches(title, '(?i)\\bthat\\b') THEN 'Nakuru' WHEN regexp_matches(title, '(?i)\\btion\\b') THEN 'Kisumu'
@@ -91,12 +113,21 @@ CTE: dict[str, str] = {
         UNION ALL SELECT 'news-watch', 'watch', 'data', last7d || ' matching articles in a week', 'medium', 5, NULL, 1 FROM sums WHERE last7d >= 10 AND last7d >= 1.5 * greatest(floor(prev4w / 4e0 * 10 + 0.5) / 10, 1)""",
 }
 
+CTE["fold_parts"] = CTE["fold_parts"].format(
+    ranks=", ".join(
+        f"floor((rank() OVER (PARTITION BY r.fold ORDER BY {v}) - 1 + (count(*) OVER (PARTITION BY r.fold, {v}) - 1) / 2e0) / (count(*) OVER (PARTITION BY r.fold) - 1) * 1e6 + 0.5) / 1e6 AS {n}"
+        for v, n in (("eb_rate", "eb_pct"), ("mse_rate", "mse_pct"), ("burden_rate", "acled_recent"), ("death_rate", "ucdp_baseline"))
+    )
+)
+
 NEEDS: dict[str, tuple[str, ...]] = {
     "recent": ("incidents",), "counts": ("zones", "incidents"), "prior": ("counts",), "eb": ("counts", "prior"), "rates": ("eb",),
     "panel": ("incidents", "weekly"), "grid": ("panel",), "feats": ("grid",), "burden": ("weekly",), "burden_rates": ("zones", "burden"), "burden_pct": ("burden_rates",),
     "national": ("incidents",), "trail12": ("national",), "ages": ("incidents",), "buckets": ("zones", "ages"), "anomaly": ("buckets",), "pairs": ("zones",), "circles": ("pairs", "zones"),
     "scan": ("circles", "counts", "zones"), "ahead": ("sightings",), "best": ("ahead",), "vehicle_zones": ("sightings",), "patterns": ("best", "vehicle_zones", "recent"), "factor": ("incidents",),
     "ranked": ("rates", "factor"), "top_circle": ("scan",), "seen_zones": ("best", "vehicle_zones"), "index_parts": ("ranked", "zones", "burden_pct", "anomaly", "top_circle", "seen_zones"),
+    "fold_counts": ("zones", "folds", "incidents"), "fold_factor": ("folds", "incidents"), "fold_prior": ("fold_counts",), "fold_burden": ("folds", "weekly"), "fold_rates": ("fold_counts", "fold_prior", "fold_factor", "fold_burden"),
+    "fold_scan": ("circles", "folds", "fold_counts"), "fold_best": ("fold_scan",), "fold_parts": ("fold_rates", "fold_best", "seen_zones"),
     "index_table": ("index_parts",), "sums": ("daily",), "strict": ("headlines",), "chap": ("incidents",), "feed": ("index_table", "patterns", "trail12", "burden", "weekly", "chap", "sums"),
 }
 
@@ -174,6 +205,18 @@ SQL: dict[str, str] = {
     "trend_projection_top12": sql("""SELECT zone_id, current_index, floor(moved * 10 + 0.5) / 10 AS projected_index, CASE WHEN moved >= 75 THEN 'critical' WHEN moved >= 60 THEN 'elevated' WHEN moved >= 45 THEN 'watch' ELSE 'baseline' END AS band, floor(t * 100 + 0.5) / 100 AS trend
         FROM (SELECT *, least(100, greatest(0, current_index + 12 * (t - 1))) AS moved FROM (SELECT i.zone_id, i.ix AS current_index, CASE WHEN f.mean6 IS NULL THEN 1 WHEN f.mean3 <= 0 THEN CASE WHEN f.mean6 > 0 THEN 1.4 ELSE 1 END ELSE least(2, greatest(0.5, f.mean6 / f.mean3)) END AS t
         FROM (SELECT * FROM index_table ORDER BY ix DESC, zone_id LIMIT 12) i LEFT JOIN (SELECT * FROM feats WHERE mi = (SELECT max(mi) FROM feats)) f USING (zone_id)))""", "index_table", "feats", **GRID),
+    "calibration_folds": sql("SELECT * FROM fold_parts", "fold_parts"),
+    "calibration_report": sql(
+        """SELECT weights, fold, count(*) AS n, CAST(count_if(outcome >= 1) AS BIGINT) AS n_positive, CASE WHEN count_if(outcome >= 1) IN (0, count(*)) THEN 0.5e0
+            ELSE floor((sum(r) FILTER (WHERE outcome >= 1) - count_if(outcome >= 1) * (count_if(outcome >= 1) + 1) / 2e0) / (count_if(outcome >= 1) * (count(*) - count_if(outcome >= 1))) * 1e6 + 0.5) / 1e6 END AS auc,
+            floor(CASE WHEN stddev_pop(r) > 0 AND stddev_pop(o) > 0 THEN corr(r, o) ELSE 0 END * 1e6 + 0.5) / 1e6 AS rho
+        FROM (SELECT *, rank() OVER (PARTITION BY weights, fold ORDER BY score) + (count(*) OVER (PARTITION BY weights, fold, score) - 1) / 2e0 AS r,
+                rank() OVER (PARTITION BY weights, fold ORDER BY outcome) + (count(*) OVER (PARTITION BY weights, fold, outcome) - 1) / 2e0 AS o
+            FROM (SELECT w.weights, fold, outcome, floor((w.a * eb_pct + w.b * mse_pct + w.c * cluster_score + w.d * acled_recent + w.e * ucdp_baseline + w.f * temporal_score + w.g * vehicle_score) * 1e6 + 0.5) / 1e6 AS score
+                FROM fold_parts CROSS JOIN (VALUES ('current', 0.3e0, 0.16e0, 0.28e0, 0.1e0, 0e0, 0.1e0, 0.06e0), ('previous', 0.3e0, 0.16e0, 0.28e0, 0e0, 0.1e0, 0.1e0, 0.06e0), ('equal', 1 / 7e0, 1 / 7e0, 1 / 7e0, 1 / 7e0, 1 / 7e0, 1 / 7e0, 1 / 7e0)) AS w(weights, a, b, c, d, e, f, g)))
+        GROUP BY weights, fold""",
+        "fold_parts",
+    ),
     "alerts_feed": sql("SELECT CAST(row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'elevated' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END, part, id) AS INTEGER) AS place, id, severity, kind, title, confidence FROM feed", "feed"),
     "severity_histogram": sql(_SEVERITIES, "feed"),
     "analysis_document": sql(
