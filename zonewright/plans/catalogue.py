@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.columns import equirectangular, half_up, micro
-from ..operators import capture, entity, folds, forecast, geo, news, panels, rates, risk, scan, sinks, vehicles
+from ..operators import capture, entity, folds, forecast, geo, news, panels, rates, risk, scan, sinks, snapshots, vehicles
 from ..session import shared_folder
 from ..sources import readers
 from ..sources import tables as src
@@ -666,23 +666,55 @@ def state_folder(spark: SparkSession) -> str:
 @query
 def stream_windowed_counts(spark: SparkSession, d: str) -> DataFrame:
     s = streams.windowed_counts(streams.event_stream(spark, f"{d}/events.parquet"))
-    got = streams.run_to_end(s, f"w{uuid.uuid4().hex}", state_folder(spark))
+    got = streams.latest_rows(streams.run_to_end(s, state_folder(spark)), "start", "event_type")
     return got.select(F.to_date("start").alias("day"), "event_type", "n", micro("total").alias("total"))
 
 
 @query
 def stream_high_water(spark: SparkSession, d: str) -> DataFrame:
     s = streams.high_water(streams.event_stream(spark, f"{d}/events.parquet"), "event_type", "event_id")
-    got = streams.run_to_end(s, f"h{uuid.uuid4().hex}", state_folder(spark), "update")
+    got = streams.run_to_end(s, state_folder(spark))
     return got.groupBy("event_type").agg(F.max("latest").alias("latest"))
 
 
 @query
 def stream_case_state(spark: SparkSession, d: str) -> DataFrame:
     e = streams.event_stream(spark, f"{d}/events.parquet")
-    s = e.select(F.concat(F.lit("case-"), F.col("user_id") % 50).alias("case_id"), F.concat(F.lit("outlet-"), F.col("event_id") % 7).alias("outlet"), F.when(F.col("event_id") % 900 == 899, "promoted").alias("decision"))
-    got = streams.run_to_end(streams.case_state(s), f"c{uuid.uuid4().hex}", state_folder(spark), "update")
-    return got.groupBy("case_id").agg(F.max_by("status", "updates").alias("status"), F.max("updates").alias("updates"))
+    s = e.select(F.concat(F.lit("case-"), F.col("user_id") % 50).alias("case_id"), F.col("event_id").alias("sighting"), "ts", F.concat(F.lit("outlet-"), F.col("event_id") % 7).alias("outlet"), F.when(F.col("event_id") % 900 == 899, "promoted").alias("decision"))
+    got = streams.run_to_end(streams.case_state(s), state_folder(spark))
+    return streams.latest_rows(got, "case_id").select("case_id", "status", "updates")
+
+
+def in_files(rows: DataFrame, order: str, n: int, path: str) -> str:
+    """rows in n files whose order in time is that of `order`, so that a stream over path has n batches."""
+    marks = rows.agg(F.percentile_approx(order, [k / n for k in range(1, n)]).alias("m")).first()["m"] or []
+    for low, high in zip([None, *marks], [*marks, None], strict=True):
+        part = rows.where((F.lit(True) if low is None else F.col(order) >= low) & (F.lit(True) if high is None else F.col(order) < high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@query
+def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
+    """The limiter over requests that come in three files, each key's list of allowed times carried from one to the next."""
+    e = src.table(spark, d, "events").select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    there = state_folder(spark)
+    requests = streams.event_stream(spark, in_files(e, "us", 3, f"{there}/requests"))
+    return streams.run_to_end(streams.limited_requests(requests, "event_type", limit=3, seconds=3600), there, "append").select("request_id", F.col("key").alias("event_type"), "allowed")
+
+
+@query
+def stream_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Daily values with late revisions from two files over them: the last revision of a day counts, days before the 10th stay as stored."""
+    day, ts = F.to_date("ts").alias("day"), F.unix_micros(F.col("ts").cast("timestamp"))
+    e = src.table(spark, d, "events")
+    stored = e.where("event_type = 'view'").groupBy(day).agg(F.lit(0).cast("long").alias("revised"), F.count("*").alias("n"))
+    there = state_folder(spark)
+    snapshots.publish(stored, f"{there}/table", 0)
+    late = in_files(e.where("event_type = 'click'").select(day, ts.alias("revised"), F.col("event_id").alias("n")), "n", 2, f"{there}/revisions")
+    sink = snapshots.revisions_sink(f"{there}/table", "day", "revised", F.lit("2024-01-10").cast("date"))
+    streams.run_to_end(spark.readStream.schema("day date, revised long, n long").option("maxFilesPerTrigger", 1).parquet(late), there, "append", sink)
+    return snapshots.read(spark, f"{there}/table")
 
 
 @query

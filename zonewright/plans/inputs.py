@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as T
-from ..operators import news, sinks
+from ..operators import news, sinks, snapshots
 from ..session import shared_folder
 from ..sources import readers
 from ..sources import tables as src
@@ -168,8 +168,12 @@ def last_good_wins(spark: SparkSession, d: str) -> DataFrame:
     """A failed fetch leaves the previous table; a good one replaces it."""
     n = src.table(spark, d, "nation").select("n_nationkey")
     r = src.table(spark, d, "region").select(F.col("r_regionkey").alias("n_nationkey"))
-    kept = readers.last_good(r.where("n_nationkey < 0"), n).withColumn("fetch", F.lit("failed"))
-    return kept.unionByName(readers.last_good(None, n).withColumn("fetch", F.lit("none"))).unionByName(readers.last_good(r, n).withColumn("fetch", F.lit("good")))
+    there, out = folder(spark), []
+    for name, fetch in (("failed", lambda: r.where("n_nationkey < 0")), ("none", lambda: None), ("good", lambda: r)):
+        snapshots.publish(n, f"{there}/{name}")
+        snapshots.refresh(spark, f"{there}/{name}", fetch)
+        out.append(snapshots.read(spark, f"{there}/{name}").withColumn("fetch", F.lit(name)))
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query

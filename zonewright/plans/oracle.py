@@ -162,6 +162,12 @@ def midrank(v: str) -> str:
 _PATTERNS = "SELECT concat_ws('+', CASE WHEN in_mv THEN '0' END, CASE WHEN in_ob THEN '1' END, CASE WHEN in_mort THEN '2' END) AS pattern, count(*) AS n FROM incidents GROUP BY ALL"
 _SEVERITIES = "SELECT s AS severity, count(f.id) AS n FROM (SELECT unnest(['critical', 'elevated', 'watch', 'info']) AS s) LEFT JOIN feed f ON f.severity = s GROUP BY s"
 
+#: The recurrence as a fold over each key's requests in order of time.
+_LIMITED = """WITH k AS (SELECT event_type, list(event_id ORDER BY ts, event_id) AS ids, list({'t': epoch_us(ts), 'kept': CAST([] AS BIGINT[]), 'ok': CAST([] AS BOOLEAN[])} ORDER BY ts, event_id) AS xs FROM events GROUP BY event_type),
+        r AS (SELECT event_type, ids, list_reduce(xs, lambda a, x: {'t': x.t, 'kept': list_filter(a.kept, lambda v: x.t - v < 3600000000) || CASE WHEN len(list_filter(a.kept, lambda v: x.t - v < 3600000000)) < 3 THEN [x.t] ELSE CAST([] AS BIGINT[]) END,
+            'ok': a.ok || [len(list_filter(a.kept, lambda v: x.t - v < 3600000000)) < 3]}, {'t': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[]), 'ok': CAST([] AS BOOLEAN[])}) AS s FROM k)
+        SELECT unnest(ids) AS request_id, event_type, unnest(s.ok) AS allowed FROM r"""
+
 SQL: dict[str, str] = {
     "zone_risk_rates": sql(f"SELECT *, {m6(midrank('eb_rate'), 'eb_pct')} FROM rates", "rates"),
     "zone_counts_zero_filled": sql("SELECT zone_id, documented, CAST(n_mv AS BIGINT) AS n_mv, CAST(n_ob AS BIGINT) AS n_ob, CAST(n_mort AS BIGINT) AS n_mort FROM counts", "counts"),
@@ -255,4 +261,13 @@ SQL: dict[str, str] = {
     "stream_windowed_counts": f"SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, {m6('sum(value)', 'total')} FROM events GROUP BY ALL",
     "stream_high_water": "SELECT event_type, max(event_id) AS latest FROM events GROUP BY event_type",
     "sliding_request_windows": "SELECT s AS start_s, count(*) AS n, count(*) > 4 AS limited FROM (SELECT unnest([epoch_us(ts) // 300000000 * 300, epoch_us(ts) // 300000000 * 300 - 300]) AS s FROM events) GROUP BY s",
+    "rate_limit": _LIMITED,
+    "stream_rate_limit": _LIMITED,
+    "stream_case_state": """SELECT case_id, CASE WHEN bool_or(promoted) THEN 'promoted' WHEN count(DISTINCT outlet) >= 2 THEN 'ready' ELSE 'pending' END AS status, count(*) AS updates
+        FROM (SELECT 'case-' || user_id % 50 AS case_id, event_id % 7 AS outlet, event_id % 900 = 899 AS promoted,
+            count(*) FILTER (WHERE event_id % 900 = 899) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS decided FROM events) WHERE decided = 0 GROUP BY case_id""",
+    "stream_revisions": """SELECT coalesce(s.day, f.day) AS day, CASE WHEN s.day IS NOT NULL AND (f.day IS NULL OR s.day < DATE '2024-01-10') THEN 0 ELSE f.revised END AS revised,
+        CASE WHEN s.day IS NOT NULL AND (f.day IS NULL OR s.day < DATE '2024-01-10') THEN s.n ELSE f.n END AS n
+        FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL) s
+        FULL JOIN (SELECT * FROM (SELECT CAST(ts AS DATE) AS day, epoch_us(ts) AS revised, event_id AS n, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type = 'click') WHERE k = 1) f ON f.day = s.day""",
 }
