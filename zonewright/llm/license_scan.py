@@ -1,18 +1,20 @@
 """Operator 1: licence scan by Dice coefficient over word bigrams.
 
-A text is normalised (A-Z in lower case, ASCII characters other than letters and digits become space) and cut into units
-at line ends and sentence ends. Compared with the templates are the whole text, every unit, and stretches of
-successive units within the size bound that begin and end with one that shares half of its bigrams with the template or more, so that
-a licence is found inside other prose, on one line or over many, beside another one or with list numbers on its lines. A block and a template of a and b bigrams can reach a Dice coefficient of t only if the
-smaller count is at least t / (2 - t) of the larger; only templates within that bound are compared.
+A text is normalised (A-Z in lower case, ASCII characters other than letters and digits become space) to one row of words. A window slides over
+it for each template, wherever the template's bigrams are dense: windows begin and end with one of them, whatever lines or sentences they
+lie in, so that a licence is found inside a sentence, on one line or over many, beside another one or with list numbers on its lines. A window and a template of a and b bigrams can reach a Dice coefficient of t only if the
+smaller count is at least t / (2 - t) of the larger: that bounds the windows of a template, and how many of its bigrams such a window must have,
+so that a start is passed over by one look at where as many bigrams on would end.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,58 +99,43 @@ class Templates:
                 found = d, name
         return found
 
-    def scan(self, raw: bytes) -> list[tuple[int, int, float, str]]:
-        """Blocks that match, as (first unit, end unit, coefficient, name), best first; blocks that overlap a better one are left out."""
-        units = units_of(raw)
-        found: list[tuple[int, int, float, str]] = []
-        runs: dict[int, list[int]] = {}  # marked units
-        gap: dict[int, int] = {}
-        every: set[int] = set()
-
-        def close(k: int) -> None:
-            at = runs.pop(k)
+    def windows(self, grams: list[tuple[bytes, bytes]]) -> Iterator[tuple[int, int, float, str]]:
+        """For each template and start the window of highest coefficient at or over the threshold, the longest among equals: (first word, end word, coefficient, name)."""
+        hits: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):
+            if g in self.by_bigram:
+                for k in self.by_bigram[g]:
+                    hits.setdefault(k, []).append(i)
+        for k, at in hits.items():
             name, other, m = self.items[k]
-            for i, a in enumerate(at):
-                seen: Counter = Counter()
-                both, n, last, end, top = 0, -1, None, a, None
-                for b in at[i:]:
-                    for w in (w for u in units[end : b + 1] for w in u):
-                        n += 1
-                        if last is not None:
-                            seen[last, w] += 1
-                            both += seen[last, w] <= other.get((last, w), 0)
-                        last = w
-                    end = b + 1
-                    if n > m / self.bound:
+            widest = int(m / self.bound + 1e-9)
+            fewest = ceil(self.threshold * (ceil(m * self.bound - 1e-9) + m) / 2 - 1e-9)  # in common, by the shortest window
+            for j in range(len(at) - fewest + 1):
+                first = at[j]
+                if at[j + fewest - 1] - first >= widest:
+                    continue
+                left, both, top = dict(other), 0, None
+                for i in at[j : j + widest]:
+                    n = i - first + 1
+                    if n > widest or (top and 2 * m < top[2] * (n + m)):  # nothing longer reaches as much
                         break
-                    if end - a > 1 and (d := 2 * both / (n + m)) >= self.threshold and (top is None or d >= top[2]):
-                        top = a, end, d, name
+                    if left[grams[i]]:
+                        left[grams[i]] -= 1
+                        both += 1
+                        if (d := 2 * both / (n + m)) >= self.threshold and (top is None or d >= top[2]):
+                            top = first, i + 2, d, name
                 if top:
-                    found.append(top)
-
-        for i, u in enumerate(units):
-            share: Counter = Counter()
-            if not self.words.isdisjoint(u):
-                for g in zip(u, u[1:], strict=False):
-                    share.update(self.by_bigram.get(g, ()))
-            marked = {k for k, n in share.items() if 2 * n >= len(u) - 1}
-            for k in [k for k in runs if k not in marked]:
-                gap[k] += max(0, len(u) - 1 - share[k])
-                if gap[k] > self.items[k][2] * (2 / self.threshold - 2):  # no match has more bigrams that the template lacks
-                    close(k)
-            for k in marked:
-                runs.setdefault(k, []).append(i)
-                gap[k] = 0
-            every |= share.keys()
-            if share and (hit := self.best(u, set(share))):
-                found.append((i, i + 1, *hit))
-        for k in list(runs):
-            close(k)
-        if every and len(units) > 1 and sum(map(len, units)) - 1 <= self.most and (hit := self.best([w for u in units for w in u], every)):
-            found.append((0, len(units), *hit))
+                    yield top
+
+    def scan(self, raw: bytes) -> list[tuple[int, int, float, str]]:
+        """Windows that match, as (first word, end word, coefficient, name), best first; a window that overlaps a better one is left out."""
+        words = [w for u in units_of(raw) for w in u]
         out: list[tuple[int, int, float, str]] = []
-        for x in sorted(found, key=lambda x: (-x[2], -(x[1] - x[0]), x[0], x[3])):
-            if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
+        kept: list[tuple[int, int]] = []  # in order, without overlaps
+        for x in sorted(self.windows(list(zip(words, words[1:], strict=False))), key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
+            k = bisect_left(kept, (x[0], x[1]))
+            if (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= kept[k][0]):
+                insort(kept, (x[0], x[1]))
                 out.append(x)
         return out
 
@@ -161,8 +148,8 @@ def compiled(templates: tuple[tuple[str, str], ...], threshold: float) -> Templa
 def scan_licences(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """Each row of docs with doc_id, licence and dice of its best match (null if none), licences (sorted, distinct) and blocks.
 
-    docs: doc_id (of any type) and text; other columns are ignored. blocks: first unit, end unit (exclusive), coefficient and name of
-    each match; matches do not overlap. Equal coefficients: the longer block, then the earlier, then the first name. A null
+    docs: doc_id (of any type) and text; other columns are ignored. blocks: first word, end word (exclusive), coefficient and name of
+    each match; matches do not overlap. Equal coefficients: the longer block, then the earlier, then the first name. Time grows with the text and its matches, not with their square. A null
     or empty text has no match. Repeated rows and null ids come back one for one. Neither documents nor matches are moved
     between tasks; the templates are a parameter and travel with the code.
     """
