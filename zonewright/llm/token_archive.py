@@ -11,8 +11,8 @@ so a reader finds a document by the index and decompresses its frame alone; what
 dictionary. Ids are little-endian, in 2 bytes if the vocabulary allows it, else 4. A reader that has another dictionary
 than the file was written with stops with an error.
 
-Documents are encoded once and kept in the shared folder, then dealt to files by ranges of doc_id; rows that share a doc_id are told apart by
-their ids and by where they were encoded, so a doc_id of many rows fills several files. Files get their places by a sum over
+Documents are encoded and compressed once and their frames kept in the shared folder, then dealt to files by ranges of doc_id; rows that share a doc_id are told apart by
+their ids' number and checksum and by where they were encoded, so a doc_id of many rows fills several files. Files get their places by a sum over
 files before them, over runs of files first.
 """
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
@@ -49,23 +50,27 @@ def id_width(tokenizer: str, end_id: int) -> int:
     return 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int) -> DataFrame:
-    """One row per document: doc_id, ids (serialised, with end_id), crc (of the ids in 4 bytes each), and the task and place in it."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, width: int, dictionary: bytes, level: int) -> DataFrame:
+    """One row per document: doc_id, frame (of its ids and end_id), n_tokens, crc (of the ids in 4 bytes each), and the task and place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, task, n = encoder(tokenizer, width=width), np.array([end_id], dtype=f"<u{width}").tobytes(), TaskContext.get().partitionId(), 0
+        shrink = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_checksum=True)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                crc = [zlib.crc32(wide(x, width)) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(ids, pa.binary()), pa.array(crc, pa.int64()), pa.array([task] * len(ids), pa.int32()), pa.array(range(n, n + len(ids)), pa.int64())],
-                    ["doc_id", "ids", "crc", "task", "place"],
-                )
+                columns = [
+                    pa.array(map(shrink.compress, ids), pa.binary()),
+                    pa.array([len(x) // width for x in ids], pa.int64()),
+                    pa.array([zlib.crc32(wide(x, width)) for x in ids], pa.int64()),
+                    pa.array([task] * len(ids), pa.int32()),
+                    pa.array(range(n, n + len(ids)), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "frame", "n_tokens", "crc", "task", "place"])
                 n += len(ids)
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type(docs)}, ids binary, crc long, task int, place long")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {id_type(docs)}, frame binary, n_tokens long, crc long, task int, place long")
 
 
 def wide(ids: bytes, width: int) -> bytes:
@@ -73,17 +78,26 @@ def wide(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, dtype="<u2").astype("<u4").tobytes()
 
 
-def train_dictionary(ids: DataFrame, width: int, size: int = 64 << 10, documents: int = 4096, slice_bytes: int = 4096) -> bytes:
-    """A zstandard dictionary of at most `size` bytes from a sample bounded by documents * slice_bytes.
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int, size: int = 64 << 10, documents: int = 4096, slice_bytes: int = 4096) -> bytes:
+    """A zstandard dictionary of at most `size` bytes from the serialised ids of about `documents` rows, slice_bytes of each at most.
 
-    The sample is the `documents` rows with the smallest hash of doc_id and ids' checksum; of a longer one it takes slice_bytes at a
-    place that the hash names. Too few samples to train on are used as they are, as the content of the dictionary.
+    A row is in the sample if a hash of its place in the table is in the share that `documents` is of all rows, so tens of megabytes
+    at most reach the driver, whatever the corpus. Of a longer row the slice begins where the hash says. Too few samples to train on are used as they are, as the content of the dictionary.
     """
-    h = F.xxhash64("doc_id", "crc")
-    n = F.octet_length("ids") / width
-    first = F.pmod(h, F.greatest(F.lit(1), n - slice_bytes // width + 1).cast("long"))
-    rows = ids.select(h.alias("h"), F.expr("ids").substr((first * width + 1).cast("int"), F.lit(slice_bytes)).alias("x")).orderBy("h", "x").limit(documents).collect()
-    samples = [bytes(r.x) for r in rows if r.x]
+    rows, h = docs.count(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 40))
+    sample = docs.select(h.alias("h"), F.col("text").cast("string").alias("text")).where(F.col("h") * max(rows, documents) < documents * (1 << 40))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end = encoder(tokenizer, width=width), np.array([end_id], dtype=f"<u{width}").tobytes()
+        for b in batches:
+            out = []
+            for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = enc.encode([text])[0] + end
+                first = h % max(1, (len(ids) - slice_bytes) // width + 1) * width
+                out.append(ids[first : first + slice_bytes])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["h", "ids"])
+
+    samples = [bytes(r.ids) for r in sorted(sample.mapInArrow(run, "h long, ids binary").collect())]
     try:
         return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
     except zstandard.ZstdError:
@@ -113,39 +127,34 @@ def write_archive(docs: DataFrame, folder: str, tokenizer: str, end_id: int, lev
     """
     spark = docs.sparkSession
     width = id_width(tokenizer, end_id)
-    ids = cut(encoded(docs, tokenizer, end_id, width))
-    data = train_dictionary(ids, width)
+    data = train_dictionary(docs, tokenizer, end_id, width)
     sha = hashlib.sha256(data).digest()
     fs, top = open_store(folder)
     fs.create_dir(top, recursive=True)
     with fs.open_output_stream(f"{top}/dictionary-{sha.hex()}.zdict") as f:
         f.write(data)
-    total = ids.agg(F.sum(F.octet_length("ids")).cast("long")).first()[0] or 0
+    frames = cut(encoded(docs, tokenizer, end_id, width, data, level))
+    total = width * (frames.agg(F.sum("n_tokens")).first()[0] or 0)
     n_files = max(1, -(-total // file_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (4 << 20))))
-    keys = ["doc_id", "n", "crc", "task", "place"]
-    ordered = ids.withColumn("n", F.octet_length("ids")).repartitionByRange(n_files, *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    keys = ["doc_id", "n_tokens", "crc", "task", "place"]
+    ordered = frames.repartitionByRange(n_files, *keys).sortWithinPartitions(*keys).select("doc_id", "frame", "n_tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, out = TaskContext.get(), None
         fs, top = open_store(folder)
         name = f"ids-{context.partitionId():08d}.bin"
         held = f"{top}/.{name}.{context.taskAttemptId()}"
-        shrink = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(data), write_checksum=True)
         index, at, n_docs, n_ids = [], _HEADER_BYTES, 0, 0
         for b in batches:
             if out is None:
                 out = fs.open_output_stream(held)
                 out.write(struct.pack(_HEADER, _MAGIC, width, sha))
-            frames, sizes, counts = [], [], []
             for x in b.column(1):
-                x = x.as_buffer()
-                frames.append(shrink.compress(x))
-                sizes.append(len(frames[-1]))
-                counts.append(x.size // width)
-            out.write(b"".join(frames))
-            ends = at + np.cumsum(sizes, dtype=np.int64)
-            index.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(ends - np.array(sizes)), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["doc_id", "offset", "size", "n_tokens"]))
-            at, n_docs, n_ids = int(ends[-1]), n_docs + b.num_rows, n_ids + sum(counts)
+                out.write(x.as_buffer())
+            sizes = pc.binary_length(b.column(1)).to_numpy().astype(np.int64)
+            ends = at + np.cumsum(sizes)
+            index.append(pa.RecordBatch.from_arrays([b.column(0), pa.array(ends - sizes), pa.array(sizes), b.column(2)], ["doc_id", "offset", "size", "n_tokens"]))
+            at, n_docs, n_ids = int(ends[-1]), n_docs + b.num_rows, n_ids + pc.sum(b.column(2)).as_py()
         if out is not None:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, index[0].schema) as w:
