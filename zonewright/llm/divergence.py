@@ -1,7 +1,7 @@
 """Operator 13: how far the sources of a language differ in their words.
 
 Terms are counted per language and source, first inside tasks. The terms that a language keeps are dealt to blocks by hash, so
-that a block has about `cells` numbers in its dense matrix of groups by terms. In a block the smoothed frequencies of all groups
+that a block has about 2,048 terms and 2^20 numbers in its dense matrix of groups by terms at most. In a block the smoothed frequencies of all groups
 are one int64 tile; its absolute differences, all pairs of groups broadcast a few groups at a time, are summed to a partial matrix of pairs, and a
 heap per group keeps the terms it has more often than its language. Spark sums the partial matrices and merges the heaps.
 """
@@ -79,14 +79,14 @@ def _groups(docs: DataFrame) -> list:
     return [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
 
 
-def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, cells: int = 1 << 20) -> DataFrame:
+def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, cells: int = 1 << 20, block_terms: int = 2048) -> DataFrame:
     """lang, source, part, item, value, rank: what tells each source of a language from the others, and from the language.
 
     docs: lang, source and text; nulls are empty texts, other columns are ignored. A language keeps the terms in at least min_docs
     of its documents (rows: repeated ones count each). Part `pair` has every other source of the language with the summed difference
     of the two, all ranks; part `term` the terms that the source has more often than its language, the first `top`. Ties go by the item's UTF-8 bytes. A
     language without kept terms has pairs of value 0; a language of one source has none; an empty table gives no rows. Arithmetic is exact. `cells` bounds a
-    block's matrix, hence memory, and changes no result.
+    block's matrix, hence memory, and block_terms its terms, so that few sources still make many tasks; neither changes a result.
     """
     counted = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
     same = Window.partitionBy("lang", "term")  # as many rows as the language has sources at most
@@ -97,7 +97,7 @@ def divergence(docs: DataFrame, min_docs: int = 30, top: int = 50, cells: int =
     groups = docs.select(*_groups(docs)).distinct().join(sums, ["lang", "source"], "left").fillna(0, ["n", "v"])
     groups = cut(groups)
     langs = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.sum("v").alias("lang_v"), F.count("*").alias("g"))
-    langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("lang_v") * F.col("g") / cells)).cast("long"))
+    langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("lang_v") / block_terms), F.ceil(F.col("lang_v") * F.col("g") / cells)).cast("long"))
     tiles = kept.join(langs.select("lang", "blocks"), "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "source", "term", "n")
     lists = groups.select("lang", "source", "n").join(langs, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "n", "lang_n", "lang_v")
 
