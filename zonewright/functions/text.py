@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .columns import col
 
 
+def in_reading_order(name: Column | str) -> Column:
+    """A name as a sort key in the order of the Unicode collation: letters first, then accents, then case, so that "éa" stands between "ea" and "eb"."""
+    return F.collate(col(name), "UNICODE")
+
+
 def canonical_zone(name: Column | str) -> Column:
     """A zone's name without a trailing "County"."""
     return F.trim(F.regexp_replace(col(name), r"(?i)\s*County$", ""))

@@ -33,11 +33,16 @@ def append_if_absent(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame
 
 
 def append_sorted(stored: DataFrame, fresh: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The same with each row's place in the order (from 0) and the total.
+    """The same with each row's place in the order (from 0) and the total."""
+    return placed(append_if_absent(stored, fresh, key), *order)
+
+
+def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
+    """rows with each one's place in the order (from 0) and the total.
 
     Rows are dealt in ranges of the order; each range numbers its own rows, to which the sizes of the ranges before are added.
     """
-    both = checkpointed(append_if_absent(stored, fresh, key).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    both = checkpointed(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = both.groupBy("_range").agg(F.count("*").alias("_n"))
     sizes = sizes.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"), F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"))

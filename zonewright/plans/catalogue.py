@@ -94,6 +94,16 @@ def documented_by_bias(spark: SparkSession, d: str) -> DataFrame:
     return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("documented"), "zone_id")))
 
 
+@query
+def names_in_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """Customers in the order in which people read their zones' names (some with an accent, in capitals or small letters), then by key."""
+    n, k = F.initcap("n_name"), F.col("n_nationkey")
+    name = F.when(k % 3 == 0, F.lower(n)).when(k % 3 == 1, F.upper(n)).otherwise(F.translate(n, "AEIOUaeiou", "ÁÉÍÓÚáéíóú"))
+    zones = src.table(spark, d, "nation").select(k.alias("c_nationkey"), name.alias("zone_name"))
+    people = src.table(spark, d, "customer").select("c_custkey", "c_nationkey").join(zones, "c_nationkey")
+    return sinks.placed(people.select("c_custkey", "zone_name"), T.in_reading_order("zone_name"), F.col("c_custkey")).select("c_custkey", "zone_name", "place", "total")
+
+
 # ---- panels ----
 
 

@@ -211,6 +211,9 @@ SQL: dict[str, str] = {
     "trend_projection_top12": sql("""SELECT zone_id, current_index, floor(moved * 10 + 0.5) / 10 AS projected_index, CASE WHEN moved >= 75 THEN 'critical' WHEN moved >= 60 THEN 'elevated' WHEN moved >= 45 THEN 'watch' ELSE 'baseline' END AS band, floor(t * 100 + 0.5) / 100 AS trend
         FROM (SELECT *, least(100, greatest(0, current_index + 12 * (t - 1))) AS moved FROM (SELECT i.zone_id, i.ix AS current_index, CASE WHEN f.mean6 IS NULL THEN 1 WHEN f.mean3 <= 0 THEN CASE WHEN f.mean6 > 0 THEN 1.4 ELSE 1 END ELSE least(2, greatest(0.5, f.mean6 / f.mean3)) END AS t
         FROM (SELECT * FROM index_table ORDER BY ix DESC, zone_id LIMIT 12) i LEFT JOIN (SELECT * FROM feats WHERE mi = (SELECT max(mi) FROM feats)) f USING (zone_id)))""", "index_table", "feats", **GRID),
+    "names_in_reading_order": """SELECT c_custkey, zone_name, CAST(row_number() OVER (ORDER BY base, c_custkey) - 1 AS BIGINT) AS place, count(*) OVER () AS total FROM (
+        SELECT n_nationkey, lower(n_name) AS base, CASE n_nationkey % 3 WHEN 0 THEN lower(n_name) WHEN 1 THEN upper(n_name)
+            ELSE translate(array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), 'AEIOUaeiou', 'ÁÉÍÓÚáéíóú') END AS zone_name FROM nation) JOIN customer ON c_nationkey = n_nationkey""",
     "calibration_folds": sql("SELECT * FROM fold_parts", "fold_parts"),
     "calibration_report": sql(
         """SELECT weights, fold, count(*) AS n, CAST(count_if(outcome >= 1) AS BIGINT) AS n_positive, CASE WHEN count_if(outcome >= 1) IN (0, count(*)) THEN 0.5e0
