@@ -252,6 +252,33 @@ def merged(a: DataFrame, b: DataFrame, assigned: DataFrame) -> DataFrame:
     return both.select("record_id_a", "record_id_b", F.coalesce("name_b", "name_a").alias("name"), F.coalesce("county_a", "county_b").alias("county"), F.col("record_id_a").isNotNull().alias("in_a"), F.col("record_id_b").isNotNull().alias("in_b"))
 
 
+def register(a: DataFrame, b: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row per incident of two lists: id_a, id_b, date, county, in_a, in_b, status, category, source_name, source_url.
+
+    a, b: record_id, date, county, status, category, source_name, source_url. Where both have an incident, a's date, category and (if it has one) county
+    stand, b's status and address do, and the names of the sources are joined by " + ". What only one list has comes as it is.
+    """
+    pairs = assigned.select(F.col("a_id").alias("record_id"), F.col("b_id").alias("_b"))
+    side = lambda df, x: df.select(*(F.col(c).alias(f"_{x}_{c}") for c in ("record_id", "date", "county", "status", "category", "source_name", "source_url")))
+    left = side(a, "a").join(pairs.withColumnRenamed("record_id", "_id"), F.col("_a_record_id") == F.col("_id"), "left")
+    both = left.join(side(b, "b"), F.col("_b") == F.col("_b_record_id"), "full_outer")
+    first, last = (lambda c: F.coalesce(f"_a_{c}", f"_b_{c}")), (lambda c: F.when(F.col("_b_record_id").isNotNull(), F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")))
+    alone = F.col("_a_record_id").isNull()
+    own = lambda c: F.when(alone, F.col(f"_b_{c}")).otherwise(F.col(f"_a_{c}")).alias(c)
+    return both.select(
+        F.col("_a_record_id").alias("id_a"),
+        F.col("_b_record_id").alias("id_b"),
+        own("date"),
+        first("county").alias("county"),
+        F.col("_a_record_id").isNotNull().alias("in_a"),
+        F.col("_b_record_id").isNotNull().alias("in_b"),
+        last("status").alias("status"),
+        own("category"),
+        F.concat_ws(" + ", "_a_source_name", "_b_source_name").alias("source_name"),
+        last("source_url").alias("source_url"),
+    )
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 100) -> DataFrame:
     """node, root: the smallest node that edges (a, b) reach; alone, a node is its own root.
 

@@ -115,6 +115,24 @@ def webhook_kind(url: str) -> str:
     return "slack" if host == "hooks.slack.com" else "discord" if host in ("discord.com", "discordapp.com") and "/api/webhooks/" in base else "json"
 
 
+def webhook_kinds(url: Column) -> Column:
+    """webhook_kind of a column of addresses."""
+    base = F.substring_index(url, "#", 1)
+    fragment = F.when(F.contains(url, F.lit("#")), F.regexp_replace(url, "^[^#]*#", "")).otherwise("")
+    host = F.lower(F.substring_index(F.regexp_replace(base, "^.*://", ""), "/", 1))
+    named = F.when(host == "hooks.slack.com", "slack").when(host.isin("discord.com", "discordapp.com") & F.contains(base, F.lit("/api/webhooks/")), "discord").otherwise("json")
+    return F.when(fragment.isin("slack", "discord", "json"), fragment).otherwise(named)
+
+
+def webhook_bodies(kind: Column, title: Column, text: Column, metrics: Column) -> Column:
+    """The body to post to an address of a kind, as JSON; metrics: a struct. Nothing is sent from here."""
+    bold = F.concat(F.lit("*"), title, F.lit("*\n"), text)
+    section = F.struct(F.lit("section").alias("type"), F.struct(F.lit("mrkdwn").alias("type"), bold.alias("text")).alias("text"))
+    slack = F.to_json(F.struct(title.alias("text"), F.array(section).alias("blocks")))
+    discord = F.to_json(F.struct(F.substring(F.concat(F.lit("**"), title, F.lit("**\n"), text), 1, 2000).alias("content")))
+    return F.when(kind == "slack", slack).when(kind == "discord", discord).otherwise(F.to_json(F.struct(title.alias("title"), text.alias("text"), metrics.alias("metrics"))))
+
+
 def webhook_payload(url: str, title: str, text: str, metrics: dict) -> str:
     """The body to post; nothing is sent from here."""
     kind = webhook_kind(url)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as T
-from ..operators import news, sinks, snapshots
+from ..operators import entity, news, sinks, snapshots
 from ..session import shared_folder
 from ..sources import readers
 from ..sources import tables as src
@@ -263,8 +263,23 @@ def digest_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def webhook_kinds(spark: SparkSession, d: str) -> DataFrame:
-    urls = [f"https://{host}/{path}{tail}" for host, path in (("hooks.slack.com", "services/x"), ("discord.com", "api/webhooks/1"), ("example.org", "hook")) for tail in ("", "#json", "#slack", "#other")]
-    return spark.createDataFrame([(u, sinks.webhook_kind(u)) for u in urls], "url string, kind string")
+    """An address per page, of each kind of host and fragment, with the body that would be posted there."""
+    k = F.col("page_id")
+    host = F.when(k % 3 == 0, "hooks.slack.com/services/").when(k % 3 == 1, "discord.com/api/webhooks/").otherwise("example.org/hook/")
+    tail = F.when(k % 4 == 1, "#json").when(k % 4 == 2, "#slack").when(k % 4 == 3, "#other").otherwise("")
+    p = src.table(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), host, k.cast("string"), tail).alias("url"), F.length("html").cast("long").alias("size"))
+    p = p.withColumn("kind", sinks.webhook_kinds(F.col("url")))
+    return p.select("page_id", "url", "kind", sinks.webhook_bodies(F.col("kind"), F.concat(F.lit("Page "), k), F.lit("A page's size"), F.struct("size")).alias("body"))
+
+
+@query
+def incident_register(spark: SparkSession, d: str) -> DataFrame:
+    """The union of two lists, every third pair of neighbours one incident: statuses, counties and sources merged."""
+    k = F.col("p_partkey")
+    r = src.table(spark, d, "part").select(k.alias("record_id"), F.date_add(F.lit("2020-01-01").cast("date"), (k % 700).cast("int")).alias("date"), F.when(k % 5 > 0, F.col("p_brand")).alias("county"), F.when(k % 7 == 0, "unknown").otherwise("documented").alias("status"), F.col("p_type").alias("category"), F.concat(F.lit("source "), k % 4).alias("source_name"), F.concat(F.lit("https://example.org/"), k).alias("source_url"))
+    a, b = r.where("record_id % 2 = 0"), r.where("record_id % 2 = 1")
+    pairs = a.where("record_id % 6 = 0").select(F.col("record_id").alias("a_id"), (F.col("record_id") + 1).alias("b_id")).join(b.select(F.col("record_id").alias("b_id")), "b_id")
+    return entity.register(a, b, pairs)
 
 
 @query
@@ -377,7 +392,15 @@ SQL: dict[str, str] = {
     "appended_and_sorted": f"SELECT o_orderkey, {_O} AS day, CAST(row_number() OVER (ORDER BY {_O}, o_orderkey) - 1 AS BIGINT) AS place, count(*) OVER () AS total FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0",
     "json_documents": "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation",
     "digest_numbers": "SELECT n AS documented, -n AS change, 2 * n AS estimated FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT','2-HIGH') OR o_orderstatus = 'F' OR o_orderkey % 7 = 0)",
-    "webhook_kinds": "SELECT 'https://' || h || t AS url, CASE WHEN t = '#json' THEN 'json' WHEN t = '#slack' THEN 'slack' ELSE k END AS kind FROM (VALUES ('hooks.slack.com/services/x', 'slack'), ('discord.com/api/webhooks/1', 'discord'), ('example.org/hook', 'json')) AS a(h, k) CROSS JOIN (SELECT unnest(['', '#json', '#slack', '#other']) AS t)",
+    "webhook_kinds": """SELECT page_id, url, kind, CASE kind WHEN 'slack' THEN '{"text":"Page ' || page_id || '","blocks":[{"type":"section","text":{"type":"mrkdwn","text":"*Page ' || page_id || '*\\nA page''s size"}}]}'
+        WHEN 'discord' THEN '{"content":"**Page ' || page_id || '**\\nA page''s size"}' ELSE '{"title":"Page ' || page_id || '","text":"A page''s size","metrics":{"size":' || length(html) || '}}' END AS body
+        FROM (SELECT page_id, html, 'https://' || [ 'hooks.slack.com/services/', 'discord.com/api/webhooks/', 'example.org/hook/'][page_id % 3 + 1] || page_id || ['', '#json', '#slack', '#other'][page_id % 4 + 1] AS url,
+            CASE WHEN page_id % 4 = 1 THEN 'json' WHEN page_id % 4 = 2 THEN 'slack' ELSE ['slack', 'discord', 'json'][page_id % 3 + 1] END AS kind FROM pages)""",
+    "incident_register": """WITH r AS (SELECT p_partkey AS k, DATE '2020-01-01' + CAST(p_partkey % 700 AS INTEGER) AS date, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS county, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' ELSE 'documented' END AS status,
+            p_type AS category, 'source ' || p_partkey % 4 AS s, 'https://example.org/' || p_partkey AS u FROM part),
+        a AS (SELECT * FROM r WHERE k % 2 = 0), b AS (SELECT * FROM r WHERE k % 2 = 1)
+        SELECT a.k AS id_a, b.k AS id_b, coalesce(a.date, b.date) AS date, coalesce(a.county, b.county) AS county, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b, coalesce(b.status, a.status) AS status, coalesce(a.category, b.category) AS category,
+            concat_ws(' + ', a.s, b.s) AS source_name, coalesce(b.u, a.u) AS source_url FROM a FULL JOIN b ON b.k = a.k + 1 AND a.k % 6 = 0""",
     "snapshot_written": "SELECT count(*) AS orders FROM orders",
     "outside_country": "SELECT o_orderkey, o_orderkey % 3 <> 1 AS outside FROM orders",
     "recent_terms": "SELECT doc_id, coalesce(pub, DATE '2024-03-30') AS pub, array_to_string(t, ',') AS terms FROM (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN DATE '2024-03-30' - CAST(doc_id % 120 AS INTEGER) END AS pub, list_filter(['that', 'with'], lambda x: contains(lower(text), x)) AS t FROM documents) WHERE len(t) > 0 AND (pub IS NULL OR pub >= DATE '2024-03-30' - 60)",
