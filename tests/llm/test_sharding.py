@@ -65,3 +65,15 @@ def test_places_do_not_depend_on_the_order_of_rows(spark):
     texts = [(k, prose(k // 2, 30 + k % 200)) for k in range(600)]
     key = lambda df: sorted((r.doc_id, r.shard, r.slot) for r in sharding.shard_documents(df, groups_per_task=20).collect())
     assert key(frame(spark, texts, parts=2)) == key(frame(spark, texts[::-1], parts=7))
+
+
+def test_one_id_of_many_rows(spark):
+    """Slots stay gapless, and no task orders more than a few times slot_rows of them."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(100_000, numPartitions=6).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 5000).alias("text"))
+    got = sharding.shard_documents(df, slot_rows=500)
+    per = got.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.count_distinct("slot").alias("d")).collect()
+    assert len(per) == 16 and all((r.a, r.z, r.d) == (0, r.n - 1, r.n) for r in per) and sum(r.n for r in per) == 100_000
+    by = got.groupBy("shard", F.floor(F.col("slot") / 500)).count()
+    assert by.count() > 16 * 10

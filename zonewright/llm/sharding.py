@@ -56,7 +56,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, units_per_shard: int = 25
     text counts as empty. A group with more than 1 / units_per_shard of a shard is placed by itself; one with more
     than split_above of a shard is split by its rows into pieces of about 1 / pieces_per_shard, so it is no longer together, and
     it is the only one that is not. Sizes are near equal; token and row counts follow as far as the groups allow. Slots count
-    from 0 in each shard, by a hash of doc_id and then doc_id; rows that repeat get slots of their own. A null doc_id is an
+    from 0 in each shard, by a hash of doc_id and the row's place in the table, so that one id of many rows is ordered by many tasks; rows that repeat get slots of their own. A null doc_id is an
     id like any other. An empty table gives no rows.
     The driver gets fewer than 3 * shards * units_per_shard large groups with their pieces, and one row per bin of a task.
     """
@@ -87,13 +87,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, units_per_shard: int = 25
     spark = rows.sparkSession
     of_unit = spark.createDataFrame([(*u[:3], s) for u, s in zip(units, placed, strict=False)], "ga long, gb long, piece long, shard int")
     of_bin = spark.createDataFrame([(b[0], s) for b, s in zip(bins, placed[len(units) :], strict=True)], "bin long, shard int")
-    fields = ["doc_id", "size", "tokens", "text_crc32", F.col("ga").alias("group"), "shard"]
+    fields = ["doc_id", "size", "tokens", "text_crc32", F.col("ga").alias("group"), "shard", "at"]
     alone = parted.join(F.broadcast(of_unit), ["ga", "gb", "piece"]).select(*fields)
     rest = rows.join(small.select("ga", "gb", "bin"), ["ga", "gb"]).join(F.broadcast(of_bin), "bin").select(*fields)
-    out = alone.unionAll(rest).withColumn("_b", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // (shards * slot_rows))))))
+    out = alone.unionAll(rest).withColumn("_b", F.pmod(F.xxhash64("doc_id", "at"), F.lit(max(1, -(-n // (shards * slot_rows))))))
     counts = out.groupBy("shard", "_b").agg(F.count("*").alias("_c"))
     base = counts.select("shard", "_b", (F.sum("_c").over(Window.partitionBy("shard").orderBy("_b")) - F.col("_c")).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("shard", "_b").orderBy("doc_id", "text_crc32", "size", "at"))
     return out.withColumn("_r", rank - 1).join(base, ["shard", "_b"]).select("doc_id", "size", "tokens", "text_crc32", "group", "shard", (F.col("_base") + F.col("_r")).alias("slot"))
 
 
