@@ -1,4 +1,6 @@
 import math
+import os
+import pickle
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -59,6 +61,23 @@ def test_code_lengths_equal_plain_ppm(spark):
     assert np.allclose(trees.code_lengths([prose(1, 900)], at_once=100), whole)
 
 
+def test_tables_in_many_files(spark):
+    """The lengths do not depend on how the tables are cut into files, and the files go when they are removed."""
+    rows = [(lang, prose(k, 120)) for k, lang in enumerate(["en", "de", "fr", "en", "sw"])] + [("ru", "это просто текст")]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    one, many = li.learn(docs), li.learn(docs, part_rows=60)
+    assert all(len(t.files) == 1 for pair in one.orders for t in pair)
+    assert sum(len(t.files) for pair in many.orders for t in pair) > 12
+    probes = ["ein text", "this is the text", "просто", "", prose(9, 300)]
+    assert np.allclose(many.code_lengths(probes), one.code_lengths(probes), rtol=1e-12)
+    copy = pickle.loads(pickle.dumps(many))
+    assert not any(t.parts for pair in copy.orders for t in pair)  # paths travel, tables do not
+    folder = many.folder.removeprefix("file://")
+    assert os.path.isdir(folder)
+    many.remove()
+    assert not os.path.exists(folder)
+
+
 def test_language_held_out(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     want = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}

@@ -11,14 +11,19 @@ Bytes are those of the lower-cased text; runs of characters other than letters b
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_fold, id_type
+from .common import crc_fold, cut, id_type, open_store, remove, shared_dir
 
 ORDER = 3
 _SPACE = 32
@@ -70,35 +75,61 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+class Sorted:
+    """Numbers by 64-bit key in files of the shared folder, each a range of keys in order: all keys, then all numbers.
+
+    A file is mapped into memory where the store is a file system, so that the workers of a machine share the pages they look at;
+    from any other store it is read once per task. Only the paths travel with a task.
+    """
+
+    def __init__(self, files: list[tuple[int, str]]):
+        self.files = sorted(files)
+        self.first = np.array([f for f, _ in self.files], dtype=np.int64)
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "parts": []}
+
+    def _open(self) -> None:
+        for _, path in self.files:
+            fs, there = open_store(path)
+            if isinstance(fs, pafs.LocalFileSystem):
+                words = np.asarray(np.memmap(there, dtype="<i8", mode="r"))
+            else:
+                with fs.open_input_file(there) as f:
+                    words = np.frombuffer(f.read(), dtype="<i8")
+            half = len(words) // 2
+            self.parts.append((words[:half], words[half:].view("<f8")))
+
+    def find(self, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted keys are there, and the numbers of those."""
+        if not self.parts:
+            self._open()
+        hit, value = np.zeros(len(want), dtype=bool), np.zeros(len(want))
+        part = np.searchsorted(self.first, want, side="right") - 1
+        for k in np.unique(part[part >= 0]):
+            rows = np.flatnonzero(part == k)
+            keys, numbers = self.parts[k]
+            at = np.minimum(np.searchsorted(keys, want[rows]), len(keys) - 1)
+            hit[rows] = keys[at] == want[rows]
+            value[rows] = numbers[at]
+        return hit, value[hit]
+
+
 class Trees:
-    """Frozen code lengths of all languages: sorted arrays, as long as there are different grams and contexts.
+    """Frozen code lengths of all languages: per order a length for every seen gram and a constant for every context.
 
     A byte that a context has seen has a length of its own. Any other byte has the length that the next shorter context
     gives it, plus a constant of the context: the escape, less the share that the seen bytes had there.
     """
 
-    def __init__(self, languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        """lang (number in languages), gram and n (count), an entry per language and gram."""
-        self.languages = languages
-        seen = np.unique(np.append(np.concatenate([gram >> s & 255 for s in (24, 16, 8, 0)]), _SPACE))
-        self.bottom = np.log2(len(seen) + 1.0)  # below the empty context all bytes are alike; those never learned are one more
-        self.orders: list[tuple[np.ndarray, ...]] = []
-        p_lower, lower = None, None
-        for order in range(ORDER + 1):
-            key, where = np.unique(lang << 32 | gram & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
-            c = np.bincount(where, weights=n)
-            context, row = np.unique(key >> 8, return_inverse=True)
-            total, q = np.bincount(row, weights=c), np.bincount(row)
-            if order:
-                suffix = key >> 32 << 32 | key & ((1 << 8 * order) - 1)
-                start = p_lower[np.searchsorted(lower, suffix)]  # every gram's suffix has been seen as well
-            else:
-                start = np.full(len(key), 2.0**-self.bottom)
-            escape = q / (total + q)
-            rest = np.maximum(1 - np.bincount(row, weights=start), 1e-300)  # never 0: a byte never learned is in it
-            p = c / total[row] * (1 - escape[row])
-            self.orders.append((key, -np.log2(p), context, np.log2(rest) - np.log2(escape)))
-            p_lower, lower = p, key
+    def __init__(self, languages: list[str], bottom: float, orders: list[tuple[Sorted, Sorted]], folder: str):
+        """bottom: the bits of a byte below the empty context; orders: lengths and constants, shortest contexts first; folder: where their files are."""
+        self.languages, self.bottom, self.orders, self.folder = languages, bottom, orders, folder
+
+    def remove(self) -> None:
+        """Delete the files; nothing can be predicted afterwards."""
+        remove(self.folder)
 
     def bits(self, gram: np.ndarray) -> np.ndarray:
         """Length of each gram's last byte after those before it: a row per gram, a column per language."""
@@ -107,15 +138,13 @@ class Trees:
         for k in range(len(self.languages)):
             open_, cost = np.arange(len(gram)), np.zeros(len(gram))
             for order in range(ORDER, -1, -1):
-                key, length, context, onward = self.orders[order]
+                lengths, constants = self.orders[order]
                 want = k << 32 | gram[open_] & ((1 << 8 * (order + 1)) - 1)
-                at = np.minimum(np.searchsorted(key, want), len(key) - 1)
-                hit = key[at] == want
-                cost[open_[hit]] += length[at[hit]]
+                hit, length = lengths.find(want)
+                cost[open_[hit]] += length
                 open_, want = open_[~hit], want[~hit] >> 8
-                at = np.minimum(np.searchsorted(context, want), len(context) - 1)
-                known = context[at] == want
-                cost[open_[known]] += onward[at[known]]
+                known, onward = constants.find(want)
+                cost[open_[known]] += onward
             cost[open_] += self.bottom
             out[:, k] = cost
         return out
@@ -147,19 +176,75 @@ class Trees:
         return out
 
 
-def learn(docs: DataFrame) -> Trees | None:
+def code_tables(counts: DataFrame, languages: list[str], bottom: float) -> list[DataFrame]:
+    """Per order, from the empty context up: key, context, length and onward, a row per language and different gram of that order.
+
+    counts: lang, gram, n. A context has at most 256 different bytes after it, so what meets by context is bounded.
+    """
+    number = (F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1).cast("long")
+    whole = counts.select((F.shiftleft(number, 32)).bitwiseOR(F.col("gram")).alias("whole"), "n")
+    of_language, low = F.lit(-1 << 32).cast("long"), lambda bits: F.lit((1 << bits) - 1).cast("long")
+    part = lambda c, bits: F.col(c).bitwiseAND(of_language.bitwiseOR(low(bits)))
+    out: list[DataFrame] = []
+    for order in range(ORDER + 1):
+        seen = whole.groupBy(part("whole", 8 * (order + 1)).alias("key")).agg(F.sum("n").cast("double").alias("c"))
+        if order:
+            shorter = out[-1].select(F.col("key").alias("suffix"), F.col("p").alias("start"))
+            seen = seen.withColumn("suffix", part("key", 8 * order)).join(shorter, "suffix")  # every gram's suffix has been seen as well
+        else:
+            seen = seen.withColumn("start", F.lit(2.0**-bottom))
+        seen = seen.withColumn("context", F.shiftright("key", 8))
+        w = Window.partitionBy("context")
+        total, q = F.sum("c").over(w), F.count("*").over(w)
+        rest = F.greatest(1 - F.sum("start").over(w), F.lit(1e-300))  # never 0: a byte never learned is in it
+        seen = seen.select("key", "context", "c", total.alias("total"), (q / (total + q)).alias("escape"), rest.alias("rest"))
+        p = F.col("c") / F.col("total") * (1 - F.col("escape"))
+        out.append(cut(seen.select("key", "context", p.alias("p"), (-F.log2(p)).alias("length"), (F.log2("rest") - F.log2("escape")).alias("onward"))))
+    return out
+
+
+def write_tables(tables: list[DataFrame], folder: str, part_rows: int) -> list[Sorted]:
+    """Each table (key, number) in files of about part_rows rows at most; tasks that are run again write files of their own. The driver gets a row per file."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if held is None or not held.num_rows:
+            return
+        of, key, number = (held.column(k).to_numpy() for k in range(3))
+        fs, top = open_store(folder)
+        fs.create_dir(top, recursive=True)
+        borders = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(borders, borders[1:], strict=False):
+            name = f"{of[a]}-{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(f"{top}/{name}") as f:
+                f.write(key[a:b].astype("<i8").tobytes())
+                f.write(number[a:b].astype("<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([int(of[a])]), pa.array([int(key[a])]), pa.array([f"{folder}/{name}"])], ["of", "first", "path"])
+
+    rows = reduce(DataFrame.unionAll, (t.toDF("key", "number").select(F.lit(k).cast("long").alias("of"), "key", "number") for k, t in enumerate(tables)))
+    parts = max(1, -(-rows.count() // part_rows))
+    dealt = rows.repartition(1) if parts == 1 else rows.repartitionByRange(parts, "of", "key")
+    files = dealt.sortWithinPartitions("of", "key").mapInArrow(write, "of long, first long, path string").collect()
+    return [Sorted([(f.first, f.path) for f in files if f.of == k]) for k in range(len(tables))]
+
+
+def learn(docs: DataFrame, part_rows: int = 1 << 21) -> Trees | None:
     """Trees from all rows of docs (lang, text) where both are not null; None if there are none.
 
-    Every gram of every language counts, however rare it is. What reaches the driver is a row per language and different gram: it
-    grows with the languages' vocabulary of four-byte runs, not with the documents.
+    Every gram of every language counts, however rare it is. The lengths are computed by joins and stay in files of the
+    session's shared folder until `Trees.remove`. The driver gets the languages and a row per file of about part_rows rows.
     """
-    counts = gram_counts(docs.where("lang IS NOT NULL AND text IS NOT NULL")).toArrow()
-    if not counts.num_rows:
+    counts = cut(gram_counts(docs.where("lang IS NOT NULL AND text IS NOT NULL")))
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    if not languages:
         return None
-    names = counts.column("lang").combine_chunks().dictionary_encode()
-    languages = sorted(names.dictionary.to_pylist())
-    number = np.array([languages.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
-    return Trees(languages, number[names.indices.to_numpy()], counts.column("gram").to_numpy(), counts.column("n").to_numpy().astype(float))
+    bytes_ = F.array(F.lit(_SPACE).cast("long"), *(F.shiftright("gram", s).bitwiseAND(F.lit(255).cast("long")) for s in (24, 16, 8, 0)))
+    bottom = math.log2(counts.select(F.explode(bytes_)).distinct().count() + 1)  # below the empty context all bytes are alike; those never learned are one more
+    found = code_tables(counts, languages, bottom)
+    folder = f"{shared_dir(docs.sparkSession)}/trees-{uuid.uuid4().hex}"
+    tables = [t for f in found for t in (f.select("key", "length"), f.groupBy("context").agg(F.max("onward")))]
+    got = write_tables(tables, folder, part_rows)
+    return Trees(languages, bottom, list(zip(got[::2], got[1::2], strict=True)), folder)
 
 
 def predict_language(docs: DataFrame, trees: Trees | None) -> DataFrame:
@@ -169,10 +254,9 @@ def predict_language(docs: DataFrame, trees: Trees | None) -> DataFrame:
     every text if nothing was learned. score is the language's probability given the code lengths, all languages being
     equally likely before. Equal lengths go to the first language in order of name. Rows come back one for one.
     """
-    held = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = held.value
+        model = trees
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
@@ -197,4 +281,7 @@ def identify(docs: DataFrame, folds: int = 5) -> DataFrame:
     """
     trees = learn(docs.where(crc_fold(F.col("doc_id"), folds) != 0).select(F.col("lang").cast("string"), F.col("text").cast("string")))
     got = predict_language(docs, trees)
+    if trees is not None:
+        got = cut(got)
+        trees.remove()
     return got.select("doc_id", F.coalesce(crc_fold(F.col("doc_id"), folds) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
