@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import haversine_km
@@ -12,25 +12,60 @@ from ..functions.kernels import simplify
 
 
 def rings(edges: DataFrame) -> DataFrame:
-    """zone_id, ring, its edges as one array, and its bounds. A ring's edges are a few thousand at most."""
-    return edges.groupBy("zone_id", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "x1", "y1", "x2", "y2"))).alias("edges"), *(f(x).alias(n) for n, f, x in (("min_x", F.min, "x1"), ("max_x", F.max, "x1"), ("min_y", F.min, "y1"), ("max_y", F.max, "y1"))))
+    """zone_id, ring, its bounds and the grid laid over them: n_rows by n_cols cells, about as many as it has edges at most.
+
+    Rows are as many as leave an edge in four of them on average, so a cell of an outline of short edges holds few. Columns are eight at most, as an
+    edge that ends in a row is kept with all cells left of it. If most edges go through most of the height, a cell still holds most of them.
+    """
+    n, high, wide = F.count("*"), F.max("y1") - F.min("y1"), F.max("x1") - F.min("x1")
+    fits = lambda extent, total: F.floor(F.coalesce(F.try_divide(4 * n * extent, total), F.lit(1.0)))
+    bounds = [F.min(F.least("x1", "x2")).alias("min_x"), F.max(F.greatest("x1", "x2")).alias("max_x"), F.min(F.least("y1", "y2")).alias("min_y"), F.max(F.greatest("y1", "y2")).alias("max_y")]
+    one = edges.groupBy("zone_id", "ring").agg(*bounds, n.alias("n"), F.greatest(F.lit(1), F.least(F.ceil(n / 4), fits(high, F.sum(F.abs(F.col("y2") - F.col("y1")))))).alias("n_rows"), fits(wide, F.sum(F.abs(F.col("x2") - F.col("x1")))).alias("_c"))
+    return one.withColumn("n_cols", F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.col("n") / F.col("n_rows")), F.col("_c")))).drop("_c")
+
+
+def _step(value: Column, low: str, high: str, steps: str) -> Column:
+    """The row or column of a value within the bounds; it never falls as the value rises, which is all that the cells rely on."""
+    per = F.coalesce(F.try_divide(F.col(steps), F.col(high) - F.col(low)), F.lit(0.0))
+    return F.least(F.floor((value - F.col(low)) * per), F.col(steps) - 1).cast("int")
+
+
+def ring_cells(edges: DataFrame, ring: DataFrame) -> DataFrame:
+    """zone_id, ring, row, col, edges, odd: what a point in that cell of the ring's grid has to be tested against.
+
+    An edge that goes through the whole height of a row and lies right of a cell is crossed from any point of it, so those are counted
+    beforehand: odd says whether their number is. Only edges near the cell, and those right of it that begin or end in its row, are kept
+    with it. Cells without edges answer by themselves; those that lie outside are left out.
+    """
+    row, col = lambda y: _step(y, "min_y", "max_y", "n_rows"), lambda x: _step(x, "min_x", "max_x", "n_cols")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = edges.where("y1 <> y2").join(ring, ["zone_id", "ring"]).select("zone_id", "ring", F.struct("x1", "y1", "x2", "y2").alias("edge"), row(low).alias("r1"), row(high).alias("r2"), (col(F.least("x1", "x2")) - 1).alias("c1"), (col(F.greatest("x1", "x2")) + 1).alias("c2"), "n_cols")
+    e = e.select("*", F.explode(F.sequence("r1", "r2")).alias("row")).withColumn("whole", (F.col("row") > F.col("r1")) & (F.col("row") < F.col("r2")))
+    first, last = F.when(F.col("whole"), F.greatest("c1", F.lit(0))).otherwise(0), F.least(F.col("c2"), F.col("n_cols").cast("int") - 1)
+    kept = e.select("zone_id", "ring", "row", F.explode(F.sequence(first, last)).alias("col"), "edge", F.lit(0).alias("passed"))
+    passed = e.where("whole AND c1 > 0").select("zone_id", "ring", "row", (F.col("c1") - 1).alias("col"), F.lit(None).cast(e.schema["edge"].dataType).alias("edge"), F.lit(1).alias("passed"))
+    each = ring.select("zone_id", "ring", "n_cols", F.explode(F.sequence(F.lit(0), F.col("n_rows").cast("int") - 1)).alias("row")).select("zone_id", "ring", "row", F.explode(F.sequence(F.lit(0), F.col("n_cols").cast("int") - 1)).alias("col"), F.lit(None).cast(e.schema["edge"].dataType).alias("edge"), F.lit(0).alias("passed"))
+    cells = kept.unionAll(passed).unionAll(each).groupBy("zone_id", "ring", "row", "col").agg(F.collect_list("edge").alias("edges"), F.sum("passed").alias("passed"))
+    right = Window.partitionBy("zone_id", "ring", "row").orderBy(F.desc("col"))
+    return cells.withColumn("odd", F.sum("passed").over(right) % 2).drop("passed").where("odd = 1 OR size(edges) > 0")
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
     """point_id, zone_id of the first zone (lowest id) of which a ring holds the point; null if none does. Any ring counts, holes too.
 
-    Rings are dealt to the cells of a grid that their bounds touch and points to their own cell, so the join is an
-    equality and a point meets the rings near it only. The crossing test is folded over the ring's edges in place.
+    Points meet rings by the cells of a common grid that the rings' bounds touch, then the one cell of the ring's own grid in which they lie
+    (`ring_cells`). Both joins are equalities. A ring is an ordered round of edges; it may have any number of them.
     """
     at = lambda c: F.floor(c / F.lit(cell)).cast("long")
-    r = rings(edges)
-    r = r.select("*", F.explode(F.sequence(at(F.col("min_x")), at(F.col("max_x")))).alias("cx")).select("*", F.explode(F.sequence(at(F.col("min_y")), at(F.col("max_y")))).alias("cy"))
+    ring = rings(edges)
+    near = ring.select("*", F.explode(F.sequence(at(F.col("min_x")), at(F.col("max_x")))).alias("cx")).select("*", F.explode(F.sequence(at(F.col("min_y")), at(F.col("max_y")))).alias("cy"))
     p = points.select("point_id", "lng", "lat", at(F.col("lng")).alias("cx"), at(F.col("lat")).alias("cy"))
     x, y = F.col("lng"), F.col("lat")
+    met = p.join(near, ["cx", "cy"]).where((x >= F.col("min_x")) & (x <= F.col("max_x")) & (y >= F.col("min_y")) & (y <= F.col("max_y")))
+    met = met.select("point_id", "lng", "lat", "zone_id", "ring", _step(y, "min_y", "max_y", "n_rows").alias("row"), _step(x, "min_x", "max_x", "n_cols").alias("col"))
     crosses = lambda e: F.when((e["y1"] > y) != (e["y2"] > y), (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).cast("int")).otherwise(0)
-    odd = F.aggregate("edges", F.lit(0), lambda n, e: n + crosses(e)) % 2 == 1
-    near = p.join(r, ["cx", "cy"]).where((x >= F.col("min_x")) & (x <= F.col("max_x")) & (y >= F.col("min_y")) & (y <= F.col("max_y")) & odd)
-    found = near.groupBy("point_id").agg(F.min("zone_id").alias("zone_id"))
+    held = F.aggregate("edges", F.col("odd").cast("int"), lambda n, e: n + crosses(e)) % 2 == 1
+    found = met.join(ring_cells(edges, ring), ["zone_id", "ring", "row", "col"]).where(held).groupBy("point_id").agg(F.min("zone_id").alias("zone_id"))
     return points.select("point_id").join(found, "point_id", "left")
 
 
