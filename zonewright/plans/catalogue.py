@@ -223,7 +223,7 @@ def zone_cases(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return geo.zone_distances(src.zones(spark, d)).where("a < b AND km <= 280").select("a", "b", half_up("km", 3).alias("km"))
+    return geo.zones_within(src.zones(spark, d), 280).where("a < b").select("a", "b", half_up("km", 3).alias("km"))
 
 
 @query
