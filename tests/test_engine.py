@@ -149,6 +149,29 @@ def test_workbook(spark, tmp_path):
     assert [(str(r.w), r.ADMIN1) for r in got] == [("2024-01-01", "Lamu")]
 
 
+def test_workbook_in_ranges(spark, tmp_path):
+    """Rows are the same however short the ranges are, those that borders cut included, and more than one task reads a sheet."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    words = "".join(f"<si><t>w{k} &lt;row&gt;</t></si>" for k in range(50))
+    rows = "".join(f'<row r="{k}"><c r="A{k}"><v>{k}</v></c><c r="B{k}" t="s"><v>{2 + k % 50}</v></c><c r="C{k}" t="inlineStr"><is><t>{"x" * (k % 90)}</t></is></c></row>' if k % 11 else f'<row r="{k}"/>' for k in range(2, 700))
+    for name, tail in (("a", '<rowBreaks count="0"/>'), ("b", "")):
+        with zipfile.ZipFile(tmp_path / f"{name}.xlsx", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>WEEK</t></si><si><t>NAME</t></si>{words}</sst>")
+            z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0"?><worksheet {ns}><cols/><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c></row>{rows}</sheetData>{tail}</worksheet>')
+    got = {}
+    for span in (149, 997):  # without Spark, since each range would be a task
+        with readers._opened(str(tmp_path / "a.xlsx")) as z:
+            cut = b"".join(readers._row_bytes(z, k, k + span)[1] for k in range(0, readers._first_sheet(z).file_size, span))
+            assert cut == readers._row_bytes(z, 0, 1 << 62)[1] and cut.endswith(b"</row>")
+    for span in (5000, 1 << 24):
+        read = readers.workbook(spark, str(tmp_path), ["NAME", "WEEK"], span)
+        got[span] = sorted((r.file[-6:], r.WEEK or "", r.NAME or "") for r in read.collect())
+    want = sorted((f, str(k) if k % 11 else "", f"w{k % 50} <row>" if k % 11 else "") for f in ("a.xlsx", "b.xlsx") for k in range(2, 700))
+    assert all(rows == want for rows in got.values())
+    where = readers.workbook(spark, str(tmp_path), ["WEEK"], 5000).select(F.spark_partition_id().alias("p")).distinct()
+    assert where.count() > 1
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     path = str(tmp_path / "t")

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,43 +176,102 @@ def column_index(letters: str) -> int:
     return n - 1
 
 
-def _sheet_rows(content: bytes) -> Iterator[list[str | None]]:
-    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            with z.open("xl/sharedStrings.xml") as f:
-                for _, e in ET.iterparse(f):
-                    if e.tag == f"{ns}si":
-                        shared.append("".join(t.text or "" for t in e.iter(f"{ns}t")))
-                        e.clear()
-        sheet = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
-        with z.open(sheet) as f:
+_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ROW, _ROWS_END = re.compile(rb"<(?:\w+:)?row[\s>/]"), re.compile(rb"</(?:\w+:)?sheetData")
+_CHUNK = 1 << 20
+
+
+def _opened(path: str) -> zipfile.ZipFile:
+    fs, there = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return zipfile.ZipFile(fs.open_input_file(there))
+
+
+def _first_sheet(z: zipfile.ZipFile) -> zipfile.ZipInfo:
+    return z.getinfo(sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0])
+
+
+def _shared_strings(z: zipfile.ZipFile) -> list[str]:
+    out: list[str] = []
+    if "xl/sharedStrings.xml" in z.namelist():
+        with z.open("xl/sharedStrings.xml") as f:
             for _, e in ET.iterparse(f):
-                if e.tag != f"{ns}row":
-                    continue
-                row: list[str | None] = []
-                for c in e.iter(f"{ns}c"):
-                    k = column_index(re.match(r"[A-Z]+", c.get("r") or "A").group())
-                    row += [None] * (k + 1 - len(row))
-                    v = c.find(f"{ns}v")
-                    inline = "".join(t.text or "" for t in c.iter(f"{ns}t"))
-                    row[k] = shared[int(v.text)] if c.get("t") == "s" and v is not None else v.text if v is not None else inline or None
-                e.clear()
-                yield row
-
-
-def workbook(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The first sheet of each workbook under path: file and the columns by header name, all as text. Sheets are streamed, one workbook per task."""
+                if e.tag == f"{_NS}si":
+                    out.append("".join(t.text or "" for t in e.iter(f"{_NS}t")))
+                    e.clear()
+    return out
+
+
+def _row_bytes(z: zipfile.ZipFile, start: int, end: int, most: int | None = None) -> tuple[bytes, bytes]:
+    """The sheet's opening tags, and its rows that begin at bytes start to end of the inflated sheet (the first `most` of them), whole."""
+    with z.open(_first_sheet(z)) as f:
+        head = b""
+        while not (first := _ROW.search(head)) and (more := f.read(_CHUNK)):
+            head += more
+        if not first:
+            return head, b""
+        opening = head[: first.start()]
+        f.seek(start)
+        got, cut, done = f.read(max(0, min(end, start + _CHUNK) - start)), None, False
+        while cut is None:
+            begins = [m.start() for m in _ROW.finditer(got)]
+            late = [k for k in begins if start + k >= end] or (begins[most:] if most and len(begins) > most else [])
+            stop = _ROWS_END.search(got)
+            if late or stop or done:
+                cut = min([*late[:1], *([stop.start()] if stop else []), len(got)])
+            else:
+                more = f.read(max(_CHUNK, len(got)))
+                got, done = got + more, not more
+        begins = [k for k in begins if k < cut]
+        return opening, got[begins[0] : cut] if begins else b""
+
+
+def _cells(opening: bytes, rows: bytes, shared: list[str]) -> Iterator[list[str | None]]:
+    ends = b"".join(b"</" + t + b">" for t in reversed(re.findall(rb"<((?:\w+:)?(?:worksheet|sheetData))[\s>]", opening)))
+    for _, e in ET.iterparse(io.BytesIO(opening + rows + ends)):
+        if e.tag != f"{_NS}row":
+            continue
+        row: list[str | None] = []
+        for c in e.iter(f"{_NS}c"):
+            k = column_index(re.match(r"[A-Z]+", c.get("r") or "A").group())
+            row += [None] * (k + 1 - len(row))
+            v = c.find(f"{_NS}v")
+            inline = "".join(t.text or "" for t in c.iter(f"{_NS}t"))
+            row[k] = shared[int(v.text)] if c.get("t") == "s" and v is not None else v.text if v is not None else inline or None
+        e.clear()
+        yield row
+
+
+def workbook(spark: SparkSession, path: str, columns: list[str], part_bytes: int = 16 << 20) -> DataFrame:
+    """The first sheet of each workbook under path: file and the columns by header name, all as text.
+
+    A sheet is dealt to tasks by ranges of its inflated bytes; a row goes to the range it begins in. A task inflates what lies before its range
+    without parsing it, and holds the workbook's shared strings and one range (a row that is longer, whole). Row tags are
+    looked for in the raw bytes, so a sheet must not have one inside a comment or CDATA.
+    """
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file in b["path"]:
+                with _opened(file) as z:
+                    size = _first_sheet(z).file_size
+                yield pd.DataFrame({"path": file, "start": range(0, max(size, 1), part_bytes)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shared_of: tuple[str, list[str]] = ("", [])
         for b in batches:
-            for file, content in zip(b["path"], b["content"], strict=True):
-                rows = _sheet_rows(bytes(content))
-                header = [(h or "").strip() for h in next(rows, [])]
-                at = [header.index(c) for c in columns]
+            for file, start in zip(b["path"], b["start"], strict=True):
+                with _opened(file) as z:
+                    if shared_of[0] != file:
+                        shared_of = file, _shared_strings(z)
+                    opening, top = _row_bytes(z, 0, 1 << 62, 1)
+                    header = [(h or "").strip() for h in next(_cells(opening, top, shared_of[1]), [])]
+                    at = [header.index(c) for c in columns]
+                    opening, rows = _row_bytes(z, int(start), int(start) + part_bytes)
+                cells = _cells(opening, rows, shared_of[1]) if rows else iter(())
+                if start <= len(opening) < start + part_bytes:
+                    next(cells, None)  # the header
                 part: list[list] = []
-                for r in rows:
+                for r in cells:
                     part.append([file, *(r[k] if k < len(r) else None for k in at)])
                     if len(part) >= 5000:
                         yield pd.DataFrame(part, columns=["file", *columns], dtype=object)
@@ -219,8 +279,10 @@ def workbook(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                 if part:
                     yield pd.DataFrame(part, columns=["file", *columns], dtype=object)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, " + ", ".join(f"`{c}` string" for c in columns))
+    files = spark.read.format("binaryFile").load(path).select("path")
+    parts = files.mapInPandas(ranges, "path string, start long")
+    dealt = parts.repartition(max(1, parts.count()), "path", "start")  # by a number, since their bytes are few and tasks would be merged
+    return dealt.mapInPandas(run, "file string, " + ", ".join(f"`{c}` string" for c in columns))
 
 
 def workbook_profile(rows: DataFrame, week: str, zone: str) -> DataFrame:
