@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.kernels import chapman, replication, three_list_total
 
 
-def chapman_point(df: DataFrame, in_a: Column, in_b: Column) -> DataFrame:
-    """One row: n_a, n_b, overlap, documented, chapman (null below three in both), factor."""
-    got = df.agg(F.count_if(in_a).alias("n_a"), F.count_if(in_b).alias("n_b"), F.count_if(in_a & in_b).alias("overlap"), F.count("*").alias("documented"))
+def chapman_point(df: DataFrame, in_a: Column, in_b: Column, n: Column | None = None) -> DataFrame:
+    """One row: n_a, n_b, overlap, documented, chapman (null below three in both), factor. n: how many incidents a row stands for, one by default."""
+    n = F.lit(1) if n is None else n
+    total_where = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    got = df.agg(total_where(in_a).alias("n_a"), total_where(in_b).alias("n_b"), total_where(in_a & in_b).alias("overlap"), total_where(F.lit(True)).alias("documented"))
     total = (F.col("n_a") + 1) * (F.col("n_b") + 1) / (F.col("overlap") + 1) - 1
     enough = F.col("overlap") >= 3
     return got.select("*", F.when(enough, total).alias("chapman"), F.when(enough, total / F.greatest("documented", F.lit(1))).otherwise(F.lit(1.0)).alias("factor"))

@@ -93,15 +93,15 @@ def trailing_anomaly(series: DataFrame, value: str, months: int = 12, floor_sd:
     return numbered.where((F.col("_i") > months) & (F.col("_back") <= last)).select("month", value, "baseline", "z", (F.col("z") >= 2).alias("flagged"))
 
 
-def bucket_anomaly(zones: DataFrame, incidents: DataFrame, as_of: Column, days: int = 90, baselines: int = 5, floor_sd: float = 0.6) -> DataFrame:
-    """zone_id, current, baseline, z, flagged: incidents of the last `days` before as_of against the buckets before.
+def bucket_anomaly(zones: DataFrame, incidents: DataFrame, as_of: Column, days: int = 90, baselines: int = 5, floor_sd: float = 0.6, n: Column | None = None) -> DataFrame:
+    """zone_id, current, baseline, z, flagged: incidents of the last `days` before as_of against the buckets before. n: how many incidents a row stands for, one by default.
 
     Buckets are [end - days, end), end itself excluded. Zones and buckets without incidents count 0. The variance is taken from
     sums over the fixed number of buckets, so no bucket needs to exist as a row.
     """
     age = F.datediff(as_of, F.col("incident_date"))
     bucket = F.ceil(age / F.lit(float(days))).cast("int") - 1
-    counted = incidents.where(F.col("zone_id").isNotNull() & (age > 0) & (bucket <= baselines)).groupBy("zone_id", bucket.alias("b")).agg(F.count("*").alias("n"))
+    counted = incidents.where(F.col("zone_id").isNotNull() & (age > 0) & (bucket <= baselines)).groupBy("zone_id", bucket.alias("b")).agg(F.sum(F.lit(1) if n is None else n).alias("n"))
     sums = counted.groupBy("zone_id").agg(F.sum(F.when(F.col("b") == 0, F.col("n")).otherwise(0)).alias("current"), F.sum(F.when(F.col("b") > 0, F.col("n")).otherwise(0)).alias("s"), F.sum(F.when(F.col("b") > 0, F.col("n") * F.col("n")).otherwise(0)).alias("q"))
     joined = zones.select("zone_id").join(sums, "zone_id", "left").fillna(0, ["current", "s", "q"])
     mean = F.col("s") / F.lit(float(baselines))

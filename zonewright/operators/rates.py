@@ -8,14 +8,23 @@ from pyspark.sql import functions as F
 from .entity import checkpointed
 
 
-def zero_filled_counts(zones: DataFrame, incidents: DataFrame, key: str = "zone_id", **conditions: Column) -> DataFrame:
+def incident_days(incidents: DataFrame) -> DataFrame:
+    """zone_id, incident_date, in_mv, in_ob, in_mort, n: how many incidents are alike in these; rows with a null are kept.
+
+    Its rows are bounded by places, days and lists, not by incidents, so an analysis reads its incidents once and takes every count from here.
+    """
+    return incidents.groupBy("zone_id", "incident_date", "in_mv", "in_ob", "in_mort").agg(F.count("*").alias("n"))
+
+
+def zero_filled_counts(zones: DataFrame, incidents: DataFrame, key: str = "zone_id", n: Column | None = None, **conditions: Column) -> DataFrame:
     """zones with `documented` and one count per condition; zones without incidents get 0. Incidents without zone count nowhere.
 
-    Incidents are summed before the join, so what is shuffled is one row per zone and task.
+    Incidents are summed before the join, so what is shuffled is one row per zone and task. n: how many incidents a row stands for, one by default.
     """
-    sums = incidents.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("documented"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+    n = F.lit(1) if n is None else n
+    sums = incidents.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum(n).alias("documented"), *(F.sum(F.when(c, n)).alias(name) for name, c in conditions.items()))
     names = ["documented", *conditions]
-    return zones.join(sums, key, "left").select(*zones.columns, *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))
+    return zones.join(sums, key, "left").select(*zones.columns, *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in names))
 
 
 def empirical_bayes(df: DataFrame, count: str = "documented", population: str = "population", by: tuple[str, ...] | list[str] = ()) -> DataFrame:

@@ -42,7 +42,12 @@ def incident_overlap(windows: DataFrame, incidents: DataFrame, days: int, lead_d
 
 def vehicle_patterns(sightings: DataFrame, incidents: DataFrame, days: int = 30, lead_days: int = 30, threshold: int = 4, sources: Column | None = None) -> DataFrame:
     """Documented-pattern rule: flagged if enough sightings fall in one window and incidents overlap, else monitoring."""
-    got = incident_overlap(best_windows(sightings, days), incidents, days, lead_days)
+    return window_patterns(best_windows(sightings, days), incidents, days, lead_days, threshold, sources)
+
+
+def window_patterns(windows: DataFrame, incidents: DataFrame, days: int = 30, lead_days: int = 30, threshold: int = 4, sources: Column | None = None) -> DataFrame:
+    """The same rule over best_windows."""
+    got = incident_overlap(windows, incidents, days, lead_days)
     n, o = F.col("n"), F.col("overlap")
     sure = F.least(F.lit(0.85), F.lit(0.4) + 0.08 * F.least(n, F.lit(6)) + 0.08 * F.least(o, F.lit(3)) + 0.05 * (sources if sources is not None else F.lit(0)))
     status = F.when((n >= threshold) & (o >= 1), "flagged").otherwise("monitoring")

@@ -7,7 +7,7 @@ import functools
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -114,8 +114,11 @@ def national_monthly_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trailing_365d_burden(spark: SparkSession, d: str) -> DataFrame:
-    b = panels.trailing_burden(src.weekly(spark, d))
-    z = src.zones(spark, d).select("zone_id", "population").join(b, "zone_id", "left").fillna(0)
+    return burden_ranks(src.zones(spark, d), src.weekly(spark, d))
+
+
+def burden_ranks(zones: DataFrame, weekly: DataFrame) -> DataFrame:
+    z = zones.select("zone_id", "population").join(panels.trailing_burden(weekly), "zone_id", "left").fillna(0)
     z = z.select("zone_id", "events", "abductions", "vac_events", "burden", micro(rates.per_100k(F.col("burden"), F.col("population"))).alias("burden_rate"))
     return rates.midrank(z, "burden_rate", "pct").withColumn("pct", micro("pct"))
 
@@ -164,7 +167,11 @@ def temporal_zone_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monthly_incidents(spark: SparkSession, d: str) -> DataFrame:
-    return src.incidents(spark, d).groupBy(F.date_format("incident_date", "yyyy-MM").alias("month")).agg(F.count("*").alias("ed")).where(F.col("month") < "2001-08")
+    return by_month(src.incidents(spark, d), F.count("*"))
+
+
+def by_month(incidents: DataFrame, n: Column) -> DataFrame:
+    return incidents.groupBy(F.date_format("incident_date", "yyyy-MM").alias("month")).agg(n.alias("ed")).where(F.col("month") < "2001-08")
 
 
 @query
@@ -293,29 +300,77 @@ def vehicle_radius_variant(spark: SparkSession, d: str) -> DataFrame:
 # ---- the index ----
 
 
-def best_circle(spark: SparkSession, d: str) -> DataFrame:
+class Basis:
+    """What the parts of an analysis are taken from, each read once and written to the shared folder when first asked for.
+
+    Rows are places, weeks of a place, days of a place and vehicles; never incidents or sightings.
+    """
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.spark, self.folder = spark, d
+
+    @functools.cached_property
+    def zones(self) -> DataFrame:
+        return entity.checkpointed(src.zones(self.spark, self.folder))
+
+    @functools.cached_property
+    def days(self) -> DataFrame:
+        return entity.checkpointed(rates.incident_days(src.incidents(self.spark, self.folder)))
+
+    @functools.cached_property
+    def weekly(self) -> DataFrame:
+        return entity.checkpointed(src.weekly(self.spark, self.folder))
+
+    @functools.cached_property
+    def windows(self) -> DataFrame:
+        return entity.checkpointed(vehicles.best_windows(src.sightings(self.spark, self.folder), SIGHTING_DAYS))
+
+    @functools.cached_property
+    def patterns(self) -> DataFrame:
+        return entity.checkpointed(vehicles.window_patterns(self.windows, src.recent_incidents(self.spark, self.folder), SIGHTING_DAYS, SIGHTING_DAYS))
+
+    @functools.cached_property
+    def news(self) -> DataFrame:
+        return entity.checkpointed(news_windows(self.spark, self.folder))
+
+    @property
+    def cases(self) -> DataFrame:
+        return rates.zero_filled_counts(self.zones, self.days, n=F.col("n")).select("zone_id", F.col("documented").alias("cases"))
+
+    @property
+    def months(self) -> DataFrame:
+        return by_month(self.days, F.sum("n"))
+
+    @property
+    def estimate(self) -> DataFrame:
+        return capture.chapman_point(self.days.where("in_mv OR in_ob"), F.col("in_mv"), F.col("in_ob"), F.col("n"))
+
+
+def best_circle(b: Basis) -> DataFrame:
     """zone_id and rr of the zones in the circle of highest ratio, whatever its p-value: what SQL can state."""
-    best = scan.scanned(src.zones(spark, d), zone_cases(spark, d)).orderBy(F.desc(micro("llr")), "center", "radius_km").limit(1).where("llr > 0")
+    best = scan.scanned(b.zones, b.cases).orderBy(F.desc(micro("llr")), "center", "radius_km").limit(1).where("llr > 0")
     return best.select(F.explode("members").alias("zone_id"), "rr")
 
 
-def index_table(spark: SparkSession, d: str, inside: DataFrame | None = None) -> DataFrame:
+def index_of(b: Basis, inside: DataFrame | None = None) -> DataFrame:
     """All components per zone, with index, band, confidence and drivers. inside: zone_id (unique) and rr of the zones in clusters; by default those of the best circle."""
-    zones, inc = src.zones(spark, d), src.incidents(spark, d)
-    inside = best_circle(spark, d) if inside is None else inside
-    base = rates.empirical_bayes(rates.zero_filled_counts(zones, inc))
-    factor = capture.chapman_point(inc.where("in_mv OR in_ob"), F.col("in_mv"), F.col("in_ob")).select("factor")
-    base = base.crossJoin(F.broadcast(factor)).withColumn("eb_rate", micro("eb_rate")).withColumn("mse_rate", micro(F.col("documented") * F.col("factor") / (F.col("population") / F.lit(1e5))))
+    inside = best_circle(b) if inside is None else inside
+    base = rates.empirical_bayes(rates.zero_filled_counts(b.zones, b.days, n=F.col("n")))
+    base = base.crossJoin(F.broadcast(b.estimate.select("factor"))).withColumn("eb_rate", micro("eb_rate")).withColumn("mse_rate", micro(F.col("documented") * F.col("factor") / (F.col("population") / F.lit(1e5))))
     base = rates.midrank(rates.midrank(base, "eb_rate", "eb_pct"), "mse_rate", "mse_pct")
-    burden = trailing_365d_burden(spark, d).select("zone_id", F.col("pct").alias("acled_recent"), "abductions", "vac_events")
-    temporal = panels.bucket_anomaly(zones, inc, as_of()).select("zone_id", half_up("z", 2).alias("z"), "flagged")
-    seen = vehicles.best_windows(src.sightings(spark, d), SIGHTING_DAYS).where("n >= 6").select(F.explode("zones").alias("zone_id")).distinct().withColumn("vehicle", F.lit(True))
+    burden = burden_ranks(b.zones, b.weekly).select("zone_id", F.col("pct").alias("acled_recent"), "abductions", "vac_events")
+    temporal = panels.bucket_anomaly(b.zones, b.days, as_of(), n=F.col("n")).select("zone_id", half_up("z", 2).alias("z"), "flagged")
+    seen = b.windows.where("n >= 6").select(F.explode("zones").alias("zone_id")).distinct().withColumn("vehicle", F.lit(True))
     got = base.join(inside, "zone_id", "left").join(burden, "zone_id", "left").join(temporal, "zone_id", "left").join(seen, "zone_id", "left")
     got = got.withColumn("cluster_score", risk.cluster_score(F.col("rr"))).withColumn("temporal_score", risk.temporal_score(F.col("z"))).withColumn("vehicle_score", F.when(F.col("vehicle"), 1.0).otherwise(0.0)).withColumn("ucdp_baseline", F.lit(0.0))
     got = risk.composite_index(got).withColumn("confidence", risk.confidence(F.col("documented"), F.lit(0), F.col("abductions"), F.col("vac_events")))
     return got.withColumn("drivers", risk.zone_drivers(F.col("documented"), rates.per_100k(F.col("documented"), F.col("population")), F.col("eb_rate"), F.col("rr"), F.col("z"), F.col("flagged"), F.col("abductions"), F.col("vac_events"), F.col("vehicle")))
 
 
+def index_table(spark: SparkSession, d: str, inside: DataFrame | None = None) -> DataFrame:
+    return index_of(Basis(spark, d), inside)
+
+
 @query
 def composite_index(spark: SparkSession, d: str) -> DataFrame:
     t = index_table(spark, d)
@@ -330,7 +385,10 @@ def risk_bands(spark: SparkSession, d: str) -> DataFrame:
 @query
 def region_summary(spark: SparkSession, d: str) -> DataFrame:
     """Zones merged by region: sums, and the zone of highest index (lowest id among equals)."""
-    t = index_table(spark, d)
+    return regions(index_table(spark, d))
+
+
+def regions(t: DataFrame) -> DataFrame:
     return t.groupBy("region_name").agg(F.count("*").alias("zones"), F.sum("documented").alias("documented"), F.max("index").alias("index"), F.max_by("zone_id", F.struct("index", -F.col("zone_id"))).alias("top_zone"))
 
 
@@ -346,15 +404,16 @@ def trend_projection_top12(spark: SparkSession, d: str) -> DataFrame:
     return risk.projections(index_table(spark, d), trend_table(spark, d))
 
 
-def found_clusters(spark: SparkSession, d: str) -> DataFrame:
+def found_clusters(b: Basis) -> DataFrame:
     """The primary and secondary clusters with their p-values: a few rows, simulated once per call."""
-    return scan.clusters(src.zones(spark, d), zone_cases(spark, d))
+    return scan.clusters(b.zones, b.cases)
 
 
 @query
 def composite_index_significant(spark: SparkSession, d: str) -> DataFrame:
     """The index with the cluster score of every significant cluster, secondary ones too."""
-    t = index_table(spark, d, risk.in_significant(found_clusters(spark, d)))
+    b = Basis(spark, d)
+    t = index_of(b, risk.in_significant(found_clusters(b)))
     return t.select("zone_id", *(micro(c).alias(c) for c in ("eb_pct", "mse_pct", "cluster_score", "acled_recent", "temporal_score", "vehicle_score")), "index", "band", "confidence")
 
 
@@ -362,27 +421,32 @@ def composite_index_significant(spark: SparkSession, d: str) -> DataFrame:
 def forecast_projection_top12(spark: SparkSession, d: str) -> DataFrame:
     """Projections of the significant index by each zone's forecast against its last three months."""
     trend = forecast.forecast_zones(grid(spark, d)).select("zone_id", "mean", "recent3")
-    return risk.projections(index_table(spark, d, risk.in_significant(found_clusters(spark, d))), trend)
+    b = Basis(spark, d)
+    return risk.projections(index_of(b, risk.in_significant(found_clusters(b))), trend)
 
 
 @query
 def alerts_feed_significant(spark: SparkSession, d: str) -> DataFrame:
     """The whole feed: zones by the significant index, and an alert per significant cluster."""
-    found = found_clusters(spark, d)
-    got = feed(spark, d, risk.in_significant(found), risk.cluster_alerts(found, src.zones(spark, d)))
+    b = Basis(spark, d)
+    found = found_clusters(b)
+    got = feed_of(b, index_of(b, risk.in_significant(found)), risk.cluster_alerts(found, b.zones))
     return got.select("place", "id", "severity", "kind", "title", "confidence")
 
 
+def feed_of(b: Basis, index: DataFrame, *after_zones: DataFrame) -> DataFrame:
+    """All alerts. index: an index_table; after_zones: alerts that stand after those of the zones."""
+    zones = index.withColumn("county", F.col("region_name"))
+    spike = risk.spike_alert(panels.trailing_anomaly(b.months, "ed"), "ed")
+    corroborated = risk.corroboration_alert(panels.monthly_rollup(b.weekly), panels.trailing_burden(b.weekly))
+    seen = risk.vehicle_alerts(b.patterns.where("n >= 8"), SIGHTING_DAYS)
+    return risk.alerts_feed(risk.zone_alerts(zones), *after_zones, seen, spike, corroborated, risk.data_alert(b.estimate), risk.news_alert(b.news))
+
+
 def feed(spark: SparkSession, d: str, inside: DataFrame | None = None, *after_zones: DataFrame) -> DataFrame:
-    """All alerts. inside: as in index_table; after_zones: alerts that stand after those of the zones."""
-    inc, weekly = src.incidents(spark, d), src.weekly(spark, d)
-    zones = index_table(spark, d, inside).withColumn("county", F.col("region_name"))
-    estimate = capture.chapman_point(inc.where("in_mv OR in_ob"), F.col("in_mv"), F.col("in_ob"))
-    spike = risk.spike_alert(panels.trailing_anomaly(monthly_incidents(spark, d), "ed"), "ed")
-    corroborated = risk.corroboration_alert(panels.monthly_rollup(weekly), panels.trailing_burden(weekly))
-    flagged = vehicles.vehicle_patterns(src.sightings(spark, d), src.recent_incidents(spark, d), SIGHTING_DAYS, SIGHTING_DAYS).where("n >= 8")
-    surge = risk.news_alert(panels.window_sums(daily(spark, d), news_day()))
-    return risk.alerts_feed(risk.zone_alerts(zones), *after_zones, risk.vehicle_alerts(flagged, SIGHTING_DAYS), spike, corroborated, risk.data_alert(estimate), surge)
+    """All alerts. inside: as in index_table; after_zones: as in feed_of."""
+    b = Basis(spark, d)
+    return feed_of(b, index_of(b, inside), *after_zones)
 
 
 @query
@@ -405,7 +469,10 @@ def severity_histogram(spark: SparkSession, d: str) -> DataFrame:
 def analysis_document(spark: SparkSession, d: str) -> DataFrame:
     """The nested document of an analysis, read back from its JSON."""
     patterns = capture_patterns_3list(spark, d).select("pattern", "n")
-    doc = entity.checkpointed(sinks.analysis_document({"severities": severity_histogram(spark, d), "regions": region_summary(spark, d), "patterns": patterns, "none": patterns.where("n < 0")}))
+    b = Basis(spark, d)
+    index = entity.checkpointed(index_of(b))
+    alerts = feed_of(b, index)
+    doc = entity.checkpointed(sinks.analysis_document({"severities": risk.severity_counts(alerts), "regions": regions(index), "patterns": patterns, "none": patterns.where("n < 0")}))
     read = [
         sinks.document_part(doc, part, f"{key} string, {n} long").select(F.lit(part).alias("part"), "place", F.col(key).alias("key"), F.col(n).alias("n"))
         for part, key, n in (("severities", "severity", "n"), ("regions", "region_name", "zones"), ("patterns", "pattern", "n"), ("none", "pattern", "n"))
