@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 #: One query per kind of plan; the driver compares all of them.
-SAMPLED = ("zone_risk_rates", "panel_features", "scan_circles", "vehicle_radius_variant", "composite_index", "gazetteer_strict", "stream_windowed_counts", "connected_components", "capture_patterns_3list", "analysis_document")
+SAMPLED = ("zone_risk_rates", "panel_features", "scan_circles", "vehicle_radius_variant", "composite_index", "gazetteer_strict", "stream_windowed_counts", "connected_components", "capture_patterns_3list", "analysis_document", "analysis_brief", "weekly_digest_text", "analysis_document_whole")
 
 
 def test_flagship(spark):

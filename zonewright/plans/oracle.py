@@ -111,6 +111,15 @@ CTE: dict[str, str] = {
             FROM (SELECT sum(events) FILTER (WHERE sub_type = 'F') AS a FROM weekly WHERE strftime(week, '%Y-%m') = (SELECT max(strftime(week, '%Y-%m')) FROM weekly)) WHERE a > 0
         UNION ALL SELECT 'data-mse', 'info', 'data', 'Estimate of what is not reported', 'high', 4, NULL, 1 FROM chap
         UNION ALL SELECT 'news-watch', 'watch', 'data', last7d || ' matching articles in a week', 'medium', 5, NULL, 1 FROM sums WHERE last7d >= 10 AND last7d >= 1.5 * greatest(floor(prev4w / 4e0 * 10 + 0.5) / 10, 1)""",
+    "feed_places": "SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'elevated' THEN 1 WHEN 'watch' THEN 2 ELSE 3 END, part, id) AS place FROM feed",
+    "ov": """SELECT i.documented, located, i.documented - located AS unlocated, floor(n_a / i.documented * 1000 + 0.5) / 10 AS capture_a, floor(n_b / i.documented * 1000 + 0.5) / 10 AS capture_b, n_a, n_b, overlap, overlap >= 3 AS estimable,
+        CAST(CASE WHEN overlap >= 3 THEN floor((n_a + 1) * (n_b + 1) / (overlap + 1) - 1 + 0.5) ELSE i.documented END AS BIGINT) AS estimated, floor(f * 100 + 0.5) / 100 AS factor, t.*, v.*, a.*
+        FROM (SELECT count(*) AS documented, count(zone_id) AS located FROM incidents WHERE in_mv OR in_ob) i, (SELECT CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b, CAST(overlap AS BIGINT) AS overlap FROM chap) c, factor,
+        (SELECT count(*) AS zones, CAST(count_if(band = 'critical') AS BIGINT) AS critical, CAST(count_if(band = 'elevated') AS BIGINT) AS elevated, CAST(count_if(band = 'watch') AS BIGINT) AS watch, CAST(sum(abductions) AS BIGINT) AS abductions,
+            CAST(sum(vac_events) AS BIGINT) AS vac_events, arg_max(zone_name, ix * 1000 - zone_id) AS highest_zone, max(ix) AS highest_index FROM index_table) t,
+        (SELECT count(*) AS patterns, CAST(count_if(status = 'flagged') AS BIGINT) AS flagged_patterns FROM patterns) v, (SELECT count(*) AS alerts, CAST(count_if(severity <> 'info') AS BIGINT) AS active_alerts FROM feed) a""",
+    "queue": """SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 10 < 5 THEN 'pending' WHEN o_orderkey % 10 < 7 THEN 'ready' WHEN o_orderkey % 10 < 9 THEN 'promoted' ELSE 'duplicate' END AS status, 'case of ' || lower(split_part(o_orderpriority, '-', 2)) AS hint,
+        1 + o_orderkey % 4 AS corroboration, CAST(o_orderdate AS DATE) AS latest_pub_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS promoted_on FROM orders""",
 }
 
 CTE["fold_parts"] = CTE["fold_parts"].format(
@@ -129,6 +138,7 @@ NEEDS: dict[str, tuple[str, ...]] = {
     "fold_counts": ("zones", "folds", "incidents"), "fold_factor": ("folds", "incidents"), "fold_prior": ("fold_counts",), "fold_burden": ("folds", "weekly"), "fold_rates": ("fold_counts", "fold_prior", "fold_factor", "fold_burden"),
     "fold_scan": ("circles", "folds", "fold_counts"), "fold_best": ("fold_scan",), "fold_parts": ("fold_rates", "fold_best", "seen_zones"),
     "index_table": ("index_parts",), "sums": ("daily",), "strict": ("headlines",), "chap": ("incidents",), "feed": ("index_table", "patterns", "trail12", "burden", "weekly", "chap", "sums"),
+    "feed_places": ("feed",), "ov": ("incidents", "chap", "factor", "index_table", "patterns", "feed"),
 }
 
 
