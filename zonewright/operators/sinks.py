@@ -50,6 +50,15 @@ def placed(rows: DataFrame, *order: str | Column) -> DataFrame:
     return both.join(F.broadcast(sizes), "_range").select(*both.columns[:-1], place.alias("place"), "total")  # a row per range
 
 
+def counted(manifest: DataFrame, file: str, rows: DataFrame, what: str, today: Column) -> DataFrame:
+    """manifest with the entry of one file telling how many rows it has now, and since when; other entries stay."""
+    n = rows.agg(F.count("*").alias("_n"))
+    own = F.col("file") == file
+    values = {"rows_or_features": F.when(own, F.concat(F.col("_n").cast("string"), F.lit(f" {what}"))), "retrieved_at": F.when(own, today.cast("string"))}
+    got = manifest.crossJoin(F.broadcast(n))  # one row
+    return got.select(*(F.coalesce(values[c], c).alias(c) if c in values else F.col(c) for c in manifest.columns))
+
+
 def json_lines(df: DataFrame) -> DataFrame:
     """One JSON document per row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -339,6 +339,44 @@ def case_queue_merged(spark: SparkSession, d: str) -> DataFrame:
     return news.merge_case_state(before, o.where("o_orderkey % 3 = 0").select(*case("d8", F.lit("ready"))), F.lit("d9"))
 
 
+def queue_of_cases(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as cases with their coverage, and the decisions to promote every sixth of them."""
+    k = F.col("o_orderkey")
+    o = src.table(spark, d, "orders").select(k, F.to_date("o_orderdate").alias("day"))
+    url = lambda n: F.concat(F.lit(f"https://example.org/{n}/"), k)
+    cases = o.select(F.concat(F.lit("Case_"), k).alias("case_id"), F.when(k % 12 == 0, "promoted").otherwise("ready").alias("status"), F.when(k % 4 > 0, F.concat(F.lit("person "), k % 9)).alias("person"), F.col("day").alias("pub_date"), F.lit(2).alias("corroboration"), F.array(F.concat(F.lit("outlet "), k % 5), F.lit("other")).alias("outlets"), F.array(url("a"), url("b")).alias("urls"), F.lit(None).cast("date").alias("promoted_on"), F.lit(None).cast("string").alias("record_id"))
+    none = F.lit(None).cast("string")
+    chosen = o.where("o_orderkey % 6 = 0").select(F.concat(F.lit("Case_"), k).alias("case_id"), F.when(k % 18 == 0, F.concat(F.lit("Rec "), k)).alias("record_id"), F.when(k % 5 == 0, F.date_add("day", 1)).alias("date"), none.alias("person"), F.when(k % 10 == 0, "missing").alias("status"), none.alias("category"), none.alias("curator"))
+    return cases, chosen
+
+
+def today():
+    return F.lit("2001-08-02").cast("date")
+
+
+@query
+def case_promotions(spark: SparkSession, d: str) -> DataFrame:
+    """The register after the decisions, in order and counted; decisions sent twice change nothing."""
+    cases, chosen = queue_of_cases(spark, d)
+    records = news.promotions(cases, chosen.unionAll(chosen), today()).drop("case_id")
+    stored = cases.where("status = 'promoted'").select(F.lower(F.regexp_replace("case_id", "_", "")).alias("id"), F.col("pub_date").alias("date"))
+    return sinks.append_sorted(stored.withColumns({c: F.lit(None).cast("string") for c in records.columns if c not in ("id", "date")}), records, "id", ["date", "id"])
+
+
+@query
+def cases_marked_promoted(spark: SparkSession, d: str) -> DataFrame:
+    cases, chosen = queue_of_cases(spark, d)
+    return news.mark_promoted(cases, news.promotions(cases, chosen, today()), today()).select("case_id", "status", "promoted_on", "record_id")
+
+
+@query
+def manifest_after_promotion(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest's entry of the register counts the records that were promoted."""
+    n = src.table(spark, d, "nation").select(F.col("n_name").alias("file"), F.lit("some").alias("rows_or_features"), F.lit("2000-01-01").alias("retrieved_at"))
+    cases, chosen = queue_of_cases(spark, d)
+    return sinks.counted(n, "KENYA", news.promotions(cases, chosen, today()), "incidents", today())
+
+
 @query
 def month_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     m = C.month_key("o_orderdate")
@@ -408,6 +446,13 @@ SQL: dict[str, str] = {
     "alnum_key_join": "SELECT n_nationkey, n_nationkey AS other, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS k FROM nation",
     "status_histogram": "SELECT s AS status, count(o_orderkey) AS n FROM (SELECT unnest(['pending', 'ready', 'promoted', 'rejected']) AS s) LEFT JOIN orders ON s = CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'pending' ELSE 'rejected' END GROUP BY s",
     "case_queue_merged": "SELECT CAST(o_orderkey AS VARCHAR) AS case_id, CASE WHEN o_orderkey % 8 = 0 THEN 'promoted' WHEN o_orderkey % 8 = 2 THEN 'rejected' ELSE 'ready' END AS status, CASE WHEN o_orderkey % 2 = 0 THEN 'd0' ELSE 'd9' END AS first_seen, 'd9' AS last_seen, CASE WHEN o_orderkey % 3 = 0 THEN 'd8' ELSE 'd0' END AS latest_pub_date FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 8 IN (0, 2)",
+    "case_promotions": f"""SELECT *, CAST(row_number() OVER (ORDER BY date, id) - 1 AS BIGINT) AS place, count(*) OVER () AS total FROM (
+        SELECT CASE WHEN o_orderkey % 18 = 0 THEN 'rec' || o_orderkey ELSE 'case' || o_orderkey END AS id, {_O} + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS date, CASE WHEN o_orderkey % 4 > 0 THEN 'person ' || o_orderkey % 9 ELSE 'Unknown' END AS person, CASE WHEN o_orderkey % 10 = 0 THEN 'missing' ELSE 'returned' END AS status, 'abduction' AS category,
+        'outlet ' || o_orderkey % 5 AS source_name, 'https://example.org/a/' || o_orderkey AS source_url, 'Seen in 2 outlets (outlet ' || o_orderkey % 5 || ', other), promoted on 2001-08-02 by curator. Coverage: https://example.org/a/' || o_orderkey || ' ; https://example.org/b/' || o_orderkey AS notes
+        FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0 UNION ALL SELECT 'case' || o_orderkey, {_O}, NULL, NULL, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 12 = 0)""",
+    "cases_marked_promoted": """SELECT 'Case_' || o_orderkey AS case_id, CASE WHEN o_orderkey % 6 = 0 THEN 'promoted' ELSE 'ready' END AS status, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0 THEN DATE '2001-08-02' END AS promoted_on,
+        CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0 THEN CASE WHEN o_orderkey % 18 = 0 THEN 'rec' || o_orderkey ELSE 'case' || o_orderkey END END AS record_id FROM orders""",
+    "manifest_after_promotion": "SELECT n_name AS file, CASE WHEN n_name = 'KENYA' THEN (SELECT count(*) FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 12 <> 0) || ' incidents' ELSE 'some' END AS rows_or_features, CASE WHEN n_name = 'KENYA' THEN '2001-08-02' ELSE '2000-01-01' END AS retrieved_at FROM nation",
     "month_arithmetic": "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 3 MONTH, '%Y-%m') AS later, strftime(o_orderdate - INTERVAL 14 MONTH, '%Y-%m') AS earlier, CAST(epoch(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH) AS BIGINT) - 1 AS end_s, CAST((2001 - year(o_orderdate)) * 12 + 8 - month(o_orderdate) AS INTEGER) AS months FROM orders",
     "logistic_values": "SELECT event_id, floor(1 / (1 + exp(-(value - 50) / 7)) * 1e6 + 0.5) / 1e6 AS p FROM events",
     "text_keys": "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, string_split(p_name, ' ')[1] AS stem, p_name AS core FROM part",
