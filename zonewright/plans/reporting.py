@@ -128,7 +128,7 @@ def analysis_brief_significant(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_parts(a: Analysis) -> dict[str, DataFrame]:
-    """Every part of the document; rows of each stand in order of its columns, so the first column orders them."""
+    """The parts of the document but forecast, media and data files; rows of each stand in order of its columns, so the first column orders them."""
     c = F.col
     shown = a.index.select("zone_id", "zone_name", "region_name", "documented", "index", "band", "confidence", micro("eb_pct").alias("eb_pct"), micro("mse_pct").alias("mse_pct"), "acled_recent", micro("cluster_score").alias("cluster_score"), micro("temporal_score").alias("temporal_score"), "vehicle_score", "abductions", "vac_events")
     recent = src.incidents(a.spark, a.folder).where(c("incident_date") < as_of()).orderBy(F.desc("incident_date"), F.desc("incident_id")).limit(40)
@@ -152,7 +152,7 @@ def document_parts(a: Analysis) -> dict[str, DataFrame]:
 
 @query
 def analysis_document_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every part of the document, read back from its JSON: part, place, key and n of each row."""
+    """All of document_parts, read back from its JSON: part, place, key and n of each row."""
     doc = entity.checkpointed(sinks.analysis_document(document_parts(Analysis(spark, d))))
     read = (
         ("overview", "highest_zone", "documented"), ("zones", "zone_name", "documented"), ("regions", "region_name", "zones"), ("vehicles", "status", "n"), ("alerts", "title", "rank"), ("weights", "component", None),
