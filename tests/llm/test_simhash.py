@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from zonewright.llm import simhash as sh
@@ -123,6 +124,34 @@ def test_components_of_paths_stars_and_rings(spark):
     assert sorted(map(len, groups.values())) == [2, 50, 300, 301] and all(k in v for k, v in groups.items())
 
 
+@pytest.mark.parametrize("few", [0, 40, 1 << 16])
+def test_components_do_not_depend_on_where_one_task_takes_over(spark, few):
+    draw = random.Random(few)
+    edges = [(draw.randrange(-400, 400), draw.randrange(-400, 400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, k) for k in range(4900, 5100)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+    held = {x: {x} for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b and held[a] is not held[b]:
+            held[a] |= held[b]
+            for x in held[b]:
+                held[x] = held[a]
+    assert got.keys() == held.keys()
+    groups = {}
+    for node, root in got.items():
+        groups.setdefault(root, set()).add(node)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in held.values()}
+    assert all(root in g for root, g in groups.items())
+
+
+def test_few_edges_cost_the_driver_few_stages(spark):
+    """Every round is several stages, whose plans, tasks and events the driver holds, however few edges are left."""
+    stages = spark.sparkContext._jsc.sc().dagScheduler().nextStageId
+    before = stages()
+    got = components(spark.createDataFrame([(k, k + 1) for k in range(2000)], "a long, b long"))
+    assert got.count() == 2001 and stages() - before <= 16
+
+
+
 def test_stage_keeps_one_of_each(spark):
     texts = awkward()
     for k in range(30):
