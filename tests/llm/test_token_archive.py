@@ -94,3 +94,13 @@ def test_text_ids_extra_columns_and_nothing(spark, tmp_path):
 def test_very_long_text(spark, tmp_path):
     rows = [(1, prose(1, 400_000)), (2, "end")]
     assert read(token_archive.archived_token_counts(frame(spark, rows), TOKENIZER, 2)) == [x[:4] for x in plain(rows)]
+
+
+@pytest.mark.parametrize("remember", [1, 16, 300_000])
+def test_encoder_remembers_no_more_than_told_within_a_text(remember):
+    enc, tok = tokens.Encoder(TOKENIZER, remember=remember), Tokenizer.from_file(TOKENIZER)
+    marks = ["Word, WORD. it's I'll 'Tis x. a1 1a İstanbul, ǅ. ª. µm; ß! ne, naïve? ... , .5 <|endoftext|> <|x|>, e\u0301, 中文, a\xadb."]
+    texts = [t for _, t in awkward()] + [prose(1, 3_000, 2_000)] + marks * 2
+    assert enc.encode(texts) == [struct.pack(f"<{len(i)}I", *i) for i in (tok.encode(t or "", add_special_tokens=False).ids for t in texts)]
+    for memory, most in ((enc._known, remember), (enc._pieces, 2 * remember)):
+        assert len(memory) + len(memory._before) <= max(2, most)

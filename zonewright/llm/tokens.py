@@ -13,6 +13,7 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Callable
 
 _PROBES = ("it's a Test, of 12 words", "é ü\n\nß\t x", "<|endoftext|> a <|x|>", "a\r\nb  c   ")
 
@@ -52,6 +53,27 @@ def chunks_of(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
+#: The splitting pattern whose pieces of a word, alone or before one other mark, are known without it.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Memory(dict):
+    """What make gives for a key. At most about `most` keys are remembered: when half as many are new, they take the place of those before them, which are looked up second."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self._make, self._half, self._before = make, max(1, most // 2), {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self._before.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= self._half:
+            self._before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian bytes. ordinary: special tokens' strings in a text are ordinary text."""
 
@@ -65,14 +87,15 @@ class Encoder:
         if ordinary:
             self.tok.encode_special_tokens = True
         self._code = {2: "H", 4: "I"}[width]
-        self.width, self.remember, self.known = width, remember, {"": b""}
+        self.width = width
         self._batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        self._known, self._pieces = Memory(self._of_chunk, remember), Memory(self._of_piece, 2 * remember)
         pattern = split_pattern(path)
         self._split = None
         if pattern:
             import regex
 
-            self._split, self._symbols, self._pieces = regex.compile(pattern).findall, byte_symbols(), {}
+            self._split, self._symbols, self._words = regex.compile(pattern).findall, byte_symbols(), pattern == _WORDS
         self.by_chunk = all(self._ids(p) == [i for c in chunks_of(p) for i in self._ids(c)] for p in _PROBES)
 
     def _ids(self, text: str) -> list[int]:
@@ -81,46 +104,29 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self._code, ids).tobytes() if sys.byteorder == "little" else b"".join(i.to_bytes(self.width, "little") for i in ids)
 
-    def _by_piece(self, chunk: str) -> bytes:
-        out, pieces = [], self._pieces
-        for p in self._split(chunk.lower()):
-            b = pieces.get(p)
-            if b is None:
-                symbols = p if p.isascii() else "".join(map(self._symbols.__getitem__, p.encode()))
-                b = pieces[p] = self._bytes([t.id for t in self.tok.model.tokenize(symbols)])
-            out.append(b)
-        return b"".join(out)
+    def _of_piece(self, piece: str) -> bytes:
+        symbols = piece if piece.isascii() else "".join(map(self._symbols.__getitem__, piece.encode()))
+        return self._bytes([t.id for t in self.tok.model.tokenize(symbols)])
+
+    def _of_chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        if self._split and "<|" not in chunk and _PLAIN(chunk):
+            low = chunk.lower()
+            if self._words:
+                if low.isalpha():
+                    return self._pieces[low]
+                if low[:-1].isalpha() and low[-1] in ".,:;!?":
+                    return self._pieces[low[:-1]] + self._pieces[low[-1]]
+            return b"".join(map(self._pieces.__getitem__, self._split(low)))
+        return self._bytes(self._batch([chunk], add_special_tokens=False)[0].ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object per text; a null text has no ids."""
         if not self.by_chunk:
             return [self._bytes(self._ids(t)) if t else b"" for t in texts]
-        if len(self.known) > self.remember:
-            self.known = {"": b""}
-        out, known = [], self.known
-        for t in texts:
-            cs = chunks_of(t) if t else []
-            try:
-                out.append(b"".join(map(known.__getitem__, cs)))
-            except KeyError:
-                self._learn({c for c in cs if c not in known})
-                out.append(b"".join(map(known.__getitem__, cs)))
-        return out
-
-    def _learn(self, new: set[str]) -> None:
-        known = self.known
-        if self._split:
-            if len(self._pieces) > 2 * self.remember:
-                self._pieces = {}
-            for c in new:
-                if "<|" not in c and _PLAIN(c):
-                    known[c] = self._by_piece(c)
-            new = {c for c in new if c not in known}
-        rest = list(new)
-        for k in range(0, len(rest), 4096):
-            part = rest[k : k + 4096]
-            for c, e in zip(part, self._batch(part, add_special_tokens=False), strict=True):
-                known[c] = self._bytes(e.ids)
+        known = self._known.__getitem__
+        return [b"".join(map(known, chunks_of(t))) if t else b"" for t in texts]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
