@@ -572,7 +572,7 @@ def articles(spark: SparkSession, d: str) -> DataFrame:
 @query
 def case_status(spark: SparkSession, d: str) -> DataFrame:
     a = entity.checkpointed(articles(spark, d))
-    cases = news.assemble_cases(a, news.similar_headlines(a), news_day())
+    cases = news.assemble_cases(a, news.linked_headlines(a), news_day())
     return cases.select("case_id", "person", "pub_date", "latest_pub_date", "corroboration", F.size("urls").alias("n_articles"), "status")
 
 
