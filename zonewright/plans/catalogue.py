@@ -601,7 +601,7 @@ def entity_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def greedy_assignment(spark: SparkSession, d: str) -> DataFrame:
-    return entity.greedy_assignment(entity_pairs(spark, d))
+    return entity.assigned_records(*lists(spark, d), days=3, similarity=0.82)
 
 
 @query
