@@ -554,7 +554,7 @@ def html_anchor_index(spark: SparkSession, d: str) -> DataFrame:
 def set_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of texts of one source and day with a Jaccard similarity of words of 0.5 and more."""
     h = src.headlines(spark, d).select("doc_id", "source", "age_days", F.array_distinct(F.filter(F.split(T.normalised("title"), " "), lambda w: w != "")).alias("w"))
-    return entity.similar_sets(h, "doc_id", "w", "jaccard", 0.5, "age_days", 0, ["source"]).select("a", "b", micro("similarity").alias("jaccard"))
+    return entity.similar_in_groups(h, "doc_id", "w", "jaccard", 0.5, "age_days", 0, ["source"]).select("a", "b", micro("similarity").alias("jaccard"))
 
 
 @query
