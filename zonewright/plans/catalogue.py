@@ -561,7 +561,7 @@ def set_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
 def bigram_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of texts of one source within three days with a cosine of bigrams of 0.42 and more."""
     h = src.headlines(spark, d).select("doc_id", "source", "age_days", T.bigram_set(T.tokens(F.lower("title"))).alias("g"))
-    return entity.similar_sets(h, "doc_id", "g", "cosine", 0.42, "age_days", 3, ["source"]).select("a", "b", micro("similarity").alias("cosine"))
+    return entity.similar_in_groups(h, "doc_id", "g", "cosine", 0.42, "age_days", 3, ["source"]).select("a", "b", micro("similarity").alias("cosine"))
 
 
 def articles(spark: SparkSession, d: str) -> DataFrame:
